@@ -54,10 +54,13 @@ def redact(scanned: DataFrame, level: str, salt: str = M.DEFAULT_SALT,
 
 def span_hash_rows(redacted: DataFrame) -> DataFrame:
     """``"start:end"`` -> hash of the value, one row per distinct span."""
-    keyed = F.array_distinct(F.transform(F.col("redactions"), lambda r: F.struct(
+    edits = F.col("redactions")
+    distinct = F.filter(edits, lambda r, i: (i == 0)
+                        | (F.get(edits, i - 1)["start_offset"] != r["start_offset"])
+                        | (F.get(edits, i - 1)["end_offset"] != r["end_offset"]))
+    return redacted.select("doc_id", F.inline(F.transform(distinct, lambda r: F.struct(
         F.concat_ws(":", r["start_offset"], r["end_offset"]).alias("span"),
-        r["value_hash"].alias("value_hash"))))
-    return redacted.select("doc_id", F.inline(keyed))
+        r["value_hash"].alias("value_hash")))))
 
 
 def audit_mapping(redacted: DataFrame) -> DataFrame:
@@ -72,13 +75,14 @@ def audit_mapping(redacted: DataFrame) -> DataFrame:
 
 def with_audit_map(redacted: DataFrame) -> DataFrame:
     """The same mapping as a map column, kept in the row."""
-    hashes = F.array_distinct(F.transform(F.col("redactions"), lambda r: r["value_hash"]))
-    in_order = F.array_sort(F.transform(F.col("redactions"), lambda r: F.struct(
-        r["start_offset"], r["end_offset"], r["value_hash"], r["replacement"])))
-    df = with_computed(redacted, in_order=in_order)
-    pairs = F.transform(hashes, lambda h: F.struct(h, F.get(F.filter(
-        F.col("in_order"), lambda r: r["value_hash"] == h), F.lit(0))["replacement"]))
-    return df.withColumn("audit_mapping", F.map_from_entries(pairs)).drop("in_order")
+    ranked = F.array_sort(F.transform(F.col("redactions"), lambda r: F.struct(
+        r["value_hash"].alias("value_hash"), r["start_offset"], r["end_offset"],
+        r["replacement"].alias("replacement"))))
+    df = with_computed(redacted, ranked=ranked)
+    first = F.filter(F.col("ranked"), lambda r, i: (i == 0)
+                     | (F.get(F.col("ranked"), i - 1)["value_hash"] != r["value_hash"]))
+    pairs = F.transform(first, lambda r: F.struct(r["value_hash"], r["replacement"]))
+    return df.withColumn("audit_mapping", F.map_from_entries(pairs)).drop("ranked")
 
 
 def redaction_reports(redacted: DataFrame, timestamp=None) -> DataFrame:
