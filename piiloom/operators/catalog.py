@@ -22,17 +22,18 @@ def _only(df: DataFrame, doc_id: str | None) -> DataFrame:
 def document_status(jobs: DataFrame, entities: DataFrame, doc_id: str | None = None) -> DataFrame:
     """Job row with one row per entity and the document's count of that type.
 
-    Counts are joined to jobs first (one row per document and type), entities
-    last, so no document's entities are gathered in one place.
+    Counts are joined to jobs first (one row per document and type).  Entities
+    then meet them in an inner join, which adaptive execution may split on
+    either side, and documents without entities are added as they are.
     """
     jobs, entities = _only(jobs, doc_id), _only(entities, doc_id)
     head = jobs.select("doc_id", "filename", "status", "risk_score", "risk_band",
                        "entity_fqn", "redacted_fqn", "error", "created_at", "updated_at")
-    counts = pii_summary(entities)
+    counted = head.join(pii_summary(entities), "doc_id", "left")
     spans = entities.select("doc_id", "entity_type", "subtype", "start_offset", "end_offset",
                             "confidence")
-    return (head.join(counts, "doc_id", "left")
-            .join(spans, ["doc_id", "entity_type"], "left"))
+    return spans.join(counted, ["doc_id", "entity_type"]).unionByName(
+        counted.filter("entity_type is null"), allowMissingColumns=True)
 
 
 def pii_summary(entities: DataFrame, doc_id: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
@@ -23,17 +23,21 @@ def with_spans(docs: DataFrame, rules=R.DEFAULT_RULES,
         "text", rules, threshold, entity_types, boost, suppress))
 
 
+def hashed_spans(spans: str = "spans", text: str = "text") -> Column:
+    """The spans with the SHA-256 of each value added."""
+    return F.transform(F.col(spans), lambda s: F.struct(
+        s["entity_type"].alias("entity_type"), s["subtype"].alias("subtype"),
+        s["start_offset"].alias("start_offset"), s["end_offset"].alias("end_offset"),
+        s["confidence"].alias("confidence"), s["rule"].alias("rule"),
+        F.sha2(span_text(F.col(text), s), 256).alias("value_hash")))
+
+
 def entity_rows(scanned: DataFrame) -> DataFrame:
     """One row per span of :func:`with_spans` output, with the value's hash only.
 
     Hashes are taken inside the array, so the text is not copied per span.
     """
-    hashed = F.transform(F.col("spans"), lambda s: F.struct(
-        s["entity_type"].alias("entity_type"), s["subtype"].alias("subtype"),
-        s["start_offset"].alias("start_offset"), s["end_offset"].alias("end_offset"),
-        s["confidence"].alias("confidence"), s["rule"].alias("rule"),
-        F.sha2(span_text(F.col("text"), s), 256).alias("value_hash")))
-    return scanned.select("doc_id", F.inline(hashed))
+    return scanned.select("doc_id", F.inline(hashed_spans()))
 
 
 def detect_all(docs: DataFrame, rules=R.DEFAULT_RULES,
@@ -90,21 +94,20 @@ def detect_person(docs: DataFrame, names: DataFrame) -> DataFrame:
     is joined by shuffle instead.
     """
     pattern = "(?U)" + _TOKEN
-    words = with_computed(docs.select("doc_id", "text"), words=F.arrays_zip(
-        F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)).alias("word"),
-        F.expr(offsets_sql(name("text"), pattern)).alias("at")))
-
-    def candidates(word, i):
-        following = F.get(F.col("words"), i + 1)
-        pair = F.struct(F.concat_ws(" ", word["word"], following["word"]).alias("name"),
-                        word["at"]["start_offset"].alias("start_offset"),
-                        following["at"]["end_offset"].alias("end_offset"))
-        single = F.struct(word["word"].alias("name"),
-                          word["at"]["start_offset"].alias("start_offset"),
-                          word["at"]["end_offset"].alias("end_offset"))
-        return F.when(following.isNotNull(), F.array(single, pair)).otherwise(F.array(single))
-
-    found = words.select("doc_id", F.inline(F.flatten(F.transform(F.col("words"), candidates))))
+    tokens = with_computed(
+        docs.select("doc_id", "text"),
+        word=F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)),
+        at=F.expr(offsets_sql(name("text"), pattern)))
+    rest = F.lit(2), F.size("word")
+    pairs = tokens.select("doc_id", F.inline(F.arrays_zip(
+        "word", "at", F.slice("word", *rest).alias("next_word"),
+        F.slice("at", *rest).alias("next_at"))))
+    start = F.col("at.start_offset").alias("start_offset")
+    single = F.struct(F.col("word").alias("name"), start,
+                      F.col("at.end_offset").alias("end_offset"))
+    double = F.struct(F.concat("word", F.lit(" "), "next_word").alias("name"), start,
+                      F.col("next_at.end_offset").alias("end_offset"))
+    found = pairs.select("doc_id", F.inline(F.array(single, double))).filter("name is not null")
     dictionary = (names.groupBy(F.lower("name").alias("name"))
                   .agg(F.max("score").cast("double").alias("confidence")))
     return (found.join(broadcast_if_small(dictionary), "name")

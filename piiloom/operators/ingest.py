@@ -96,7 +96,7 @@ def upload_records(files: DataFrame, id: str = "doc_id") -> DataFrame:
                    ).otherwise(F.col("filename"))
     typed = F.when(F.coalesce("content_type", F.lit("")) == "",
                    F.lit("application/octet-stream")).otherwise(F.col("content_type"))
-    hashed = storage_keys(content_hash(files), id)
+    hashed = storage_keys(files if "file_hash" in files.columns else content_hash(files), id)
     return hashed.select(
         F.col(id).alias("doc_id"), named.alias("filename"), "file_hash",
         F.octet_length("content").cast("long").alias("file_size"), typed.alias("content_type"),

@@ -1,19 +1,22 @@
-"""The whole-document pipeline: scan, score, redact, and the tables that result.
+"""The whole-document pipeline and the tables it leaves behind.
 
-``scan`` -> ``redact`` is one narrow pass over the text with no shuffle.  A
-production run writes its outputs (``jobs``, ``entities``, ``reports``,
-redacted texts) once; the catalog, governance and quality operators then read
-those narrow tables.
+``process`` detects, scores and redacts in one narrow pass over the text, with
+no shuffle.  ``write_catalog`` stores its rows once and derives the narrow
+tables (jobs, entities, reports) from the stored columns, so that catalog,
+governance and quality queries never read a text again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
+from piiloom.functions.columns import with_computed
 from piiloom.functions.masking import DEFAULT_SALT
-from piiloom.operators.detect import entity_rows, with_spans
+from piiloom.operators.detect import hashed_spans, with_spans
 from piiloom.operators.ingest import storage_keys
 from piiloom.operators.redact import redact, redaction_reports
 from piiloom.operators.risk import score_documents
@@ -21,13 +24,43 @@ from piiloom.operators.risk import score_documents
 _SCORED = ("PII_DETECTED", "REDACTING", "COMPLETED")
 
 
+@dataclass(frozen=True)
+class Catalog:
+    """The stored tables of one run."""
+
+    processed: DataFrame
+    jobs: DataFrame
+    entities: DataFrame
+    reports: DataFrame
+
+
 def scan(docs: DataFrame, **detection) -> DataFrame:
     """Documents with ``spans``, ``type_totals``, ``risk_score`` and ``risk_band``."""
     return score_documents(with_spans(docs, **detection))
 
 
-def job_table(scanned: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
-    """The job row of each scanned document that carries a ``status``.
+def redact_corpus(docs: DataFrame, level: str, salt: str = DEFAULT_SALT,
+                  overlap: str = "splice", **detection) -> DataFrame:
+    """Scan and redact in the same pass."""
+    return redact(scan(docs, **detection), level, salt, overlap)
+
+
+def process(docs: DataFrame, level: str = "FULL", salt: str = DEFAULT_SALT,
+            overlap: str = "splice", **detection) -> DataFrame:
+    """One row per document with everything but its raw text.
+
+    Spans carry hashes of their values; the values themselves are not kept.
+    """
+    redacted = redact_corpus(docs, level, salt, overlap, **detection)
+    measured = with_computed(
+        redacted, spans=hashed_spans(), file_hash=F.sha2("text", 256),
+        file_size=F.octet_length("text").cast("long"),
+        char_count=F.char_length("text").cast("long"))
+    return storage_keys(measured.drop("text"))
+
+
+def job_table(processed: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
+    """The job row of each processed document; its input carried a ``status``.
 
     Scores appear from detection on, the redacted key once completed.
     """
@@ -35,11 +68,11 @@ def job_table(scanned: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
     done = F.col("status") == "COMPLETED"
     named = F.coalesce("filename", F.lit("unknown"))
     error = F.when(F.col("status") == "FAILED", F.concat(
-        F.lit("extraction failed: "), F.char_length("text").cast("string"), F.lit(" characters")))
+        F.lit("extraction failed: "), F.col("char_count").cast("string"), F.lit(" characters")))
     types = F.array_sort(F.transform(F.col("type_totals"), lambda t: t["entity_type"]))
-    return storage_keys(scanned).select(
-        "doc_id", named.alias("filename"), F.sha2("text", 256).alias("file_hash"),
-        F.octet_length("text").cast("long").alias("file_size"), "storage_key", "status",
+    return processed.select(
+        "doc_id", named.alias("filename"), "file_hash", "file_size", "char_count",
+        "storage_key", "status",
         F.when(scored, F.col("risk_score")).alias("risk_score"),
         F.when(scored, F.col("risk_band")).alias("risk_band"),
         F.when(scored, F.concat(F.lit(service + "."), named)).alias("entity_fqn"),
@@ -50,18 +83,25 @@ def job_table(scanned: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
         F.col("created_at").alias("updated_at"))
 
 
-def entity_table(scanned: DataFrame) -> DataFrame:
-    return entity_rows(scanned)
+def entity_table(processed: DataFrame) -> DataFrame:
+    return processed.select("doc_id", F.inline("spans"))
 
 
-def redact_corpus(docs: DataFrame, level: str, salt: str = DEFAULT_SALT,
-                  overlap: str = "splice", **detection) -> DataFrame:
-    """Scan and redact in the same pass."""
-    return redact(scan(docs, **detection), level, salt, overlap)
+def write_catalog(docs: DataFrame, folder: str, level: str = "FULL",
+                  timestamp: Column | None = None, **options) -> Catalog:
+    """Run the pipeline into ``folder``: one pass over the text, then three over its result."""
+    spark = docs.sparkSession
+    process(docs, level, **options).write.mode("overwrite").parquet(f"{folder}/processed")
+    processed = spark.read.parquet(f"{folder}/processed")
+    for name, table in (("jobs", job_table(processed)), ("entities", entity_table(processed)),
+                        ("reports", redaction_reports(processed, timestamp))):
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return read_catalog(spark, folder)
 
 
-def report_table(redacted: DataFrame, timestamp: Column | None = None) -> DataFrame:
-    return redaction_reports(redacted, timestamp)
+def read_catalog(spark: SparkSession, folder: str) -> Catalog:
+    return Catalog(*[spark.read.parquet(f"{folder}/{name}")
+                     for name in ("processed", "jobs", "entities", "reports")])
 
 
 def residual_risk(redacted: DataFrame, **detection) -> DataFrame:

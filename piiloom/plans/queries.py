@@ -46,10 +46,6 @@ def _scanned(spark, sf):
     return pipeline.scan(_corpus(spark, sf))
 
 
-def _jobs(spark, sf):
-    return pipeline.job_table(_scanned(spark, sf))
-
-
 def _entities(spark, sf):
     return detect.detect_all(derived.corpus(spark, sf))
 
@@ -58,16 +54,25 @@ def _redacted(spark, sf, level="FULL", overlap="splice"):
     return redact.redact(_scanned(spark, sf), level, overlap=overlap)
 
 
-def _reports(spark, sf):
-    return pipeline.report_table(_redacted(spark, sf), F.expr(REPORT_TIME))
+_CATALOGS: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf) -> pipeline.Catalog:
+    """The catalog tables of a data folder, written once per application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _CATALOGS:
+        folder = shared_folder(spark, "catalog")
+        pipeline.write_catalog(_corpus(spark, sf), folder, timestamp=F.expr(REPORT_TIME))
+        _CATALOGS[key] = folder
+    return pipeline.read_catalog(spark, _CATALOGS[key])
 
 
 def _containers(spark, sf):
-    return govern.all_containers(_jobs(spark, sf))
+    return govern.all_containers(stored(spark, sf).jobs)
 
 
 def _tags(spark, sf):
-    return govern.doc_tags(_entities(spark, sf))
+    return govern.doc_tags(stored(spark, sf).entities)
 
 
 def _existing_tags(tags):
@@ -292,6 +297,10 @@ def span_hashes(spark, sf):
     return redact.span_hash_rows(_redacted(spark, sf))
 
 
+def _reports(spark, sf):
+    return redact.redaction_reports(_redacted(spark, sf), F.expr(REPORT_TIME))
+
+
 def redaction_report(spark, sf):
     return _reports(spark, sf).select(
         "doc_id", "filename", "redaction_level", "timestamp", "total_entities_redacted",
@@ -309,31 +318,31 @@ def redaction_leak_check(spark, sf):
 # --- catalog --------------------------------------------------------------------------------
 
 def document_status(spark, sf):
-    return catalog.document_status(_jobs(spark, sf), _entities(spark, sf))
+    return catalog.document_status(stored(spark, sf).jobs, stored(spark, sf).entities)
 
 
 def pii_summary(spark, sf):
-    return catalog.pii_summary(_entities(spark, sf))
+    return catalog.pii_summary(stored(spark, sf).entities)
 
 
 def risk_breakdown(spark, sf):
-    return catalog.risk_breakdown(_entities(spark, sf))
+    return catalog.risk_breakdown(stored(spark, sf).entities)
 
 
 def risk_lookup(spark, sf):
-    return catalog.risk_lookup(_jobs(spark, sf), _entities(spark, sf))
+    return catalog.risk_lookup(stored(spark, sf).jobs, stored(spark, sf).entities)
 
 
 def list_entities(spark, sf):
-    return catalog.list_entities(_entities(spark, sf))
+    return catalog.list_entities(stored(spark, sf).entities)
 
 
 def docs_by_band_topk(spark, sf):
-    return catalog.docs_by_band(_jobs(spark, sf), "CRITICAL", 50)
+    return catalog.docs_by_band(stored(spark, sf).jobs, "CRITICAL", 50)
 
 
 def band_distribution(spark, sf):
-    return catalog.band_distribution(_jobs(spark, sf))
+    return catalog.band_distribution(stored(spark, sf).jobs)
 
 
 def audit_trail(spark, sf):
@@ -341,12 +350,12 @@ def audit_trail(spark, sf):
 
 
 def docs_with_type(spark, sf):
-    return catalog.docs_with_type(_jobs(spark, sf), _entities(spark, sf), "AADHAAR",
+    return catalog.docs_with_type(stored(spark, sf).jobs, stored(spark, sf).entities, "AADHAAR",
                                   "CRITICAL").select("doc_id", "filename", "risk_score")
 
 
 def recent_docs_by_band(spark, sf):
-    return catalog.recent_docs(_jobs(spark, sf), "HIGH", _now("2024-01-08 00:00:00")).select(
+    return catalog.recent_docs(stored(spark, sf).jobs, "HIGH", _now("2024-01-08 00:00:00")).select(
         "doc_id", "filename", "risk_score", "created_at")
 
 
@@ -355,31 +364,31 @@ def text_segments(spark, sf):
 
 
 def type_share_of_max(spark, sf):
-    return catalog.type_share_of_max(_entities(spark, sf))
+    return catalog.type_share_of_max(stored(spark, sf).entities)
 
 
 def progress_step(spark, sf):
-    return catalog.progress_step(_jobs(spark, sf))
+    return catalog.progress_step(stored(spark, sf).jobs)
 
 
 def distinct_types(spark, sf):
-    return catalog.distinct_types(_entities(spark, sf))
+    return catalog.distinct_types(stored(spark, sf).entities)
 
 
 def sample_docs(spark, sf):
-    return catalog.sample_docs(_jobs(spark, sf))
+    return catalog.sample_docs(stored(spark, sf).jobs)
 
 
 def redactable_docs(spark, sf):
-    return catalog.redactable_docs(_jobs(spark, sf)).select("doc_id", "status")
+    return catalog.redactable_docs(stored(spark, sf).jobs).select("doc_id", "status")
 
 
 def scored_docs(spark, sf):
-    return catalog.scored_docs(_jobs(spark, sf)).select("doc_id", "risk_score", "risk_band")
+    return catalog.scored_docs(stored(spark, sf).jobs).select("doc_id", "risk_score", "risk_band")
 
 
 def pending_docs(spark, sf):
-    return catalog.pending_docs(_jobs(spark, sf)).select("doc_id", "status")
+    return catalog.pending_docs(stored(spark, sf).jobs).select("doc_id", "status")
 
 
 # --- governance --------------------------------------------------------------------------------
@@ -412,7 +421,7 @@ def risk_properties(spark, sf):
 
 
 def lineage_edges(spark, sf):
-    return govern.lineage_edges(_containers(spark, sf), _reports(spark, sf))
+    return govern.lineage_edges(_containers(spark, sf), stored(spark, sf).reports)
 
 
 def run_metrics(spark, sf):
@@ -430,7 +439,7 @@ def policy_match(spark, sf):
 
 
 def policy_audit(spark, sf):
-    return govern.policy_audit(_jobs(spark, sf), govern.policy_match(_tags(spark, sf)),
+    return govern.policy_audit(stored(spark, sf).jobs, govern.policy_match(_tags(spark, sf)),
                                F.expr(REPORT_TIME))
 
 
@@ -489,8 +498,8 @@ def merge_details(spark, sf):
 
 
 def cascade_delete(spark, sf):
-    jobs = _corpus(spark, sf)
-    return lifecycle.cascade_delete(_entities(spark, sf), jobs.filter("status = 'FAILED'")).select(
+    jobs = stored(spark, sf).jobs
+    return lifecycle.cascade_delete(stored(spark, sf).entities, jobs.filter("status = 'FAILED'")).select(
         *_SPAN_COLUMNS)
 
 
@@ -500,7 +509,7 @@ def _flawed_entities(spark, sf):
     """Entities with some offsets and scores put wrong, to have violations to find."""
     size = F.char_length("value_hash")
     picked = F.conv(F.substring("value_hash", size, 1), 16, 10).cast("int")
-    return _entities(spark, sf).select(
+    return stored(spark, sf).entities.select(
         "doc_id", "entity_type",
         F.when(picked == 1, -F.col("start_offset") - 1).otherwise(F.col("start_offset"))
         .alias("start_offset"),
@@ -512,21 +521,21 @@ def _flawed_entities(spark, sf):
 
 
 def constraint_violations(spark, sf):
-    jobs = _jobs(spark, sf).withColumn(
+    jobs = stored(spark, sf).jobs.withColumn(
         "risk_score", F.when(F.col("file_size") % 11 == 0, F.col("risk_score") + 95)
         .otherwise(F.col("risk_score")))
-    return quality.constraint_violations(jobs, _flawed_entities(spark, sf), _reports(spark, sf))
+    return quality.constraint_violations(jobs, _flawed_entities(spark, sf), stored(spark, sf).reports)
 
 
 def span_validity(spark, sf):
-    sizes = derived.corpus(spark, sf).select("doc_id", F.char_length("text").alias("char_count"))
+    sizes = stored(spark, sf).jobs.select("doc_id", "char_count")
     checked = quality.span_validity(_flawed_entities(spark, sf).join(sizes, "doc_id"))
     return checked.groupBy("entity_type", "valid").agg(F.count("*").alias("n"))
 
 
 def _records(spark, sf):
     """Canonical JSON of every report; some cut short, some out of bounds or incomplete."""
-    records = quality.report_metadata(_reports(spark, sf)).select(
+    records = quality.report_metadata(stored(spark, sf).reports).select(
         "doc_id", quality.canonical_json(F.col("metadata")).alias("json"))
     kind = F.conv(F.substring(F.sha2("doc_id", 256), 1, 1), 16, 10).cast("int")
     broken = (F.when(kind == 0, F.substring("json", F.lit(1), F.char_length("json") - 5))
@@ -552,7 +561,7 @@ def parse_metadata(spark, sf):
 
 def canonical_json(spark, sf):
     """Hash of each record's canonical form without its floating-point fields."""
-    return quality.report_metadata(_reports(spark, sf)).select(
+    return quality.report_metadata(stored(spark, sf).reports).select(
         "doc_id", quality.canonical_json(F.struct(
             "metadata.document_id", "metadata.filename", "metadata.redaction_level",
             "metadata.timestamp", "metadata.total_entities_redacted",
@@ -563,16 +572,16 @@ def canonical_json(spark, sf):
 
 
 def json_round_trip(spark, sf):
-    return quality.json_round_trip(quality.report_metadata(_reports(spark, sf)))
+    return quality.json_round_trip(quality.report_metadata(stored(spark, sf).reports))
 
 
 def orphan_rows(spark, sf):
-    return quality.orphan_rows(derived.audit_logs(spark, sf), _corpus(spark, sf)).select(
+    return quality.orphan_rows(derived.audit_logs(spark, sf), stored(spark, sf).jobs).select(
         "event_id", "doc_id", "action")
 
 
 def unique_hash_check(spark, sf):
-    return quality.repeated_hashes(_jobs(spark, sf))
+    return quality.repeated_hashes(stored(spark, sf).jobs)
 
 
 # --- streaming ------------------------------------------------------------------------------------------

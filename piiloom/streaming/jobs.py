@@ -10,24 +10,33 @@ from piiloom.operators.detect import detect_all
 from piiloom.operators.ingest import content_hash, split_valid, upload_records, validate_files
 from piiloom.plans.pipeline import scan
 
+_HASH_PARTS = 16
+
 
 def ingest(files: DataFrame, limits: dict | None = None, watermark: str | None = None,
            id: str = "file_id") -> DataFrame:
     """PENDING rows of valid files, each content once.
 
+    Copies of one content are first thinned out in several parts, so that a
+    content uploaded over and over does not end in a single state partition.
+
     Without ``watermark`` the duplicate check is exact and its state holds
     every hash seen.  With one, state is bounded and a copy arriving later than
     the watermark passes as new.
     """
     accepted, _ = split_valid(validate_files(files, limits))
-    hashed = content_hash(accepted)
+    # Contents stay behind: only narrow job rows travel to the state.
+    rows = upload_records(content_hash(accepted), id).withColumn(
+        "_part", F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_PARTS)))
     if watermark is None:
-        unique = hashed.dropDuplicates(["file_hash"])
+        once = rows.dropDuplicates(["file_hash", "_part"]).dropDuplicates(["file_hash"])
     else:
-        timed = hashed.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        unique = timed.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(
-            ["file_hash"])
-    return upload_records(unique, id)
+        once = (rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
+                .withWatermark("created_at", watermark)
+                .dropDuplicatesWithinWatermark(["file_hash", "_part"])
+                .dropDuplicatesWithinWatermark(["file_hash"])
+                .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+    return once.drop("_part")
 
 
 def detect(docs: DataFrame, **detection) -> DataFrame:
