@@ -16,7 +16,6 @@ from piiloom.functions.sqltext import name, number, string
 
 SPAN_TYPE = ("array<struct<entity_type:string,subtype:string,start_offset:int,"
              "end_offset:int,confidence:double,rule:string>>")
-_OFFSETS_TYPE = "array<struct<start_offset:int,end_offset:int>>"
 _BLOCK = 256
 _NO_SPANS = f"cast(array() as {SPAN_TYPE})"
 
@@ -26,6 +25,11 @@ def unicode_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _bind(value: str, variable: str, use: str) -> str:
+    """``use`` with ``variable`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {variable} -> {use}), 0)"
+
+
 def offsets_sql(text: str, pattern: str) -> str:
     """Every match of ``pattern`` as ``array<struct<start_offset, end_offset>>``.
 
@@ -35,21 +39,19 @@ def offsets_sql(text: str, pattern: str) -> str:
     keeps array growth cheap on texts with very many matches.
     """
     regex = string(pattern)
-    start = "acc.cursor + char_length(pair.`0`)"
-    end = f"{start} + char_length(pair.`1`)"
-    found = f"array(named_struct('start_offset', {start}, 'end_offset', {end}))"
-    none = f"cast(array() as {_OFFSETS_TYPE})"
-    within = (f"aggregate(block, named_struct('cursor', total.cursor, 'found', {none}),"
-              f" (acc, pair) -> if(pair.`1` is null, acc,"
-              f" named_struct('cursor', {end}, 'found', concat(acc.found, {found}))))")
-    blocks = (f"transform(sequence(0, (size(pairs) - 1) div {_BLOCK}),"
-              f" i -> slice(pairs, i * {_BLOCK} + 1, {_BLOCK}))")
-    fold = (f"aggregate({blocks}, named_struct('cursor', 0, 'found', {none}),"
-            f" (total, block) -> get(transform(array({within}), part -> named_struct("
-            f"'cursor', part.cursor, 'found', concat(total.found, part.found))), 0),"
-            f" total -> total.found)")
-    pairs = (f"arrays_zip(split({text}, {regex}, -1), regexp_extract_all({text}, {regex}, 0))")
-    return f"get(transform(array({pairs}), pairs -> {fold}), 0)"
+    gaps, hits = f"split({text}, {regex}, -1)", f"regexp_extract_all({text}, {regex}, 0)"
+    # The gap after the last match has no match beside it and drops out.
+    steps = ("slice(zip_with(gaps, hits, (gap, hit) -> char_length(gap) + char_length(hit)),"
+             " 1, size(hits))")
+    blocks = (f"transform(sequence(0, size(steps) div {_BLOCK}),"
+              f" i -> slice(steps, i * {_BLOCK} + 1, {_BLOCK}))")
+    within = ("aggregate(block, array(element_at(ends, -1)), (part, step) ->"
+              " concat(part, array(element_at(part, -1) + step)))")
+    ends = (f"aggregate({_bind(steps, 'steps', blocks)}, array(0),"
+            f" (ends, block) -> concat(ends, slice({within}, 2, size(block))))")
+    spans = (f"zip_with(hits, slice({ends}, 2, size(hits)), (hit, e) -> named_struct("
+             "'start_offset', e - char_length(hit), 'end_offset', e))")
+    return _bind(hits, "hits", _bind(gaps, "gaps", spans))
 
 
 def rule_spans_sql(text: str, rule: R.Rule, threshold: float, boost: bool) -> str:
@@ -73,11 +75,6 @@ def _needs_sql(text: str, needs: str) -> str:
     return f"contains({text}, {string(needs)})" if literal else f"{text} rlike {string(needs)}"
 
 
-def _bind(value: str, use) -> str:
-    """``use(v)`` with ``value`` evaluated once, however often ``v`` occurs."""
-    return f"get(transform(array({value}), v -> {use('v')}), 0)"
-
-
 def _compare(*keys: tuple[str, bool]) -> str:
     """Comparator body over ``(field, ascending)`` keys."""
     cases = []
@@ -147,7 +144,8 @@ def find_spans(text: str = "text", rules=R.DEFAULT_RULES,
                      else f"if({_needs_sql(column, needs)}, {found}, {_NO_SPANS})")
     if not parts:
         return F.expr(_NO_SPANS)
-    return F.expr(_bind(f"concat({', '.join(parts)})", _suppressed if suppress else _ordered))
+    return F.expr(_bind(f"concat({', '.join(parts)})", "found",
+                        _suppressed("found") if suppress else _ordered("found")))
 
 
 def suppress_contained(spans: str = "spans") -> Column:

@@ -93,11 +93,10 @@ def detect_person(docs: DataFrame, names: DataFrame) -> DataFrame:
     broadcast dictionary leave the join.  A dictionary over the checked size
     is joined by shuffle instead.
     """
-    pattern = "(?U)" + _TOKEN
     tokens = with_computed(
         docs.select("doc_id", "text"),
-        word=F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)),
-        at=F.expr(offsets_sql(name("text"), pattern)))
+        word=F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)),
+        at=F.expr(offsets_sql(name("text"), _TOKEN)))
     rest = F.lit(2), F.size("word")
     pairs = tokens.select("doc_id", F.inline(F.arrays_zip(
         "word", "at", F.slice("word", *rest).alias("next_word"),

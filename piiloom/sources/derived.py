@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from piiloom import rules as R
 from piiloom.functions.text import lookup
+from piiloom.sources.documents import spread
 
 _STATE = "substr('MHKADLTN', cast(1 + 2 * (k % 4) as int), 2)"
 _OFFICE = "lpad(cast(1 + k % 99 as string), 2, '0')"
@@ -69,14 +70,14 @@ def minutes_after_epoch(minutes: str):
 
 
 def kyc_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    keys = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
     return keys.select(F.concat(F.lit("k"), F.col("k").cast("string")).alias("doc_id"),
                        F.col("k").alias("n"), F.expr(KYC_TEXT).alias("text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms and prose together: ``doc_id, n, text, filename, content_type, created_at``."""
-    prose = table(spark, sf_dir, "documents").select(
+    prose = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),
         F.col("doc_id").alias("n"), "text")
     return kyc_docs(spark, sf_dir).unionByName(prose).select(

@@ -31,6 +31,18 @@ def load_documents(spark: SparkSession, path: str, format: str = "parquet",
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a coarse file scan over all cores; leave a fine one alone.
+
+    Text work is bound by CPU, and a source of fewer splits than cores (one
+    large row group, say) would keep most of them idle.  At scale a source has
+    far more splits than cores, and no row moves.  ``scan`` must be a plain
+    file scan: its splits are known without running a job.
+    """
+    wanted = 2 * scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(wanted, key) if scan.rdd.getNumPartitions() < wanted else scan
+
+
 def write_redacted(redacted: DataFrame, path: str, suffix: str = ".redacted.txt",
                    mode: str = "overwrite") -> DataFrame:
     """Write one redacted text per document and return the records to put on the job.
