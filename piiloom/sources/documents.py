@@ -18,7 +18,7 @@ def load_documents(spark: SparkSession, path: str, format: str = "parquet",
     file_size, modified_at``.
     """
     if format == "text":
-        df = (spark.read.option("wholetext", True).text(path)
+        df = (spark.read.text(path, wholetext=True)
               .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
     elif format == "binary":
         df = spark.read.format("binaryFile").load(path).select(
