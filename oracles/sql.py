@@ -217,7 +217,7 @@ _BODIES: dict[str, str] = {
     "redaction_instances": """SELECT doc_id, entity_type, s AS start_offset, e AS end_offset,
         round(confidence, 6) AS confidence, full_text AS redacted_value, value_hash FROM edits""",
     "redaction_leak_check": """SELECT r.doc_id, r.entities_redacted,
-        count(x.doc_id) FILTER (contains(r.redacted_text, x.value)) AS leaked
+        count(DISTINCT x.value) FILTER (contains(r.redacted_text, x.value)) AS leaked
         FROM redacted r LEFT JOIN edits x ON x.doc_id = r.doc_id
         GROUP BY r.doc_id, r.entities_redacted""",
     # catalog

@@ -8,35 +8,40 @@ times faster than making the same nodes call by call from Python.
 from __future__ import annotations
 
 from piiloom import rules as R
+from piiloom.functions.chunks import cut_sql
 from piiloom.functions.sqltext import number, string
 
 _TOKEN = string(r"[\p{L}\p{M}\p{N}]+")
-_NEAR = 200
+_NEAR = (200, 4000)
 
 
 def _tokens(text: str) -> str:
     return f"regexp_extract_all(lower({text}), {_TOKEN}, 0)"
 
 
-def preceding_words_sql(text: str, start: str, window: int = R.CONTEXT_WINDOW) -> str:
+def preceding_words_sql(chunks: str, start: str, window: int = R.CONTEXT_WINDOW) -> str:
     """The last ``window`` lower-cased tokens before ``start``, space-joined and padded.
 
-    Looks at the 200 characters before the match.  If those hold too few
-    tokens to be sure (the first may be cut), the whole prefix is tokenised
-    instead, so the answer never depends on the shortcut.
+    ``chunks`` is the text cut by :func:`piiloom.functions.chunks.chunks_sql`.
+    Looks at the 200 characters before the match, then at 4000.  If those hold
+    too few tokens to be sure (the first may be cut), the whole prefix is
+    tokenised, so the answer never depends on the shortcut.
     """
-    near = _tokens(f"substring({text}, greatest({start} - {_NEAR - 1}, 1), least({start}, {_NEAR}))")
-    whole = _tokens(f"substring({text}, 1, {start})")
-    enough = f"transform(array({near}), w -> if({start} <= {_NEAR} or size(w) > {window}, w, {whole}))"
-    last = f"transform({enough}, w -> slice(w, greatest(size(w) - {window - 1}, 1), {window}))"
+    words = _tokens(cut_sql(chunks, "0", start))
+    for size in reversed(_NEAR):
+        near = _tokens(cut_sql(chunks, f"greatest({start} - {size}, 0)", f"least({start}, {size})"))
+        words = (f"get(transform(array({near}), w{size} -> if({start} <= {size}"
+                 f" or size(w{size}) > {window}, w{size}, {words})), 0)")
+    last = (f"transform(array({words}), w ->"
+            f" slice(w, greatest(size(w) - {window - 1}, 1), {window}))")
     return f"concat(' ', array_join(flatten({last}), ' '), ' ')"
 
 
-def boosted_score_sql(text: str, start: str, score: float, words,
+def boosted_score_sql(chunks: str, start: str, score: float, words,
                       window: int = R.CONTEXT_WINDOW, boost: float = R.CONTEXT_BOOST,
                       floor: float = R.CONTEXT_FLOOR) -> str:
     """``score``, raised when one of ``words`` precedes the match."""
     raised = min(1.0, max(score + boost, floor))
     near = " or ".join(f"contains(p, {string(' ' + word.lower() + ' ')})" for word in words)
-    before = preceding_words_sql(text, start, window)
+    before = preceding_words_sql(chunks, start, window)
     return f"if(exists(array({before}), p -> {near}), {number(raised)}, {number(score)})"

@@ -11,12 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
+from piiloom.functions.chunks import chunks_sql, cut_sql
 from piiloom.functions.context import boosted_score_sql
 from piiloom.functions.sqltext import name, number, string
 
 SPAN_TYPE = ("array<struct<entity_type:string,subtype:string,start_offset:int,"
              "end_offset:int,confidence:double,rule:string>>")
 _BLOCK = 256
+_GROW = "named_struct('open', part.open, 'kept', concat(total.kept, part.kept))"
 _NO_SPANS = f"cast(array() as {SPAN_TYPE})"
 
 
@@ -30,6 +32,13 @@ def _bind(value: str, variable: str, use: str) -> str:
     return f"get(transform(array({value}), {variable} -> {use}), 0)"
 
 
+def _blocks(values: str) -> str:
+    """An array cut in blocks.  A fold that appends to its result copies it at
+    every step; folding block by block keeps that copying to the block."""
+    return _bind(values, "all", f"transform(sequence(0, size(all) div {_BLOCK}),"
+                                f" i -> slice(all, i * {_BLOCK} + 1, {_BLOCK}))")
+
+
 def offsets_sql(text: str, pattern: str) -> str:
     """Every match of ``pattern`` as ``array<struct<start_offset, end_offset>>``.
 
@@ -43,11 +52,9 @@ def offsets_sql(text: str, pattern: str) -> str:
     # The gap after the last match has no match beside it and drops out.
     steps = ("slice(zip_with(gaps, hits, (gap, hit) -> char_length(gap) + char_length(hit)),"
              " 1, size(hits))")
-    blocks = (f"transform(sequence(0, size(steps) div {_BLOCK}),"
-              f" i -> slice(steps, i * {_BLOCK} + 1, {_BLOCK}))")
     within = ("aggregate(block, array(element_at(ends, -1)), (part, step) ->"
               " concat(part, array(element_at(part, -1) + step)))")
-    ends = (f"aggregate({_bind(steps, 'steps', blocks)}, array(0),"
+    ends = (f"aggregate({_blocks(steps)}, array(0),"
             f" (ends, block) -> concat(ends, slice({within}, 2, size(block))))")
     spans = (f"zip_with(hits, slice({ends}, 2, size(hits)), (hit, e) -> named_struct("
              "'start_offset', e - char_length(hit), 'end_offset', e))")
@@ -55,11 +62,14 @@ def offsets_sql(text: str, pattern: str) -> str:
 
 
 def rule_spans_sql(text: str, rule: R.Rule, threshold: float, boost: bool) -> str:
-    """Spans of one rule that reach ``threshold`` (inclusive)."""
+    """Spans of one rule that reach ``threshold`` (inclusive).
+
+    With ``boost`` the expression refers to a variable ``chunks``.
+    """
     pattern = unicode_pattern(rule.pattern)
     score = number(rule.score)
     if boost and rule.context:
-        score = boosted_score_sql(text, "m.start_offset", rule.score, rule.context)
+        score = boosted_score_sql("chunks", "m.start_offset", rule.score, rule.context)
     span = (f"named_struct('entity_type',"
             f" {string(R.NORMALISED_TYPES.get(rule.entity_type, rule.entity_type))},"
             f" 'subtype', {string(rule.subtype)}, 'start_offset', m.start_offset,"
@@ -103,24 +113,32 @@ def _suppressed(spans: str) -> str:
     covered = (f"exists(acc.open, o -> {same_type} and o.end_offset >= s.end_offset"
                " and o.confidence >= s.confidence)")
     still_open = f"filter(acc.open, o -> {same_type} and o.end_offset > s.start_offset)"
-    kept = (f"aggregate(array_sort({spans}, (a, b) -> {order}),"
+    within = (f"aggregate(block, named_struct('open', total.open, 'kept', {_NO_SPANS}),"
+              f" (acc, s) -> if({covered}, acc, named_struct("
+              f"'open', concat({still_open}, array(s)), 'kept', concat(acc.kept, array(s)))))")
+    kept = (f"aggregate({_blocks(f'array_sort({spans}, (a, b) -> {order})')},"
             f" named_struct('open', {_NO_SPANS}, 'kept', {_NO_SPANS}),"
-            f" (acc, s) -> if({covered}, acc, named_struct("
-            f"'open', concat({still_open}, array(s)), 'kept', concat(acc.kept, array(s)))),"
-            " acc -> acc.kept)")
+            f" (total, block) -> {_bind(within, 'part', _GROW)}, total -> total.kept)")
     return f"if(size({spans}) > 1, {_ordered(kept)}, {spans})"
 
 
 def _merged(spans: str) -> str:
-    last = "element_at(acc, -1)"
-    joined = (f"named_struct('entity_type', {last}.entity_type, 'subtype', {last}.subtype,"
-              f" 'start_offset', {last}.start_offset,"
-              f" 'end_offset', greatest({last}.end_offset, s.end_offset),"
-              f" 'confidence', greatest({last}.confidence, s.confidence),"
-              f" 'rule', {last}.rule)")
-    touches = "coalesce(get(acc, size(acc) - 1).end_offset, 0) > s.start_offset"
-    fold = (f"aggregate({_ordered(spans)}, {_NO_SPANS}, (acc, s) -> if({touches},"
-            f" concat(slice(acc, 1, size(acc) - 1), array({joined})), concat(acc, array(s))))")
+    joined = ("named_struct('entity_type', acc.last.entity_type, 'subtype', acc.last.subtype,"
+              " 'start_offset', acc.last.start_offset,"
+              " 'end_offset', greatest(acc.last.end_offset, s.end_offset),"
+              " 'confidence', greatest(acc.last.confidence, s.confidence),"
+              " 'rule', acc.last.rule)")
+    done = "if(acc.last is null, acc.kept, concat(acc.kept, array(acc.last)))"
+    step = (f"if(coalesce(acc.last.end_offset > s.start_offset, false),"
+            f" named_struct('last', {joined}, 'kept', acc.kept),"
+            f" named_struct('last', s, 'kept', {done}))")
+    within = (f"aggregate(block, named_struct('last', total.last, 'kept', {_NO_SPANS}),"
+              f" (acc, s) -> {step})")
+    grow = "named_struct('last', part.last, 'kept', concat(total.kept, part.kept))"
+    fold = (f"aggregate({_blocks(_ordered(spans))},"
+            f" named_struct('last', get({_NO_SPANS}, 0), 'kept', {_NO_SPANS}),"
+            f" (total, block) -> {_bind(within, 'part', grow)},"
+            f" acc -> {done})")
     return f"if(size({spans}) > 1, {fold}, {spans})"
 
 
@@ -140,6 +158,8 @@ def find_spans(text: str = "text", rules=R.DEFAULT_RULES,
     parts = []
     for needs, expressions in groups.items():
         found = f"concat({', '.join(expressions)})"
+        if boost and "chunks" in found:
+            found = _bind(chunks_sql(column), "chunks", found)
         parts.append(found if needs is None
                      else f"if({_needs_sql(column, needs)}, {found}, {_NO_SPANS})")
     if not parts:
@@ -156,3 +176,33 @@ def suppress_contained(spans: str = "spans") -> Column:
 def merge_overlaps(spans: str = "spans") -> Column:
     """Overlapping spans joined into one; the earliest, longest span names it."""
     return F.expr(_merged(name(spans)))
+
+
+def splice_sql(edits: str, chunks: str, size: str) -> str:
+    """A text of ``size`` characters after all ``edits``, last start first.
+
+    Read from the left, an edit removes its own characters and whatever later
+    edits put there: ``carry`` counts what an overlapping edit still has to
+    remove beyond the next start.  So one walk writes the result, and only the
+    pieces between edits are copied from the text.
+    """
+    order = "case when a.start_offset > b.start_offset then -1 " \
+            "when a.start_offset < b.start_offset then 1 else 0 end"
+    listed = f"reverse(array_sort({edits}, (a, b) -> {order}))"
+    following = f"concat(slice(transform(todo, t -> t.start_offset), 2, size(todo)), array({size}))"
+    steps = _bind(listed, "todo", f"zip_with(todo, {following}, (t, n) -> named_struct("
+                  "'at', t.start_offset, 'take', t.end_offset - t.start_offset,"
+                  " 'next', n, 'put', t.replacement))")
+    taken = "(x.take + greatest(acc.carry - char_length(x.put), 0))"
+    rest = cut_sql(chunks, f"x.at + {taken}", f"x.next - x.at - {taken}")
+    piece = (f"concat(substring(x.put, acc.carry + 1, char_length(x.put)),"
+             f" if({taken} < x.next - x.at, {rest}, ''))")
+    none = "cast(array() as array<string>)"
+    within = (f"aggregate(block, named_struct('carry', total.carry, 'out', {none}), (acc, x) ->"
+              f" named_struct('carry', greatest({taken} - (x.next - x.at), 0),"
+              f" 'out', concat(acc.out, array({piece}))))")
+    grow = "named_struct('carry', part.carry, 'out', concat(total.out, part.out))"
+    fold = (f"aggregate({_blocks(steps)}, named_struct('carry', 0, 'out', {none}),"
+            f" (total, block) -> {_bind(within, 'part', grow)}, total -> array_join(total.out, ''))")
+    head = cut_sql(chunks, "0", f"array_min(transform({edits}, t -> t.start_offset))")
+    return f"concat({head}, {fold})"

@@ -29,12 +29,6 @@ def escape_markup(text: Column) -> Column:
     return F.replace(escaped, F.lit(">"), F.lit("&gt;"))
 
 
-def span_text(text: Column, span: Column) -> Column:
-    """The characters a span covers (offsets are 0-based, end-exclusive)."""
-    return F.substring(text, span["start_offset"] + 1,
-                       span["end_offset"] - span["start_offset"])
-
-
 def lookup(table: dict, key: Column, default=None) -> Column:
     """Constant-table lookup as one CASE expression."""
     result = None

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from piiloom import rules as R
+from piiloom.functions.chunks import chunks_where, cut_sql
 from piiloom.functions.columns import with_computed
-from piiloom.functions.text import lookup, span_text
+from piiloom.functions.text import lookup
 
 
 def _only(df: DataFrame, doc_id: str | None) -> DataFrame:
@@ -127,9 +128,11 @@ def text_segments(scanned: DataFrame) -> DataFrame:
                                         F.lit(None).cast("string")))).otherwise(
         F.array().cast("array<struct<start_offset:int,end_offset:int,entity_type:string>>"))
     df = with_computed(scanned.select("doc_id", "text", "spans"),
-                       pieces=F.concat(F.flatten(F.transform(spans, pieces)), tail))
-    cut = F.transform(F.col("pieces"), lambda p: F.struct(
-        p["entity_type"].alias("entity_type"), span_text(text, p).alias("segment")))
+                       pieces=F.concat(F.flatten(F.transform(spans, pieces)), tail),
+                       chunks=chunks_where("true"))
+    segment = cut_sql("chunks", "p.start_offset", "p.end_offset - p.start_offset")
+    cut = F.expr("transform(pieces, p -> named_struct('entity_type', p.entity_type,"
+                 f" 'segment', {segment}))")
     return df.select("doc_id", F.posexplode(cut).alias("segment_no", "s")).select(
         "doc_id", "segment_no", "s.entity_type", "s.segment")
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
+from piiloom.functions.chunks import chunks_where, cut_sql
 from piiloom.functions.columns import with_computed
 from piiloom.functions.spans import find_spans, offsets_sql, suppress_contained
 from piiloom.functions.sqltext import name
-from piiloom.functions.text import span_text
 from piiloom.session import broadcast_if_small
 
 _TOKEN = r"[\p{L}\p{M}\p{N}]+"
@@ -23,13 +23,18 @@ def with_spans(docs: DataFrame, rules=R.DEFAULT_RULES,
         "text", rules, threshold, entity_types, boost, suppress))
 
 
-def hashed_spans(spans: str = "spans", text: str = "text") -> Column:
-    """The spans with the SHA-256 of each value added."""
-    return F.transform(F.col(spans), lambda s: F.struct(
-        s["entity_type"].alias("entity_type"), s["subtype"].alias("subtype"),
-        s["start_offset"].alias("start_offset"), s["end_offset"].alias("end_offset"),
-        s["confidence"].alias("confidence"), s["rule"].alias("rule"),
-        F.sha2(span_text(F.col(text), s), 256).alias("value_hash")))
+def with_chunks(scanned: DataFrame) -> DataFrame:
+    """Add ``chunks``, the text cut for cheap access, on rows that have spans."""
+    return with_computed(scanned, chunks=chunks_where("size(spans) > 0"))
+
+
+def hashed_spans(spans: str = "spans", chunks: str = "chunks") -> Column:
+    """The spans with the SHA-256 of each value added; reads :func:`with_chunks`."""
+    value = cut_sql(name(chunks), "s.start_offset", "s.end_offset - s.start_offset")
+    return F.expr(
+        f"transform({name(spans)}, s -> named_struct('entity_type', s.entity_type,"
+        " 'subtype', s.subtype, 'start_offset', s.start_offset, 'end_offset', s.end_offset,"
+        f" 'confidence', s.confidence, 'rule', s.rule, 'value_hash', sha2({value}, 256)))")
 
 
 def entity_rows(scanned: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def entity_rows(scanned: DataFrame) -> DataFrame:
 
     Hashes are taken inside the array, so the text is not copied per span.
     """
-    return scanned.select("doc_id", F.inline(hashed_spans()))
+    return with_chunks(scanned).select("doc_id", F.inline(hashed_spans()))
 
 
 def detect_all(docs: DataFrame, rules=R.DEFAULT_RULES,

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piiloom.functions import masking as M
+from piiloom.functions.chunks import cut_sql
 from piiloom.functions.columns import with_computed
-from piiloom.functions.spans import merge_overlaps
-from piiloom.functions.text import span_text
+from piiloom.functions.spans import merge_overlaps, splice_sql
+from piiloom.functions.sqltext import name
+from piiloom.operators.detect import with_chunks
 
 
 def with_redactions(scanned: DataFrame, level: str, salt: str = M.DEFAULT_SALT,
@@ -22,34 +24,37 @@ def with_redactions(scanned: DataFrame, level: str, salt: str = M.DEFAULT_SALT,
         raise ValueError(f"overlap must be 'splice' or 'merge', not {overlap!r}")
     if overlap == "merge":
         scanned = with_computed(scanned, spans=merge_overlaps("spans"))
+    cut = with_computed(with_chunks(scanned), values=span_values())
 
-    def edit(span):
-        value = span_text(F.col("text"), span)
+    def edit(span, i):
+        value = F.get("values", i)
         return F.struct(
             span["entity_type"].alias("entity_type"), span["start_offset"].alias("start_offset"),
             span["end_offset"].alias("end_offset"), span["confidence"].alias("confidence"),
             F.sha2(value, 256).alias("value_hash"),
             M.replacement(value, span["entity_type"], level, salt).alias("replacement"))
 
-    return with_computed(scanned, redactions=F.transform(F.col("spans"), edit))
+    return with_computed(cut, redactions=F.transform(F.col("spans"), edit)).drop("values")
+
+
+def span_values(spans: str = "spans", chunks: str = "chunks") -> Column:
+    """The text each span covers, in the order of the spans."""
+    value = cut_sql(name(chunks), "s.start_offset", "s.end_offset - s.start_offset")
+    return F.expr(f"transform({name(spans)}, s -> {value})")
 
 
 def redact(scanned: DataFrame, level: str, salt: str = M.DEFAULT_SALT,
            overlap: str = "splice") -> DataFrame:
     """Add ``redactions``, ``redacted_text``, ``entities_redacted`` and ``redaction_level``.
 
-    Edits run from the last start to the first, so earlier offsets stay valid.
+    The result is that of making the edits one after the other from the last
+    start to the first, at their original offsets.
     """
     edits = with_redactions(scanned, level, salt, overlap)
-    backwards = F.array_sort(F.col("redactions"), lambda a, b: F.when(
-        a["start_offset"] > b["start_offset"], F.lit(-1)).when(
-        a["start_offset"] < b["start_offset"], F.lit(1)).otherwise(F.lit(0)))
-    spliced = F.aggregate(backwards, F.col("text"), lambda text, r: F.concat(
-        F.substring(text, F.lit(1), r["start_offset"]), r["replacement"],
-        F.substring(text, r["end_offset"] + 1, F.char_length(text))))
-    return with_computed(edits, redacted_text=spliced,
-                         entities_redacted=F.size("redactions"),
-                         redaction_level=F.lit(level))
+    spliced = splice_sql("redactions", "chunks", "char_length(text)")
+    return with_computed(
+        edits, redacted_text=F.expr(f"if(size(redactions) > 0, {spliced}, text)"),
+        entities_redacted=F.size("redactions"), redaction_level=F.lit(level))
 
 
 def span_hash_rows(redacted: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def redaction_reports(redacted: DataFrame, timestamp=None) -> DataFrame:
 
 
 def leak_check(redacted: DataFrame) -> DataFrame:
-    """Per document, how many original values still occur in the redacted text."""
-    values = F.transform(F.col("spans"), lambda s: span_text(F.col("text"), s))
-    leaks = F.filter(values, lambda v: F.col("redacted_text").contains(v))
-    return redacted.select("doc_id", "entities_redacted", F.size(leaks).alias("leaked"))
+    """Per document, how many distinct original values still occur in the redacted text."""
+    df = with_computed(redacted, values=F.array_distinct(span_values()))
+    leaks = F.filter("values", lambda v: F.col("redacted_text").contains(v))
+    return df.select("doc_id", "entities_redacted", F.size(leaks).alias("leaked"))

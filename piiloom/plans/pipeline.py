@@ -56,7 +56,7 @@ def process(docs: DataFrame, level: str = "FULL", salt: str = DEFAULT_SALT,
         redacted, spans=hashed_spans(), file_hash=F.sha2("text", 256),
         file_size=F.octet_length("text").cast("long"),
         char_count=F.char_length("text").cast("long"))
-    return storage_keys(measured.drop("text"))
+    return storage_keys(measured.drop("text", "chunks"))
 
 
 def job_table(processed: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:

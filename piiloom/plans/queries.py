@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from piiloom import rules as R
-from piiloom.functions.text import span_text
 from piiloom.operators import (catalog, detect, govern, ingest, lifecycle, quality,
                                redact, risk)
 from piiloom.plans import pipeline
@@ -164,11 +163,12 @@ def detect_person(spark, sf):
 
 def spans(spark, sf):
     docs = derived.corpus(spark, sf)
-    parts = detect.with_spans(docs, threshold=0.0, boost=False, suppress=False)
-    cut = F.transform(F.col("spans"), lambda s: F.struct(
-        s["rule"].alias("rule"), s["start_offset"].alias("start_offset"),
-        s["end_offset"].alias("end_offset"), span_text(F.col("text"), s).alias("value")))
-    return parts.select("doc_id", F.inline(cut))
+    parts = detect.with_chunks(detect.with_spans(docs, threshold=0.0, boost=False,
+                                                 suppress=False))
+    values = F.transform(F.arrays_zip("spans", redact.span_values().alias("value")), lambda z: F.struct(
+        z["spans"]["rule"].alias("rule"), z["spans"]["start_offset"].alias("start_offset"),
+        z["spans"]["end_offset"].alias("end_offset"), z["value"].alias("value")))
+    return parts.select("doc_id", F.inline(values))
 
 
 def context_boost(spark, sf):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
+from piiloom.functions.chunks import chunks_sql, cut_sql
 from piiloom.functions.context import preceding_words_sql
 from piiloom.functions.spans import offsets_sql
 from piiloom.operators import detect
@@ -54,6 +55,15 @@ def test_offsets_agree_with_python_on_awkward_texts(spark, texts):
             m.span() for m in re.finditer("[0-9]+", text)]
 
 
+def test_cutting_chunks_equals_slicing(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀é"[i % 2] for i in range(3500))
+    points = [0, 1, 1023, 1024, 1025, 2047, 2048, 3000, 3071, 3072, 3499, 3500]
+    rows = [(text, a, b - a) for a in points for b in points if a <= b] + [("", 0, 0)]
+    df = spark.createDataFrame(rows, "text string, a int, n int")
+    for r in df.select("*", F.expr(cut_sql(chunks_sql("text"), "a", "n")).alias("c")).collect():
+        assert r.c == r.text[r.a:r.a + r.n]
+
+
 def test_unicode_spaces_and_letters_count_as_in_python(texts):
     docs = texts("Aadhaar 2345 6789 0123.", "é2345 6789 0123", "Aadhaar: réen.19@mail.fr")
     rows = {(r.doc_id, r.rule, r.start_offset) for r in detect.detect_all(docs).collect()}
@@ -85,7 +95,7 @@ def test_context_shortcut_equals_the_whole_prefix(spark):
             text = f"start Aadhaar {a} -- {b}   {a} X"
             rows.append((text, len(text) - 1))
     df = spark.createDataFrame(rows, "text string, at int")
-    got = df.select("text", "at", F.expr(preceding_words_sql("text", "at")).alias("w")).collect()
+    got = df.select("text", "at", F.expr(preceding_words_sql(chunks_sql("text"), "at")).alias("w")).collect()
     for r in got:
         tokens = re.findall(r"[^\W_]+", r.text[:r.at].lower())[-5:]
         assert r.w == " " + " ".join(tokens) + " "

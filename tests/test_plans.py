@@ -30,7 +30,7 @@ def docs(spark, tmp_path_factory):
 def passes(plan):
     """Regex passes that make spans: one ``split`` and one extraction per rule."""
     n_split = len(re.findall(r"\bsplit\(", plan))
-    n_extract = plan.count("regexp_extract_all(text")
+    n_extract = len(re.findall(r"regexp_extract_all\(text#\d+, \(\?U\)", plan))
     return n_split, n_extract
 
 
