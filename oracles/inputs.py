@@ -20,7 +20,7 @@ RULES = (
     ("aadhaar_hyphen", "AADHAAR", r"\b[2-9][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.85),
     ("aadhaar_plain", "AADHAAR", r"\b[2-9][0-9]{11}\b", 0.60),
     ("pan_holder_letter", "PAN", r"\b[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]\b", 0.85),
-    ("pan_shape", "PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0.60),
+    ("pan_shape", "PAN", r"\b[A-Z]{3}[DEIKMNOQRSUVWXYZ][A-Z][0-9]{4}[A-Z]\b", 0.60),
     ("dl_spaced_initials", "DRIVING_LICENSE",
      r"\b[A-Z]{2}[0-9]{2}\s[A-Z]{1,2}\s[0-9]{4}\s[0-9]{7}\b", 0.80),
     ("dl_spaced", "DRIVING_LICENSE", r"\b[A-Z]{2}[0-9]{2}\s[0-9]{4}\s[0-9]{7}\b", 0.75),

@@ -17,7 +17,8 @@ CHUNK = 1024
 
 def chunks_sql(text: str) -> str:
     """``text`` as an array of strings of ``CHUNK`` characters, the last one shorter."""
-    return f"regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0)"
+    return (f"if(octet_length({text}) <= {CHUNK}, array({text}),"
+            f" regexp_extract_all({text}, r'(?s).{{1,{CHUNK}}}', 0))")
 
 
 def cut_sql(chunks: str, start: str, length: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from piiloom import rules as R
 from piiloom.functions.chunks import cut_sql
-from piiloom.functions.sqltext import number, string
+from piiloom.functions.sqltext import string
 
 _TOKEN = string(r"[\p{L}\p{M}\p{N}]+")
 _NEAR = (200, 4000)
@@ -37,11 +37,18 @@ def preceding_words_sql(chunks: str, start: str, window: int = R.CONTEXT_WINDOW)
     return f"concat(' ', array_join(flatten({last}), ' '), ' ')"
 
 
-def boosted_score_sql(chunks: str, start: str, score: float, words,
-                      window: int = R.CONTEXT_WINDOW, boost: float = R.CONTEXT_BOOST,
-                      floor: float = R.CONTEXT_FLOOR) -> str:
-    """``score``, raised when one of ``words`` precedes the match."""
-    raised = min(1.0, max(score + boost, floor))
-    near = " or ".join(f"contains(p, {string(' ' + word.lower() + ' ')})" for word in words)
+def near_words_sql(chunks: str, start: str, context: str, word_lists,
+                   window: int = R.CONTEXT_WINDOW) -> str:
+    """Whether a word of list number ``context`` is among the tokens before ``start``."""
+    cases = []
+    for i, words in enumerate(word_lists):
+        hits = " or ".join(f"contains(p, {string(' ' + w.lower() + ' ')})" for w in words)
+        cases.append(f"when {i} then {hits}")
     before = preceding_words_sql(chunks, start, window)
-    return f"if(exists(array({before}), p -> {near}), {number(raised)}, {number(score)})"
+    return f"exists(array({before}), p -> case {context} {' '.join(cases)} else false end)"
+
+
+def raised_score(score: float, boost: float = R.CONTEXT_BOOST,
+                 floor: float = R.CONTEXT_FLOOR) -> float:
+    """A rule's score when one of its context words precedes the match."""
+    return min(1.0, max(score + boost, floor))

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from piiloom import rules as R
 from piiloom.functions.chunks import chunks_sql, cut_sql
-from piiloom.functions.context import boosted_score_sql
+from piiloom.functions.context import near_words_sql, raised_score
 from piiloom.functions.sqltext import name, number, string
 
 SPAN_TYPE = ("array<struct<entity_type:string,subtype:string,start_offset:int,"
              "end_offset:int,confidence:double,rule:string>>")
 _BLOCK = 256
 _GROW = "named_struct('open', part.open, 'kept', concat(total.kept, part.kept))"
+_HIT_TYPE = ("array<struct<entity_type:string,subtype:string,start_offset:int,end_offset:int,"
+             "confidence:double,raised:double,context:int,rule:string>>")
+_NO_HITS = f"cast(array() as {_HIT_TYPE})"
 _NO_SPANS = f"cast(array() as {SPAN_TYPE})"
 
 
@@ -61,23 +64,33 @@ def offsets_sql(text: str, pattern: str) -> str:
     return _bind(hits, "hits", _bind(gaps, "gaps", spans))
 
 
-def rule_spans_sql(text: str, rule: R.Rule, threshold: float, boost: bool) -> str:
-    """Spans of one rule that reach ``threshold`` (inclusive).
-
-    With ``boost`` the expression refers to a variable ``chunks``.
-    """
+def _rule_hits_sql(text: str, rule: R.Rule, context: int | None) -> str:
+    """Matches of one rule with both its scores and the number of its word list."""
     pattern = unicode_pattern(rule.pattern)
-    score = number(rule.score)
-    if boost and rule.context:
-        score = boosted_score_sql("chunks", "m.start_offset", rule.score, rule.context)
-    span = (f"named_struct('entity_type',"
-            f" {string(R.NORMALISED_TYPES.get(rule.entity_type, rule.entity_type))},"
-            f" 'subtype', {string(rule.subtype)}, 'start_offset', m.start_offset,"
-            f" 'end_offset', m.end_offset, 'confidence', {score}, 'rule', {string(rule.name)})")
-    spans = f"transform({offsets_sql(text, pattern)}, m -> {span})"
-    if rule.score < threshold:
-        spans = f"filter({spans}, s -> s.confidence >= {number(threshold)})"
-    return f"if({text} rlike {string(pattern)}, cast({spans} as {SPAN_TYPE}), {_NO_SPANS})"
+    raised = rule.score if context is None else raised_score(rule.score)
+    hit = (f"named_struct('entity_type',"
+           f" {string(R.NORMALISED_TYPES.get(rule.entity_type, rule.entity_type))},"
+           f" 'subtype', {string(rule.subtype)}, 'start_offset', m.start_offset,"
+           f" 'end_offset', m.end_offset, 'confidence', {number(rule.score)},"
+           f" 'raised', {number(raised)}, 'context', {-1 if context is None else context},"
+           f" 'rule', {string(rule.name)})")
+    hits = f"transform({offsets_sql(text, pattern)}, m -> {hit})"
+    return f"if({text} rlike {string(pattern)}, {hits}, {_NO_HITS})"
+
+
+def _scored(text: str, word_lists, threshold: float) -> str:
+    """The spans of the array ``hits`` that reach ``threshold``, scores raised by context."""
+    score = "h.confidence"
+    if word_lists:
+        near = near_words_sql("chunks", "h.start_offset", "h.context", word_lists)
+        score = f"if(h.raised > h.confidence and {near}, h.raised, h.confidence)"
+    spans = (f"transform(hits, h -> named_struct('entity_type', h.entity_type,"
+             f" 'subtype', h.subtype, 'start_offset', h.start_offset, 'end_offset', h.end_offset,"
+             f" 'confidence', {score}, 'rule', h.rule))")
+    kept = f"filter({spans}, s -> s.confidence >= {number(threshold)})"
+    if word_lists:
+        kept = _bind(chunks_sql(text), "chunks", kept)
+    return f"if(size(hits) > 0, {kept}, {_NO_SPANS})"
 
 
 def _needs_sql(text: str, needs: str) -> str:
@@ -119,7 +132,9 @@ def _suppressed(spans: str) -> str:
     kept = (f"aggregate({_blocks(f'array_sort({spans}, (a, b) -> {order})')},"
             f" named_struct('open', {_NO_SPANS}, 'kept', {_NO_SPANS}),"
             f" (total, block) -> {_bind(within, 'part', _GROW)}, total -> total.kept)")
-    return f"if(size({spans}) > 1, {_ordered(kept)}, {spans})"
+    alone = f"size(array_distinct(transform({spans}, s -> s.entity_type))) = size({spans})"
+    return (f"case when size({spans}) <= 1 then {spans} when {alone} then {_ordered(spans)}"
+            f" else {_ordered(kept)} end")
 
 
 def _merged(spans: str) -> str:
@@ -152,20 +167,21 @@ def find_spans(text: str = "text", rules=R.DEFAULT_RULES,
     A null text has no spans.
     """
     column = name(text)
+    chosen = R.select_rules(rules, entity_types, threshold)
+    word_lists = list(dict.fromkeys(r.context for r in chosen if r.context)) if boost else []
     groups: dict[str | None, list[str]] = {}
-    for rule in R.select_rules(rules, entity_types, threshold):
-        groups.setdefault(rule.needs, []).append(rule_spans_sql(column, rule, threshold, boost))
+    for rule in chosen:
+        context = word_lists.index(rule.context) if boost and rule.context else None
+        groups.setdefault(rule.needs, []).append(_rule_hits_sql(column, rule, context))
     parts = []
     for needs, expressions in groups.items():
         found = f"concat({', '.join(expressions)})"
-        if boost and "chunks" in found:
-            found = _bind(chunks_sql(column), "chunks", found)
         parts.append(found if needs is None
-                     else f"if({_needs_sql(column, needs)}, {found}, {_NO_SPANS})")
+                     else f"if({_needs_sql(column, needs)}, {found}, {_NO_HITS})")
     if not parts:
         return F.expr(_NO_SPANS)
-    return F.expr(_bind(f"concat({', '.join(parts)})", "found",
-                        _suppressed("found") if suppress else _ordered("found")))
+    scored = _bind(f"concat({', '.join(parts)})", "hits", _scored(column, word_lists, threshold))
+    return F.expr(_bind(scored, "found", _suppressed("found") if suppress else _ordered("found")))
 
 
 def suppress_contained(spans: str = "spans") -> Column:

@@ -65,7 +65,7 @@ DEFAULT_RULES: tuple[Rule, ...] = (
          0.60, GOVT_ID, AADHAAR_CONTEXT, _DIGITS),
     Rule("pan_holder_letter", "PAN", r"\b[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]\b",
          0.85, GOVT_ID, PAN_CONTEXT, _DIGITS),
-    Rule("pan_shape", "PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
+    Rule("pan_shape", "PAN", r"\b[A-Z]{3}[DEIKMNOQRSUVWXYZ][A-Z][0-9]{4}[A-Z]\b",
          0.60, GOVT_ID, PAN_CONTEXT, _DIGITS),
     Rule("dl_spaced_initials", "DRIVING_LICENSE",
          r"\b[A-Z]{2}[0-9]{2}\s[A-Z]{1,2}\s[0-9]{4}\s[0-9]{7}\b",
