@@ -90,6 +90,11 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
 
 
+def counts_in_row(scored: DataFrame) -> DataFrame:
+    """The same rows from the ``type_totals`` of scored documents, without a shuffle."""
+    return scored.select("doc_id", F.inline("type_totals")).select("doc_id", "entity_type", "n")
+
+
 def detect_person(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Person names from a caller's dictionary ``names(name, score)``.
 

@@ -9,11 +9,20 @@ from piiloom import rules as R
 from piiloom.functions.masking import REDACTED
 from piiloom.functions.text import lookup
 
-_NO_TAGS = "array<string>"
+def tag_array(types: Column, tags: dict | None = None) -> Column:
+    """Distinct tags of an array of entity types, sorted; unknown types are ignored."""
+    table = R.tag_map() if tags is None else tags
+    return F.array_sort(F.array_distinct(F.array_compact(
+        F.transform(types, lambda t: lookup(table, t)))))
+
+
+def doc_tags(jobs: DataFrame) -> DataFrame:
+    """One row per document and tag, from the ``tags`` array of each job row."""
+    return jobs.select("doc_id", F.explode("tags").alias("tag_fqn"))
 
 
-def doc_tags(entities: DataFrame, tags: dict | None = None) -> DataFrame:
-    """Distinct tag of each document's entity types; types without a tag are ignored."""
+def tags_of_entities(entities: DataFrame, tags: dict | None = None) -> DataFrame:
+    """The same rows from a bare entity table."""
     table = R.tag_map() if tags is None else tags
     return (entities.select("doc_id", lookup(table, F.col("entity_type")).alias("tag_fqn"))
             .filter("tag_fqn is not null").distinct())
@@ -24,16 +33,19 @@ def new_tags(tags: DataFrame, existing: DataFrame) -> DataFrame:
     return tags.join(existing, ["doc_id", "tag_fqn"], "left_anti")
 
 
-def tag_hierarchy(tags: DataFrame, root: str = R.TAG_ROOT) -> DataFrame:
+def tag_hierarchy(jobs: DataFrame, root: str = R.TAG_ROOT) -> DataFrame:
     """Every level of the tag tree in use, with its label and document count.
 
-    Levels are cut out of each dotted name; documents are counted once per
-    level however many of their tags lie below it.
+    Levels are cut out of the dotted names and made distinct within the job
+    row, so the only shuffle carries one partial count per level and task.
     """
-    parts = F.split("tag_fqn", r"\.")
-    level = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
-                                  lambda i: F.array_join(F.slice(parts, 1, i), ".")))
-    counted = (tags.select("doc_id", level.alias("tag_fqn")).distinct()
+    def levels(tag):
+        parts = F.split(tag, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)),
+                           lambda i: F.array_join(F.slice(parts, 1, i), "."))
+
+    within = F.array_distinct(F.flatten(F.transform("tags", levels)))
+    counted = (jobs.select(F.explode(within).alias("tag_fqn"))
                .groupBy("tag_fqn").agg(F.count("*").alias("n_docs")))
     names = {f"{root}.{k}": v[0] for k, v in R.TAG_LABELS.items()} | {root: root}
     texts = {f"{root}.{k}": v[1] for k, v in R.TAG_LABELS.items()}
@@ -120,24 +132,28 @@ def run_metrics(runs: DataFrame) -> DataFrame:
         F.min("started_at").alias("started_at"), F.max("started_at").alias("ended_at"))
 
 
-def policy_match(tags: DataFrame, policy_tags=None) -> DataFrame:
-    """Policy tags carried by each document; only documents the policy applies to."""
+def matching_tags(policy_tags=None) -> Column:
+    """The tags of a job row that a policy names (by default, every known tag)."""
     wanted = sorted(set(R.tag_map().values() if policy_tags is None else policy_tags))
-    return (tags.filter(F.col("tag_fqn").isin(wanted)).groupBy("doc_id")
-            .agg(F.array_sort(F.collect_set("tag_fqn")).alias("matching_tags")))
+    return F.array_intersect("tags", F.array(*[F.lit(t) for t in wanted]))
+
+
+def policy_match(jobs: DataFrame, policy_tags=None) -> DataFrame:
+    """Documents the policy applies to, with the tags that make it apply."""
+    found = jobs.select("doc_id", matching_tags(policy_tags).alias("matching_tags"))
+    return found.filter(F.size("matching_tags") > 0)
 
 
-def policy_audit(jobs: DataFrame, matches: DataFrame, ts: Column,
+def policy_audit(jobs: DataFrame, ts: Column, policy_tags=None,
                  minimum: float = R.POLICY_SCORE) -> DataFrame:
     """APPLY_POLICY rows for documents at or above the gate, matching or not."""
-    gated = jobs.filter(F.col("risk_score") >= F.lit(float(minimum))).select(
-        "doc_id", "entity_fqn", "risk_score")
-    joined = gated.join(matches, "doc_id", "left")
-    tags = F.coalesce("matching_tags", F.array().cast(_NO_TAGS))
-    return joined.select(
+    gated = jobs.filter(F.col("risk_score") >= F.lit(float(minimum)))
+    found = gated.select("doc_id", "entity_fqn", "risk_score",
+                         matching_tags(policy_tags).alias("found"))
+    return found.select(
         "doc_id", F.lit("APPLY_POLICY").alias("action"), F.lit("system").alias("actor"),
-        "entity_fqn", (F.size(tags) > 0).alias("policy_will_apply"),
-        F.array_join(tags, ",").alias("matching_tags"), "risk_score",
+        "entity_fqn", (F.size("found") > 0).alias("policy_will_apply"),
+        F.array_join("found", ",").alias("matching_tags"), "risk_score",
         ts.cast("timestamp_ntz").alias("ts"))
 
 

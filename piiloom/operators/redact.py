@@ -68,26 +68,31 @@ def span_hash_rows(redacted: DataFrame) -> DataFrame:
         r["value_hash"].alias("value_hash")))))
 
 
+def _first_per_value(redacted: DataFrame) -> DataFrame:
+    """Add ``first``: one entry per distinct value, that of its leftmost occurrence."""
+    ranked = F.array_sort(F.transform(F.col("redactions"), lambda r: F.struct(
+        r["value_hash"].alias("value_hash"), r["start_offset"], r["end_offset"],
+        r["replacement"].alias("replacement"))))
+    df = with_computed(redacted, ranked=ranked)
+    first = F.filter(F.col("ranked"), lambda r, i: (i == 0)
+                     | (F.get(F.col("ranked"), i - 1)["value_hash"] != r["value_hash"]))
+    return with_computed(df, first=F.transform(first, lambda r: F.struct(
+        r["value_hash"].alias("value_hash"), r["replacement"].alias("replacement")))).drop("ranked")
+
+
 def audit_mapping(redacted: DataFrame) -> DataFrame:
     """Hash -> replacement, one row per document and distinct value.
 
-    On repeats the leftmost occurrence wins.
+    On repeats the leftmost occurrence wins.  A document's values are in its
+    row, so this needs no shuffle.
     """
-    rows = redacted.select("doc_id", F.inline("redactions"))
-    return rows.groupBy("doc_id", "value_hash").agg(
-        F.min_by("replacement", F.struct("start_offset", "end_offset")).alias("replacement"))
+    return _first_per_value(redacted).select("doc_id", F.inline("first"))
 
 
 def with_audit_map(redacted: DataFrame) -> DataFrame:
     """The same mapping as a map column, kept in the row."""
-    ranked = F.array_sort(F.transform(F.col("redactions"), lambda r: F.struct(
-        r["value_hash"].alias("value_hash"), r["start_offset"], r["end_offset"],
-        r["replacement"].alias("replacement"))))
-    df = with_computed(redacted, ranked=ranked)
-    first = F.filter(F.col("ranked"), lambda r, i: (i == 0)
-                     | (F.get(F.col("ranked"), i - 1)["value_hash"] != r["value_hash"]))
-    pairs = F.transform(first, lambda r: F.struct(r["value_hash"], r["replacement"]))
-    return df.withColumn("audit_mapping", F.map_from_entries(pairs)).drop("ranked")
+    df = _first_per_value(redacted)
+    return df.withColumn("audit_mapping", F.map_from_entries("first")).drop("first")
 
 
 def redaction_reports(redacted: DataFrame, timestamp=None) -> DataFrame:

@@ -17,6 +17,7 @@ from piiloom import rules as R
 from piiloom.functions.columns import with_computed
 from piiloom.functions.masking import DEFAULT_SALT
 from piiloom.operators.detect import hashed_spans, with_spans
+from piiloom.operators.govern import tag_array
 from piiloom.operators.ingest import storage_keys
 from piiloom.operators.redact import redact, redaction_reports
 from piiloom.operators.risk import score_documents
@@ -79,7 +80,8 @@ def job_table(processed: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
         F.when(done, F.concat("storage_key", F.lit(".redacted.txt"))).alias("redacted_key"),
         F.when(done, F.concat(F.lit(service + "."), named, F.lit(".redacted")))
         .alias("redacted_fqn"),
-        error.alias("error"), F.when(scored, types).alias("types"), "created_at",
+        error.alias("error"), F.when(scored, types).alias("types"),
+        tag_array(types).alias("tags"), "created_at",
         F.col("created_at").alias("updated_at"))
 
 

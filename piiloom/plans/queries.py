@@ -71,7 +71,7 @@ def _containers(spark, sf):
 
 
 def _tags(spark, sf):
-    return govern.doc_tags(stored(spark, sf).entities)
+    return govern.doc_tags(stored(spark, sf).jobs)
 
 
 def _existing_tags(tags):
@@ -210,7 +210,7 @@ def detect_all(spark, sf):
 
 
 def entity_counts(spark, sf):
-    return detect.entity_counts(_entities(spark, sf))
+    return detect.counts_in_row(_scanned(spark, sf))
 
 
 # --- risk ------------------------------------------------------------------------------
@@ -403,7 +403,7 @@ def new_tags(spark, sf):
 
 
 def tag_hierarchy(spark, sf):
-    return govern.tag_hierarchy(_tags(spark, sf))
+    return govern.tag_hierarchy(stored(spark, sf).jobs)
 
 
 def containers(spark, sf):
@@ -435,12 +435,11 @@ def run_metrics(spark, sf):
 
 def policy_match(spark, sf):
     gov = [t for t in R.tag_map().values() if "IndianGovtID" in t]
-    return govern.policy_match(_tags(spark, sf), gov)
+    return govern.policy_match(stored(spark, sf).jobs, gov)
 
 
 def policy_audit(spark, sf):
-    return govern.policy_audit(stored(spark, sf).jobs, govern.policy_match(_tags(spark, sf)),
-                               F.expr(REPORT_TIME))
+    return govern.policy_audit(stored(spark, sf).jobs, F.expr(REPORT_TIME))
 
 
 def policy_masked_view(spark, sf):

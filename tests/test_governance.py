@@ -10,7 +10,19 @@ def tags(spark):
     entities = spark.createDataFrame(
         [("1", "AADHAAR"), ("1", "AADHAAR"), ("1", "EMAIL"), ("1", "EMAIL_ADDRESS"), ("2", "PAN"),
          ("2", "FOO"), ("3", "FOO"), ("4", "PERSON")], "doc_id string, entity_type string")
-    return govern.doc_tags(entities)
+    return govern.tags_of_entities(entities)
+
+
+@pytest.fixture(scope="module")
+def tagged(spark):
+    rows = [("1", ["AADHAAR", "EMAIL", "EMAIL_ADDRESS"]), ("2", ["PAN", "FOO"]), ("3", ["FOO"]),
+            ("4", ["PERSON"]), ("5", [])]
+    return spark.createDataFrame(rows, "doc_id string, types array<string>").withColumn(
+        "tags", govern.tag_array(F.col("types")))
+
+
+def test_both_ways_to_tags_agree(tags, tagged):
+    assert sorted(govern.doc_tags(tagged).collect()) == sorted(tags.collect())
 
 
 def test_tags_and_new_tags(spark, tags):
@@ -23,8 +35,8 @@ def test_tags_and_new_tags(spark, tags):
     assert {r.doc_id for r in govern.new_tags(tags, held).collect()} == {"1", "4"}
 
 
-def test_hierarchy(tags):
-    rows = {r.tag_fqn: r for r in govern.tag_hierarchy(tags).collect()}
+def test_hierarchy(tagged):
+    rows = {r.tag_fqn: r for r in govern.tag_hierarchy(tagged).collect()}
     assert {k: r.n_docs for k, r in rows.items()} == {
         "PII": 3, "PII.Sensitive": 3, "PII.Sensitive.IndianGovtID": 2,
         "PII.Sensitive.ContactInfo": 1, "PII.Sensitive.ContactInfo.Email": 1,
@@ -34,9 +46,9 @@ def test_hierarchy(tags):
 
 
 def test_own_root(spark):
-    entities = spark.createDataFrame([("1", "PAN")], "doc_id string, entity_type string")
-    tags = govern.doc_tags(entities, R.tag_map("Corp"))
-    levels = govern.tag_hierarchy(tags, "Corp").collect()
+    jobs = spark.createDataFrame([("1", ["PAN"])], "doc_id string, types array<string>").withColumn(
+        "tags", govern.tag_array(F.col("types"), R.tag_map("Corp")))
+    levels = govern.tag_hierarchy(jobs, "Corp").collect()
     assert {r.tag_fqn for r in levels} == {"Corp", "Corp.Sensitive", "Corp.Sensitive.IndianGovtID",
                                            "Corp.Sensitive.IndianGovtID.PAN"}
     assert all(r.display_name for r in levels)
@@ -88,9 +100,12 @@ def test_runs(spark):
     assert [r.s for r in states] == ["success", "failed", "partialSuccess"]
 
 
-def test_policy(spark, jobs, tags):
-    matches = govern.policy_match(tags)
-    rows = govern.policy_audit(jobs, matches, F.lit("2024-01-01")).collect()
+def test_policy(jobs):
+    jobs = jobs.withColumn("tags", F.coalesce(govern.tag_array(F.col("types")),
+                                              F.array().cast("array<string>")))
+    assert [r.doc_id for r in govern.policy_match(jobs).collect()] == ["1"]
+    assert govern.policy_match(jobs, ["other"]).count() == 0
+    rows = govern.policy_audit(jobs, F.lit("2024-01-01")).collect()
     got = {r.doc_id: (r.policy_will_apply, r.matching_tags, r.risk_score) for r in rows}
     assert got["3"] == (False, "", 61.5) and got["1"][0] and set(got) == {"1", "3"}
 

@@ -41,6 +41,8 @@ def test_each_rule_reads_the_text_once_and_nothing_moves(docs):
                risk.risk_explain(pipeline.scan(docs)).select("doc_id", "summary"),
                pipeline.redact_corpus(docs, "SYNTHETIC").select("doc_id", "redacted_text"),
                redact.leak_check(pipeline.redact_corpus(docs, "FULL")).filter("leaked > 0"),
+               redact.audit_mapping(pipeline.redact_corpus(docs, "LIGHT")),
+               detect.counts_in_row(pipeline.scan(docs)),
                pipeline.process(docs)):
         plan = physical(df)
         assert passes(plan) == (rules, rules)
