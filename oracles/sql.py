@@ -206,6 +206,8 @@ _BODIES: dict[str, str] = {
                   THEN 1 ELSE 0 END AS fresh FROM ents))
               GROUP BY doc_id, grp))
           GROUP BY doc_id) k ON k.doc_id = c.doc_id""",
+    "redact_stored": _texts("light_text") + """ AND doc_id IN (
+        SELECT doc_id FROM corpus WHERE status IN ('PII_DETECTED', 'COMPLETED'))""",
     "audit_mapping": """SELECT doc_id, value_hash, arg_min(light_text, s) AS replacement FROM edits
         GROUP BY doc_id, value_hash""",
     "span_hashes": """SELECT DISTINCT doc_id, s || ':' || e AS span, value_hash FROM edits""",

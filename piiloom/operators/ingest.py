@@ -57,7 +57,9 @@ def dedup_by_hash(files: DataFrame, id: str = "file_id", hash: str = "file_hash"
 
     The earliest id per hash is a partial aggregation, so a hash shared by a
     third of all files costs one row per task.  Joining it back needs only the
-    hashes that occur more than once; the rest answer for themselves.
+    hashes that occur more than once; the rest answer for themselves.  ``files``
+    is read twice, so pass a stored table of hashes rather than one that still
+    has to read the contents.
     """
     keyed = files.select(id, hash, time)
     first = keyed.groupBy(hash).agg(

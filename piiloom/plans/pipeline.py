@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from piiloom import rules as R
 from piiloom.functions.columns import with_computed
 from piiloom.functions.masking import DEFAULT_SALT
+from piiloom.operators.catalog import redactable_docs
 from piiloom.operators.detect import hashed_spans, with_spans
 from piiloom.operators.govern import tag_array
 from piiloom.operators.ingest import storage_keys
@@ -106,6 +107,20 @@ def read_catalog(spark: SparkSession, folder: str) -> Catalog:
                      for name in ("processed", "jobs", "entities", "reports")])
 
 
+def redact_stored(docs: DataFrame, tables: Catalog, level: str, salt: str = DEFAULT_SALT,
+                  overlap: str = "splice") -> DataFrame:
+    """Redact documents with the spans of an earlier run, where their status allows it.
+
+    The spans come as one array per document, so texts meet them in a one-to-one
+    join.  With both tables bucketed by ``doc_id`` no text is shuffled; without,
+    detecting again with :func:`redact_corpus` is the cheaper way.
+    """
+    allowed = redactable_docs(tables.jobs).select("doc_id")
+    found = tables.processed.select("doc_id", "spans", "risk_score").join(
+        allowed, "doc_id", "left_semi")
+    return redact(docs.join(found, "doc_id"), level, salt, overlap)
+
+
 def residual_risk(redacted: DataFrame, **detection) -> DataFrame:
     """Score before, the fixed 0.0 reports carry after, and the score found again
     in the redacted text."""

@@ -10,7 +10,7 @@ from piiloom import rules as R
 from piiloom.operators import (catalog, detect, govern, ingest, lifecycle, quality,
                                redact, risk)
 from piiloom.plans import pipeline
-from piiloom.session import shared_folder
+from piiloom.session import shared_folder, stored_copy
 from piiloom.sources import derived, documents
 from piiloom.streaming import jobs as streams
 from piiloom.streaming.run import read_stream, run
@@ -105,7 +105,7 @@ def content_hash(spark, sf):
 def dedup_by_hash(spark, sf):
     hashed = ingest.content_hash(derived.corpus(spark, sf), "text").select(
         "doc_id", "file_hash", "created_at")
-    return ingest.dedup_by_hash(hashed, id="doc_id")
+    return ingest.dedup_by_hash(stored_copy(hashed, "hashes"), id="doc_id")
 
 
 def storage_keys(spark, sf):
@@ -129,7 +129,8 @@ def page_and_char_counts(spark, sf):
 
 
 def unseen_documents(spark, sf):
-    hashed = ingest.content_hash(derived.files(spark, sf)).select("file_id", "n", "file_hash")
+    hashed = stored_copy(ingest.content_hash(derived.files(spark, sf)).select(
+        "file_id", "n", "file_hash"), "hashes")
     return ingest.unseen_documents(
         hashed, derived.extracted_texts(hashed), _now("2024-01-01 02:00:00")
     ).select("file_id", "file_hash")
@@ -289,6 +290,12 @@ def _redacted_texts(level, overlap="splice"):
     return query
 
 
+def redact_stored(spark, sf):
+    """Redaction asked for later, at another level, from the stored spans."""
+    redacted = pipeline.redact_stored(derived.corpus(spark, sf), stored(spark, sf), "LIGHT")
+    return redacted.select("doc_id", "redacted_text", "entities_redacted")
+
+
 def audit_mapping(spark, sf):
     return redact.audit_mapping(_redacted(spark, sf, "LIGHT"))
 
@@ -664,6 +671,7 @@ def _registry():
         "redact_documents_light": _redacted_texts("LIGHT"),
         "redact_documents_synthetic": _redacted_texts("SYNTHETIC"),
         "redact_documents_merged": _redacted_texts("FULL", "merge"),
+        "redact_stored": redact_stored,
         "audit_mapping": audit_mapping, "span_hashes": span_hashes,
         "redaction_report": redaction_report, "redaction_instances": redaction_instances,
         "redaction_leak_check": redaction_leak_check,

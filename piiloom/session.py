@@ -39,6 +39,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored_copy(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to a shared folder and read back.
+
+    For narrow results of a wide scan that are used more than once; unlike a
+    cache it outlives the loss of an executor.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after counting that it has at most ``rows`` rows.
 
