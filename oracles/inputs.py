@@ -148,8 +148,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, CASE WHEN contains(filename, '.')
                 THEN lower(regexp_extract(filename, '\\.([^.]*)$', 1)) END AS ext FROM files)""",
     "page_texts": """SELECT 'c' || conv_id AS doc_id, turn AS page_no,
-        CASE WHEN turn % 3 = 1 THEN concat('  ', substr(text, 1, 60), chr(10))
-             WHEN conv_id % 4 = 0 THEN concat(chr(9), substr(text, 1, 40), '   ')
+        CASE WHEN turn % 3 = 1 THEN concat('  ', text, chr(10))
              ELSE text END AS text FROM conversations""",
     "audit": f"""SELECT event_id, 'd' || (user_id * 10) AS doc_id,
         {_case(ACTIONS, 'event_type')} AS action, 'user' || (user_id % 7) AS actor,

@@ -90,7 +90,7 @@ _BODIES: dict[str, str] = {
         'documents/' || file_id || '/' || url_encode(coalesce(filename, 'document')) AS storage_key,
         'PENDING' AS status, created_at, created_at AS updated_at FROM files""",
     "scan_type": r"""SELECT d.doc_id, CASE WHEN p.mean IS NULL THEN 'SCANNED'
-          WHEN p.mean >= 100 THEN 'TEXT' WHEN p.longest < 100 THEN 'SCANNED' ELSE 'MIXED' END
+          WHEN p.mean >= 400 THEN 'TEXT' WHEN p.longest < 400 THEN 'SCANNED' ELSE 'MIXED' END
           AS scan_type
         FROM (SELECT 'c' || conv_id AS doc_id FROM conversations
               UNION SELECT 'c' || doc_id FROM labels) d

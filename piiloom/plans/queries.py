@@ -17,6 +17,8 @@ from piiloom.streaming.run import read_stream, run
 
 # Size limits at which the test pages fall on both sides.
 PAGE_LIMITS = {"pdf": 1500, "png": 800, "jpg": 2000, "jpeg": 1200, "docx": 1800}
+# Page length at which the test pages give all three scan types.
+PAGE_CHARS = 400
 REPORT_TIME = "timestamp_ntz '2024-02-01 00:00:00'"
 
 
@@ -117,7 +119,8 @@ def upload_records(spark, sf):
 
 
 def scan_type(spark, sf):
-    return ingest.scan_types(derived.page_texts(spark, sf), derived.paged_documents(spark, sf))
+    return ingest.scan_types(derived.page_texts(spark, sf), derived.paged_documents(spark, sf),
+                             PAGE_CHARS)
 
 
 def join_pages(spark, sf):
@@ -505,8 +508,8 @@ def merge_details(spark, sf):
 
 def cascade_delete(spark, sf):
     jobs = stored(spark, sf).jobs
-    return lifecycle.cascade_delete(stored(spark, sf).entities, jobs.filter("status = 'FAILED'")).select(
-        *_SPAN_COLUMNS)
+    failed = jobs.filter("status = 'FAILED'")
+    return lifecycle.cascade_delete(stored(spark, sf).entities, failed).select(*_SPAN_COLUMNS)
 
 
 # --- validation and JSON -----------------------------------------------------------------------------
@@ -590,7 +593,7 @@ def unique_hash_check(spark, sf):
     return quality.repeated_hashes(stored(spark, sf).jobs)
 
 
-# --- streaming ------------------------------------------------------------------------------------------
+# --- streaming ------------------------------------------------------------
 
 def _stream_corpus(spark, sf):
     prose = read_stream(spark, f"{sf}/documents.parquet").select(

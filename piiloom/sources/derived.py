@@ -115,10 +115,8 @@ def files_from_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of text from ``conversations``; every third is short, some padded."""
-    text = """case when turn % 3 = 1 then concat('  ', substr(text, 1, 60), chr(10))
-        when conv_id % 4 = 0 then concat(chr(9), substr(text, 1, 40), '   ')
-        else text end"""
+    """Pages of text: the turns of ``conversations``, every third padded with white space."""
+    text = "case when turn % 3 = 1 then concat('  ', text, chr(10)) else text end"
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_id"),
         F.col("turn").alias("page_no"), F.expr(text).alias("text"))
