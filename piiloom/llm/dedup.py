@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.llm.common import lower_ascii, stored, work_folder
+from piiloom.llm.common import BLOOM, lower_ascii, settings, stored, work_folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the state store for the time the stream runs.
@@ -31,8 +31,6 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-
-
 def digest_of(text: Column) -> Column:
     """SHA-256 of the normalised text, in hex."""
     return F.sha2(lower_ascii(text), 256)
@@ -40,14 +38,15 @@ def digest_of(text: Column) -> Column:
 
 def arrivals(docs: DataFrame, folder: str,
              digest: Callable[[Column], Column] = digest_of) -> DataFrame:
-    """The rows of ``docs`` stored with a row number and a digest: what the stream reads.
+    """The rows of ``docs`` stored narrow, with a row number and digests: what the stream reads.
 
     The number is taken once and then read from the table, so it names a row
     whatever happens to the tasks that made it.
     """
     return stored(docs.select(
-        F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row"),
-        digest(F.col("text")).alias("digest")), folder)
+        F.col("doc_id"), F.monotonically_increasing_id().alias("row"),
+        digest(F.col("text")).alias("digest"),
+        digest_of(F.col("text")).alias("text_sha256")), folder)
 
 
 def stream_state(spark: SparkSession, source: str, folder: str,
@@ -59,10 +58,7 @@ def stream_state(spark: SparkSession, source: str, folder: str,
     versions of a key the last counts.
     """
     narrow = spark.read.parquet(source).select("doc_id", "row", "digest")
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, STORE):
         held = (spark.readStream.schema(narrow.schema)
                 .option("maxFilesPerTrigger", files_per_batch).parquet(source)
                 .groupBy("digest")
@@ -78,9 +74,6 @@ def stream_state(spark: SparkSession, source: str, folder: str,
                  .option("checkpointLocation", f"{folder}/checkpoint")
                  .trigger(availableNow=True).start())
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     id_type = narrow.schema["doc_id"].dataType.simpleString()
     versions = spark.read.schema(
         f"digest string, keep_id {id_type}, locator bigint, group_size bigint, batch bigint"
@@ -90,58 +83,68 @@ def stream_state(spark: SparkSession, source: str, folder: str,
     ).select("digest", "s.*")
 
 
+def unlike_bytes(docs: DataFrame, state: DataFrame, folder: str,
+                 digest: Callable[[Column], Column] = digest_of) -> DataFrame:
+    """The hits whose full bytes are not those held for their digest: ``digest, doc_id, bytes``.
+
+    Only texts whose digest occurs more than once are moved: a Bloom filter of
+    those digests, which Spark makes of the join, thins the scan.
+    """
+    spark = docs.sparkSession
+    several = state.where("group_size > 1").select("digest", "keep_id")
+    texts = docs.select("doc_id", lower_ascii(F.col("text")).alias("bytes"),
+                        digest(F.col("text")).alias("digest"))
+    with settings(spark, BLOOM):
+        hits = stored(texts.join(several, "digest"), f"{folder}/hits")
+    held = (hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+            .groupBy("digest").agg(F.min("bytes").alias("held")))
+    return stored(hits.select("digest", "doc_id", "bytes").join(held, "digest")
+                  .where("bytes <> held").select("digest", "doc_id", "bytes"), f"{folder}/unlike")
+
+
 def find_copies(docs: DataFrame, digest: Callable[[Column], Column] = digest_of,
                 folder: str | None = None) -> DataFrame:
-    """Every row: ``doc_id, row, digest, keep_id, locator, group_size, kept, text_sha256``."""
+    """Every row: ``doc_id, row, digest, text_sha256, keep_id, locator, group_size, kept``."""
     spark = docs.sparkSession
     folder = folder or work_folder(spark, "dedup")
-    rows = arrivals(docs, f"{folder}/arrivals", digest)
+    found = arrivals(docs, f"{folder}/arrivals", digest)
     state = stored(stream_state(spark, f"{folder}/arrivals", folder), f"{folder}/groups")
-
-    # full bytes on hits: each against the text at the locator of its digest
-    several = state.where("group_size > 1").select("digest", "locator")
-    hits = rows.select("digest", "row", "text").join(several, "digest")
-    held = hits.where("row = locator").select("digest", lower_ascii(F.col("text")).alias("held"))
-    others = (hits.where("row <> locator")
-              .select("digest", "row", lower_ascii(F.col("text")).alias("bytes")))
-    unlike = stored(others.join(held, "digest").where("bytes <> held")
-                    .select("digest", "row", "bytes"), f"{folder}/unlike")
-
-    found = rows.select("doc_id", "row", "digest", "text") if digest is not digest_of else (
-        rows.select("doc_id", "row", "digest"))
-    sha = digest_of(F.col("text")) if digest is not digest_of else F.col("digest")
-    found = found.withColumn("text_sha256", sha).select("doc_id", "row", "digest", "text_sha256")
+    unlike = unlike_bytes(docs, state, folder, digest)
     if unlike.isEmpty():
-        return (found.join(state, "digest")
-                .withColumn("kept", F.col("row") == F.col("locator")))
-    # two texts under one digest: those unlike the held one are groups by their bytes
+        return found.join(state, "digest").withColumn("kept", F.col("row") == F.col("locator"))
+    # several texts under one digest: those unlike the held one are groups by their bytes
+    unlike = unlike.withColumn("text_sha256", digest_of(F.col("bytes")))
     fewer = unlike.groupBy("digest").agg(F.count(F.lit(1)).alias("less"))
-    like = (found.join(unlike.select("row"), "row", "left_anti").join(state, "digest")
-            .join(fewer, "digest", "left")
-            .withColumn("group_size", F.col("group_size") - F.coalesce("less", F.lit(0)))
-            .drop("less"))
-    ids = found.join(unlike.select("row", "bytes"), "row")
-    split = ids.groupBy("bytes").agg(F.max(F.struct("doc_id", "row")).alias("first"),
-                                     F.count(F.lit(1)).alias("group_size"))
-    apart = ids.join(split, "bytes").select(
-        "doc_id", "row", "digest", "text_sha256", F.col("first.doc_id").alias("keep_id"),
-        F.col("first.row").alias("locator"), "group_size")
-    columns = apart.columns
-    return (like.select(*columns).unionByName(apart)
+    key = unlike.select("digest", "text_sha256", F.struct("doc_id").alias("id"), "bytes").distinct()
+    marked = found.withColumn("id", F.struct("doc_id"))
+    on = ["digest", "text_sha256", "id"]
+    like = marked.join(key, on, "left_anti").drop("id")
+    first = like.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("first"))
+    like = (like.join(state.select("digest", "group_size"), "digest").join(fewer, "digest", "left")
+            .join(first, "digest")
+            .withColumn("group_size", F.col("group_size") - F.coalesce("less", F.lit(0))))
+    apart = marked.join(key, on).drop("id")
+    split = apart.groupBy("bytes").agg(F.max(F.struct("doc_id", "row")).alias("first"),
+                                       F.count(F.lit(1)).alias("group_size"))
+    columns = ["doc_id", "row", "digest", "text_sha256", F.col("first.doc_id").alias("keep_id"),
+               F.col("first.row").alias("locator"), "group_size"]
+    return (like.select(*columns).unionByName(apart.join(split, "bytes").select(*columns))
             .withColumn("kept", F.col("row") == F.col("locator")))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row, with a larger id, has as well.
 
-    All columns are stored once with a row number, as arrivals; the rows to drop
-    are then taken out by that number.
+    Rows are found by digest and id together, so a text with very many copies
+    is no hot key; of rows repeated with one id, one is returned.
     """
-    folder = work_folder(docs.sparkSession, "dedup-rows")
-    numbered = stored(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"),
-                                  F.monotonically_increasing_id().alias("row")), f"{folder}/rows")
-    marked = numbered.select(F.struct(F.col("doc.doc_id").alias("id"), "row").alias("doc_id"),
-                             F.col("doc.text").alias("text"))
-    dropped = find_copies(marked, folder=folder).where("not kept").select(
-        F.col("doc_id.row").alias("row"))
-    return numbered.join(dropped, "row", "left_anti").select("doc.*")
+    folder = work_folder(docs.sparkSession, "dedup")
+    kept = find_copies(docs, folder=folder).where("kept").select(
+        F.struct(F.col("text_sha256").alias("digest"), F.col("doc_id").alias("id")).alias("_kept"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    rows = docs.select(F.struct(digest_of(F.col("text")).alias("digest"),
+                                F.col("doc_id").alias("id")).alias("_kept"),
+                       *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    return (rows.join(stored(kept, f"{folder}/kept"), "_kept", "left_semi")
+            .dropDuplicates(["_kept"])
+            .select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)]))

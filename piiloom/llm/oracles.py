@@ -10,4 +10,31 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES = {"op5_exact_dedup": OP5}
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]]
+           ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+         END AS shingles
+  FROM w),
+n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles, list_sort(shingles) AS shingles FROM s),
+c AS (SELECT shingles, n_shingles, min(doc_id) AS id FROM n WHERE n_shingles > 0 GROUP BY ALL),
+e AS (SELECT id, n_shingles, unnest(shingles) AS shingle FROM c),
+p AS (
+  SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.id < b.id
+   AND 100 * least(a.n_shingles, b.n_shingles) >= 80 * greatest(a.n_shingles, b.n_shingles)
+  GROUP BY a.id, b.id, a.n_shingles, b.n_shingles
+  HAVING 100 * count(*) >= 80 * (a.n_shingles + b.n_shingles - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT id, id AS reach FROM c UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT n.doc_id, n.n_shingles, coalesce(m.component_id, n.doc_id) AS component_id,
+       n.doc_id = coalesce(m.component_id, n.doc_id) AS kept
+FROM n LEFT JOIN c ON n.n_shingles > 0 AND n.shingles = c.shingles LEFT JOIN m ON m.id = c.id
+"""
+
+ORACLES = {"op8_minhash_near_dedup": OP8, "op5_exact_dedup": OP5}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.llm import bpe, dedup, langid, packing, quality
+from piiloom.llm import bpe, dedup, langid, neardup, packing, quality
 from piiloom.llm.common import fold, read_table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -37,10 +37,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.find_near_copies(read_table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id",
+                        (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"),
                             public_tokenizers.path(WORD_BPE))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_quality_classifier, op5_exact_dedup, op7_language_id, op10_bpe)}
+    op1_best_fit_packing, op3_quality_classifier, op5_exact_dedup, op7_language_id,
+    op8_minhash_near_dedup, op10_bpe)}
