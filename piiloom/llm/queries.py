@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.llm import bpe, dedup, langid, neardup, packing, quality
+from piiloom.llm import bpe, dedup, langid, lm, neardup, packing, quality, tokens, topk
 from piiloom.llm.common import fold, read_table
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 QUALITY_THRESHOLD = 0.3
 
@@ -25,11 +26,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.find_copies(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm.score_texts(docs, docs.where(~lm.held_out(F.col("doc_id"))))
+    return found.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     parser = langid.learn(docs)
@@ -43,11 +56,16 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(read_table(spark, sf_dir, "documents"),
+                               public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read_table(spark, sf_dir, "documents"),
                             public_tokenizers.path(WORD_BPE))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_quality_classifier, op5_exact_dedup, op7_language_id,
-    op8_minhash_near_dedup, op10_bpe)}
+    op1_best_fit_packing, op3_quality_classifier, op4_exact_topk, op5_exact_dedup,
+    op6_lm_scoring, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_bpe)}
