@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.llm import bpe, dedup, langid, lm, neardup, packing, quality, tokens, topk
+from piiloom.llm import bpe, dedup, langid, lm, neardup, packing, quality, tokens, topk, urls
 from piiloom.llm.common import fold, read_table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     voter = quality.learn(docs, read_table(spark, sf_dir, "labels"))
@@ -67,5 +72,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op3_quality_classifier, op4_exact_topk, op5_exact_dedup,
+    op1_best_fit_packing, op2_url_filters, op3_quality_classifier, op4_exact_topk, op5_exact_dedup,
     op6_lm_scoring, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_bpe)}
