@@ -3,18 +3,18 @@
 A document is its set of distinct word shingles.  Documents with the same set are one
 class, and everything after works on classes.  The shingles of a class are dealt over
 buckets; a bucket keeps the least hash as its count of leading zeros and ten bits of
-mantissa.  Bands of four compressed registers are the candidate keys, made for
-each pair of neighbouring size classes (sizes of similar sets differ by a fourth at
-most), with as many bands as the largest number of differing shingles and one
-more, up to ``BANDS``: below that a similar pair must share a band; at ``BANDS`` it
-misses all with a chance below 1e-8.
+mantissa.  Bands of six compressed registers are the candidate keys, made per size
+class, and also for the next class where a set a fourth larger would be in it.  There are
+as many bands as the largest number of differing shingles and one more, up to
+``BANDS``: below that a similar pair must share a band; at ``BANDS`` it misses all with a
+chance of about 1e-8 (1e-5 at most, between 120 and 200 shingles).
 
 In a key's bucket every member is compared with one leader, not with all.  Pairs first
-pass a collision-corrected estimate, seven deviations below the threshold, then the
+pass a collision-corrected estimate that allows six deviations, then the
 full sets are compared.  Members that share a component need no comparison any
-more; buckets that still hold several components are met with other leaders, and
-at last pair by pair across components, so no link that joins components is
-lost.  Shingles are compared as 64-bit hashes.
+more.  Large buckets that still hold several components are met with another leader; then
+what is left is compared by registers in blocks of bounded size, across components, and
+only pairs that pass the estimate are made, so no link that joins components is lost.  Shingles are compared as 64-bit hashes.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than a shingle are one shingle.  Rows with the same set, repeated
@@ -35,13 +35,19 @@ from pyspark.sql import functions as F
 from piiloom.llm.common import BLOOM, LOWER_BYTES, blocks, settings, stored, work_folder
 from piiloom.llm.graph import components
 
-BANDS = 40
-ROWS = 4
-REGISTERS = 128
+BANDS = 60
+ROWS = 6
+REGISTERS = 256
 EMPTY = np.uint16(0xFFFF)
-#: Buckets with more members get further leaders before their rest is compared pair by pair.
-LARGE = 24
+#: Buckets with more members get another leader before their rest is compared in blocks.
+LARGE = 16
+BLOCK = 512
+#: Size classes are three such steps wide; similar sets are at most one step apart.
 _STEP = 1.2501
+_WIDE = 3
+#: From this size on, a band of one shingle is no key: bands enough are left, and a frequent
+#: shingle alone would gather all texts that have it.
+_LONE = 120
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -112,36 +118,45 @@ def registers(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def bands_of(level: int) -> int:
     """One band more than shingles may differ between similar sets of this level."""
-    return min(BANDS, int(0.25 * _STEP ** (level + 2)) + 1)
+    return min(BANDS, int(0.25 * _STEP ** (_WIDE * (level + 1))) + 1)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """Candidate keys under both size levels of a set; bands without a shingle have none."""
-    own = int(np.floor(np.log(len(hashes)) / np.log(_STEP)))
+    """Candidate keys of a set under its size level, and the next where sets a step larger are there.
+
+    Bands without a shingle have none.
+    """
+    step = np.log(len(hashes)) / np.log(_STEP)
+    own, above = int(step // _WIDE), int((step + 1) // _WIDE)
     keys = []
-    for level in (own - 1, own):
+    for level in range(own, above + 1):
         n = bands_of(level)
         regs = registers(hashes, n * ROWS).reshape(n, ROWS)
-        packed = np.ascontiguousarray(regs).view(np.uint64).ravel()
+        packed = np.zeros(n, dtype=np.uint64)
+        for r in range(ROWS):
+            packed = mix(packed * np.uint64(0xD6E8FEB86659FD93) + regs[:, r])
         salt = np.uint64((level + 2) * 64) + np.arange(n, dtype=np.uint64)
-        full = (regs != EMPTY).any(axis=1)
+        least = 2 if len(hashes) >= _LONE else 1
+        full = np.bincount((hashes % np.uint64(n * ROWS) // np.uint64(ROWS)).astype(np.int64),
+                           minlength=n) >= least
         keys.append(mix(packed + mix(salt * np.uint64(0x9E3779B97F4A7C15)))[full])
     return np.concatenate(keys).view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows, less the matches that chance collisions make.
+def possible(same: np.ndarray, used: np.ndarray, total: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates less chance collisions, and whether the threshold is within reach.
 
-    Two unlike minima collide when their leading zeros and ten mantissa bits agree:
-    a third of the mass of one mantissa cell.  1 where fewer than half the registers
-    are in use: too few to judge.
+    ``same``: equal registers of ``used``, those not empty in both; ``total``: the sizes of
+    both sets together.  Unlike minima collide when leading zeros and ten mantissa bits
+    agree: a third of the mass of one mantissa cell.  Six deviations are allowed, of a
+    sample of ``used`` from a union of the size it has at the threshold; of small sets the
+    registers hold nearly all.
     """
-    used = (a != EMPTY) | (b != EMPTY)
-    n = used.sum(axis=1)
-    same = ((a == b) & used).sum(axis=1) / np.maximum(n, 1)
-    chance = 1 / (3 * 1024)
-    corrected = (same - chance) / (1 - chance)
-    return np.where(2 * n < a.shape[1], 1.0, corrected)
+    chance, least = 1 / (3 * 1024), percent / 100
+    found = (same / np.maximum(used, 1) - chance) / (1 - chance)
+    unseen = np.clip(1 - used * (1 + least) / np.maximum(total, 1), 0, 1)
+    margin = 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1) * unseen) + 0.02
+    return found, found >= least - margin
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -183,15 +198,17 @@ class Matcher:
         b = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
         joined = (pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
                   .where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-                  .select("a", "b", "regs_a", "regs_b"))
-        least = self.percent / 100 - 0.25
+                  .select("a", "b", "regs_a", "regs_b", (F.col("n_a") + F.col("n_b")).alias("total")))
+        percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16)
                                .reshape(batch.num_rows, REGISTERS) for c in (2, 3))
-                good = pa.array(estimate(left, right) >= least)
-                yield batch.select(["a", "b"]).filter(good)
+                used = ((left != EMPTY) | (right != EMPTY)).sum(axis=1)
+                same = ((left == right) & (left != EMPTY)).sum(axis=1)
+                _, good = possible(same, used, batch.column(4).to_numpy(), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
         return joined.mapInArrow(run, "a bigint, b bigint")
 
@@ -224,11 +241,11 @@ class Matcher:
                           .mapInArrow(run, "node bigint, set binary")
                           .dropDuplicates(["node"]), f"{folder}/sets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough; each pair is looked at once."""
+    def confirm(self, likely: DataFrame) -> DataFrame:
+        """The pairs whose full sets are similar enough."""
         self.round += 1
         folder = f"{self.folder}/round{self.round}"
-        likely = stored(self.likely(pairs.distinct()), f"{folder}/likely")
+        likely = stored(likely, f"{folder}/likely")
         sets = self.sets(likely, folder)
         percent = self.percent
         both = (likely.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -247,40 +264,116 @@ class Matcher:
         return stored(both.mapInArrow(run, "a bigint, b bigint"), f"{folder}/links")
 
 
+def matches_in_blocks(members: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of a bucket's members of other components that may be similar.
+
+    ``members``: ``key, node, component, size, n, regs``.  A bucket is dealt over blocks of
+    about ``BLOCK`` members, and a task holds two blocks at a time, however large the bucket is.
+    ``best``: of each member only so many pairs, those of the highest estimates.
+    """
+    blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks_of).cast("int")
+    dealt = (members.withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     "own", "node", "component", "n", "regs")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, component, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n", "own"))
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        empty = (regs == EMPTY).astype(np.float32)
+        found = []
+        for s in range(0, len(node), 32):  # rows at a time
+            e = min(s + 32, len(node))
+            both = empty[s:e] @ empty.T
+            same = (regs[s:e, None, :] == regs[None, :, :]).sum(axis=2) - both
+            guess, good = possible(same, REGISTERS - both, n[s:e, None] + n[None, :], percent)
+            good &= component[s:e, None] != component[None, :]
+            good &= 100 * np.minimum(n[s:e, None], n) >= percent * np.maximum(n[s:e, None], n)
+            apart = t.column("i")[0] != t.column("j")[0]
+            if apart:
+                good &= own[s:e, None] < own[None, :]
+            good &= (node[s:e, None] < node[None, :]) | apart
+            if best is not None and good.shape[1] > best:
+                guess = np.where(good, guess, -1.0)
+                top = np.argpartition(-guess, best, axis=1)[:, :best]
+                kept = np.zeros_like(good)
+                np.put_along_axis(kept, top, True, axis=1)
+                good &= kept
+            x, y = np.nonzero(good)
+            found.append((node[s + x], node[y]))
+        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def done(t: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+            made = [pairs(t.slice(s, e - s)) for s, e in zip(edges[:-1], edges[1:], strict=True)
+                    if e - s > 1]
+            a, b = (np.concatenate(v) for v in zip(*made, strict=True)) if made else ([], [])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            group = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            new = np.zeros(t.num_rows, dtype=bool)
+            new[0] = True
+            for g in group:
+                new[1:] |= g[1:] != g[:-1]
+            starts = np.flatnonzero(new)
+            yield done(t, starts)
+            rest = t.slice(int(starts[-1]))
+        if rest is not None:
+            yield done(rest, np.array([0, rest.num_rows]))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, folder: str, words: int,
-                 percent: int, rounds: int = 3) -> DataFrame:
+                 percent: int) -> DataFrame:
     """``node, component`` of all classes that are linked with another."""
     matcher = Matcher(docs, classes, folder, words, percent)
     keyed = classes.select("node", F.explode("keys").alias("key"))
     groups = (keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
               .where("size > 1"))
     bucket = stored(keyed.join(groups, "key"), f"{folder}/buckets")
-    links = matcher.confirm(bucket.where("node <> leader").select(
-        F.col("leader").alias("a"), F.col("node").alias("b")))
-    bucket = bucket.where("size > 2").select("key", "node", "size")
-    for n in range(1, rounds + 1):
-        found = components(links, f"{folder}/graph{n}")
-        named = bucket.join(found, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")).select("key", "node", "size", "component")
-        named = stored(named, f"{folder}/named{n}")
+    links = matcher.confirm(matcher.likely(bucket.where("node <> leader").select(
+        F.col("leader").alias("a"), F.col("node").alias("b")).distinct()))
+
+    def still_mixed(bucket: DataFrame, found: DataFrame, name: str) -> DataFrame:
+        """Members of the buckets that hold several components, with another leader."""
+        named = stored(bucket.join(found, "node", "left").select(
+            "key", "node", "size", F.coalesce("component", "node").alias("component")),
+            f"{folder}/named-{name}")
         mixed = (named.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
-            F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(n))).alias("leader"))
+            F.min_by(F.struct("node", "component"), F.xxhash64("node", "key")).alias("leader"))
             .where("low <> high").select("key", "leader"))
-        bucket = stored(named.join(mixed, "key"), f"{folder}/mixed{n}")
-        if bucket.isEmpty():
-            return found
-        last = n == rounds
-        small = bucket if last else bucket.where(F.col("size") <= LARGE)
-        left = small.select("key", F.col("node").alias("a"), F.col("component").alias("from"))
-        right = small.select("key", F.col("node").alias("b"), F.col("component").alias("to"))
-        pairs = left.join(right, "key").where("from < to").select("a", "b")
-        if not last:
-            led = bucket.where((F.col("size") > LARGE) & (F.col("leader.component") != F.col("component")))
-            pairs = pairs.unionByName(led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")))
-        new = matcher.confirm(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = links.unionByName(new)
-        bucket = bucket.where(F.col("size") > LARGE).select("key", "node", "size")
+        return stored(named.join(mixed, "key"), f"{folder}/mixed-{name}")
+
+    found = components(links, f"{folder}/graph-first")
+    bucket = still_mixed(bucket.where("size > 2"), found, "first")
+    led = bucket.where((F.col("size") > LARGE) & (F.col("leader.component") != F.col("component")))
+    more = matcher.confirm(matcher.likely(led.select(
+        F.least("leader.node", "node").alias("a"), F.greatest("leader.node", "node").alias("b")).distinct()))
+    links = links.unionByName(more)
+    found = components(links, f"{folder}/graph-second")
+    bucket = still_mixed(bucket.select("key", "node", "size"), found, "second")
+
+    def in_blocks(bucket: DataFrame, best: int | None) -> DataFrame:
+        members = bucket.select("key", "node", "component", "size").join(
+            classes.select("node", "n", "regs"), "node")
+        return matcher.confirm(matches_in_blocks(members, percent, best).distinct())
+
+    # the likeliest link of each member first: most components close, and few pairs are left to all
+    links = links.unionByName(in_blocks(bucket, 2))
+    bucket = still_mixed(bucket.select("key", "node", "size"),
+                         components(links, f"{folder}/graph-third"), "third")
+    links = links.unionByName(in_blocks(bucket, None))
     return components(links, f"{folder}/graph")
 
 
