@@ -31,6 +31,10 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
+#: Arrivals for one partition of the state; every partition costs its store's fixed files.
+ROWS_PER_STATE = 1_000_000
+
+
 def digest_of(text: Column) -> Column:
     """SHA-256 of the normalised text, in hex."""
     return F.sha2(lower_ascii(text), 256)
@@ -55,10 +59,12 @@ def stream_state(spark: SparkSession, source: str, folder: str,
 
     ``digest, keep_id, locator, group_size``.  Every micro-batch writes the keys
     it changed; a repeated batch overwrites its own folder, and of several
-    versions of a key the last counts.
+    versions of a key the last counts.  The state has a partition per ``ROWS_PER_STATE``
+    arrivals of the first run, at least one per core, and keeps that number in its checkpoint.
     """
     narrow = spark.read.parquet(source).select("doc_id", "row", "digest")
-    with settings(spark, STORE):
+    parts = max(spark.sparkContext.defaultParallelism, -(-narrow.count() // ROWS_PER_STATE))
+    with settings(spark, {**STORE, "spark.sql.streaming.internal.stateStore.partitions": str(parts)}):
         held = (spark.readStream.schema(narrow.schema)
                 .option("maxFilesPerTrigger", files_per_batch).parquet(source)
                 .groupBy("digest")
