@@ -113,8 +113,19 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
-    words, count = head["token"].to_pylist(), head["c"].to_pylist()
+    # the head: the highest bins of the logarithm of the count that hold at most HEAD words
+    binned = counts.withColumn("bin", F.floor(F.log2("c") * 64))
+    size = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()  # 64 a doubling
+    lowest, held = None, 0
+    for row in sorted(size, key=lambda r: -r["bin"]):
+        held += row["n"]
+        if held > HEAD:
+            break
+        lowest = row["bin"]
+    head = [] if lowest is None else [
+        (r["token"], r["c"]) for r in binned.where(F.col("bin") >= lowest).select("token", "c").toLocalIterator()]
+    head.sort(key=lambda r: (-r[1], r[0]))
+    words, count = [bytes(w) for w, _ in head], [c for _, c in head]
     first = words[:OUTPUTS]
     weight = np.sqrt(np.array(count[:OUTPUTS], dtype=np.float64))
     part = (np.floor((np.cumsum(weight) - weight) / weight.sum() * CLASSES).astype(int)

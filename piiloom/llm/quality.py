@@ -138,7 +138,7 @@ class Voter:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
-          per_label: int = 1500, dims: int = 64, neighbours: int = 15) -> Voter:
+          per_label: int = 1000, dims: int = 64, neighbours: int = 15) -> Voter:
     """Fit on at most ``per_label`` texts of each label outside the held-out fold."""
     rows = (labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
             .where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
