@@ -88,10 +88,11 @@ class CrossParser:
             table[:, 0] = -1
             # no transition: the phrase ends before this character, and the next begins with it
             fresh = np.where(table[0] >= 0, table[0], 0)
-            ends = (table < 0).astype(np.int64)
-            ends[0] = table[0] < 0  # at the start, an unknown character is a phrase by itself
+            # a character that not even the start goes on with is a phrase by itself
+            ends = (table < 0) * (1 + (table[0] < 0)[None, :].astype(np.int64))
+            ends[0] = table[0] < 0
             table = np.where(table < 0, fresh[None, :], table)
-            tables.append(((table + base) << 1) | ends)
+            tables.append(((table + base) << 2) | ends)
             self.start.append(base)
             base += len(moves)
         self.table = (np.concatenate(tables).reshape(-1).astype(np.int32)
@@ -129,8 +130,8 @@ class CrossParser:
         for t in range(steps):
             k = active[t]
             walked = self.table.take((state[:, :k] << 6) | codes[begin[:k] + t])
-            count[:, :k] += walked & 1
-            state[:, :k] = walked >> 1
+            count[:, :k] += walked & 3
+            state[:, :k] = walked >> 2
         # the phrase still open at the end of a lane counts as well
         count += state != roots[:, None]
         out = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
