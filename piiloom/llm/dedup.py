@@ -104,6 +104,7 @@ def unlike_bytes(docs: DataFrame, state: DataFrame, folder: str,
         hits = stored(texts.join(several, "digest"), f"{folder}/hits")
     held = (hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
             .groupBy("digest").agg(F.min("bytes").alias("held")))
+    held = stored(held, f"{folder}/held")  # a join of two stored sides may be split where a digest is hot
     return stored(hits.select("digest", "doc_id", "bytes").join(held, "digest")
                   .where("bytes <> held").select("digest", "doc_id", "bytes"), f"{folder}/unlike")
 
