@@ -72,13 +72,19 @@ def list_entities(entities: DataFrame, doc_id: str | None = None) -> DataFrame:
             .orderBy("doc_id", "start_offset", "end_offset", "entity_type"))
 
 
-def docs_by_band(jobs: DataFrame, risk_band: str, limit: int = 10) -> DataFrame:
-    """The riskiest documents of a band, newest first among equals; at most 100."""
+def docs_by_band(jobs: DataFrame, risk_band: str, limit: int = 10,
+                 max_limit: int | None = 100) -> DataFrame:
+    """The riskiest documents of a band, newest first among equals.
+
+    More than ``max_limit`` (``None``: no bound) is refused, not cut.
+    """
+    if max_limit is not None and limit > max_limit:
+        raise ValueError(f"limit {limit} is over max_limit {max_limit}")
     return (jobs.filter(F.col("risk_band") == risk_band)
             .select("doc_id", "filename", F.coalesce("risk_score", F.lit(0.0)).alias("score"),
                     "risk_score", "risk_band", "status", "entity_fqn", "created_at")
             .orderBy(F.desc_nulls_first("risk_score"), F.desc_nulls_first("created_at"), "doc_id")
-            .limit(min(limit, 100))
+            .limit(limit)
             .drop("risk_score").withColumnRenamed("score", "risk_score"))
 
 

@@ -53,6 +53,9 @@ def test_band_top_k_puts_null_scores_first(tables):
     rows = catalog.docs_by_band(tables[0], "CRITICAL").collect()
     assert [(r.doc_id, r.risk_score) for r in rows] == [("d", 0.0), ("b", 80.0), ("a", 80.0)]
     assert [r.doc_id for r in catalog.docs_by_band(tables[0], "CRITICAL", 1).collect()] == ["d"]
+    with pytest.raises(ValueError):
+        catalog.docs_by_band(tables[0], "CRITICAL", 101)
+    assert catalog.docs_by_band(tables[0], "CRITICAL", 500, max_limit=None).count() == len(rows)
 
 
 def test_filters(tables):

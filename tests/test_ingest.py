@@ -122,6 +122,16 @@ def test_reading_and_writing(spark, tmp_path):
     assert {r.redacted_text for r in stored.collect()} == {"y", "z"}
 
 
+def test_write_redacted_replaces_only_the_documents_of_the_run(spark, tmp_path):
+    row = "doc_id string, storage_key string, redacted_text string, entities_redacted int, redaction_level string"
+    path = str(tmp_path / "out")
+    for docs in ([("a", "1"), ("b", "2")], [("c", "3"), ("b", "4")]):
+        df = spark.createDataFrame([(i, f"k/{i}", t, 1, "FULL") for i, t in docs], row)
+        documents.write_redacted(df, path, parts=2)
+    stored = {(r.doc_id, r.redacted_text) for r in spark.read.parquet(path).collect()}
+    assert stored == {("a", "1"), ("b", "4"), ("c", "3")}
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([(" \t a b \n　", "A.B.PdF"), ("", "none")], "t string, f string")
     rows = df.select(strip_space(F.col("t")).alias("t"), extension(F.col("f")).alias("e"),
