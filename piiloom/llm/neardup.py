@@ -13,8 +13,10 @@ In a key's bucket every member is compared with one leader, not with all.  Pairs
 pass a collision-corrected estimate that allows six deviations, then the
 full sets are compared.  Members that share a component need no comparison any
 more.  Large buckets that still hold several components are met with another leader; then
-what is left is compared by registers in blocks of bounded size, across components, and
-only pairs that pass the estimate are made, so no link that joins components is lost.  Shingles are compared as 64-bit hashes.
+what is left is compared in blocks of bounded size, across components, by the registers of
+65,536 buckets that are not empty, made from the texts once more.  Only pairs that may still
+be similar are made, so no link that joins components is lost.  Shingles are compared as
+64-bit hashes.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; fewer words than a shingle are one shingle.  Rows with the same set, repeated
@@ -41,7 +43,13 @@ REGISTERS = 256
 EMPTY = np.uint16(0xFFFF)
 #: Buckets with more members get another leader before their rest is compared in blocks.
 LARGE = 16
-BLOCK = 512
+#: Buckets of the registers that blocks are compared by, and how many registers a block has.
+FINE = 1 << 16
+BLOCK = 1 << 17
+#: From so many registers on, the estimate narrows what the bound by lost shingles leaves.
+_MANY = 4096
+#: Cells of a matrix made at a time.
+_CELLS = 1 << 20
 #: Size classes are three such steps wide; similar sets are at most one step apart.
 _STEP = 1.2501
 _WIDE = 3
@@ -106,14 +114,30 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def compress(least: np.ndarray) -> np.ndarray:
+    """Leading zeros and ten bits of mantissa of 64-bit values, in 16 bits."""
+    fraction, power = np.frexp(least.astype(np.float64))
+    packed = ((64 - power).astype(np.int64) << 10) | ((fraction - 0.5) * 2048).astype(np.int64)
+    return packed.astype(np.uint16)
+
+
 def registers(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Leading zeros and mantissa of the least hash of each bucket, in 16 bits."""
+    """The compressed least hash of each bucket."""
     value = mix(hashes + np.uint64(0x9E3779B97F4A7C15))
     least = np.full(buckets, np.iinfo(np.uint64).max, dtype=np.uint64)
     np.minimum.at(least, (hashes % np.uint64(buckets)).astype(np.int64), value)
-    fraction, power = np.frexp(least.astype(np.float64))
-    packed = ((64 - power).astype(np.int64) << 10) | ((fraction - 0.5) * 2048).astype(np.int64)
-    return np.where(least == np.iinfo(np.uint64).max, int(EMPTY), packed).astype(np.uint16)
+    return np.where(least == np.iinfo(np.uint64).max, EMPTY, compress(least))
+
+
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    """The registers of ``FINE`` buckets that are not empty: bucket and compressed hash in 32 bits.
+
+    A set far smaller than ``FINE`` has hardly two shingles in one bucket, so nothing of it is lost.
+    """
+    place = hashes >> np.uint64(48)  # sorted, as the hashes are
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    least = np.minimum.reduceat(mix(hashes + np.uint64(0x9E3779B97F4A7C15)), first)
+    return (place[first].astype(np.uint32) << np.uint32(16)) | compress(least)
 
 
 def bands_of(level: int) -> int:
@@ -212,10 +236,12 @@ class Matcher:
 
         return joined.mapInArrow(run, "a bigint, b bigint")
 
-    def sets(self, pairs: DataFrame, folder: str) -> DataFrame:
-        """``node, set`` of the classes in ``pairs``, from the whole text of a row of each."""
-        nodes = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-                 .join(self.classes.select("node", "n", "digest", "doc_id"), "node"))
+    def sets(self, nodes: DataFrame, folder: str, fine: bool = False) -> DataFrame:
+        """``node, set`` of the classes ``nodes``, from the whole text of a row of each.
+
+        ``set`` holds the shingle hashes, or with ``fine`` the registers made of them.
+        """
+        nodes = nodes.distinct().join(self.classes.select("node", "n", "digest", "doc_id"), "node")
         nodes = stored(nodes.select("node", "n", "digest", F.struct("doc_id").alias("id")),
                        f"{folder}/nodes").where("n > 0")
         texts = self.docs.select(
@@ -232,6 +258,9 @@ class Matcher:
                     # an id may stand for several texts: only the class's own will do
                     good = [hashlib.blake2b(x, digest_size=16).digest() == d
                             for x, d in zip(data, part.column(1).to_pylist(), strict=True)]
+                    if fine:
+                        data = [fine_registers(x).tobytes() if ok else None
+                                for x, ok in zip(sets, good, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(data, pa.binary())], ["node", "set"]
                     ).filter(pa.array(good))
@@ -246,7 +275,7 @@ class Matcher:
         self.round += 1
         folder = f"{self.folder}/round{self.round}"
         likely = stored(likely, f"{folder}/likely")
-        sets = self.sets(likely, folder)
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("node")), folder)
         percent = self.percent
         both = (likely.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
                 .join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
@@ -264,46 +293,115 @@ class Matcher:
         return stored(both.mapInArrow(run, "a bigint, b bigint"), f"{folder}/links")
 
 
+def shared_counts(value: np.ndarray, size: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of ``rows`` at a time, and how many values each of them shares with each set.
+
+    ``value`` holds the sets one after the other, each without repeats.  The values that most
+    sets have are counted by a product of matrices, the others by the lists of the sets that
+    have them.
+    """
+    sets = len(size)
+    owner = np.repeat(np.arange(sets), size)
+    _, value, count = np.unique(value, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    again = count[value] > 1
+    value, owner = rank[value[again]], owner[again]
+    wide = min(max(1, _CELLS // sets), int((count > 1).sum()))
+    common = value < wide
+    dense = np.zeros((sets, wide), np.float32)
+    dense[owner[common], value[common]] = 1
+    value, owner = value[~common] - wide, owner[~common]
+    begin = np.searchsorted(owner, np.arange(sets + 1))
+    length = np.bincount(value)
+    start, having = np.cumsum(length) - length, owner[np.argsort(value, kind="stable")]
+    step = max(1, _CELLS // sets)
+    for s in range(0, len(rows), step):
+        part = rows[s:s + step]
+        same = (dense[part] @ dense.T).astype(np.int64)
+        for k, x in enumerate(part.tolist() if len(value) else ()):
+            v = value[begin[x]:begin[x + 1]]
+            lists = length[v]
+            at = np.arange(lists.sum()) + np.repeat(start[v] - (np.cumsum(lists) - lists), lists)
+            same[k] += np.bincount(having[at], minlength=sets)
+        yield part, same
+
+
+def used_by_either(value: np.ndarray, size: np.ndarray, row: int) -> np.ndarray:
+    """Registers that the set ``row`` or each other uses; values have their register in the upper half."""
+    place, first = value >> np.uint32(16), np.cumsum(size) - size
+    taken = np.zeros(FINE, np.int64)
+    taken[place[first[row]:first[row] + size[row]]] = 1
+    return size[row] + size - np.add.reduceat(taken[place], first)
+
+
 def matches_in_blocks(members: DataFrame, percent: int, best: int | None = None) -> DataFrame:
     """Pairs ``a, b`` of a bucket's members of other components that may be similar.
 
-    ``members``: ``key, node, component, size, n, regs``.  A bucket is dealt over blocks of
-    about ``BLOCK`` members, and a task holds two blocks at a time, however large the bucket is.
-    ``best``: of each member only so many pairs, those of the highest estimates.
+    ``members``: ``key, node, component, n, set``, the last being fine registers.  The largest
+    component of a bucket is met by the other members only, and these by one another.  Both are
+    dealt over blocks of about ``BLOCK`` registers and a task holds two at a time, however large
+    the bucket is.  A shingle that two sets share and their registers do not show is lost in one
+    of them, which bounds what they share; large sets must pass the estimate as well.
+    ``best``: of each of the others only so many pairs in a task, those that may share most.
     """
-    blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks_of).cast("int")
-    dealt = (members.withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks_of - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "node", "component", "n", "regs")
+    held = F.sum(F.least("n", F.lit(FINE))).alias("held")
+    parts = (members.groupBy("key", "component").agg(held).groupBy("key")
+             .agg(F.max_by("component", F.struct("held", "component")).alias("main"),
+                  F.max("held").alias("most"), F.sum("held").alias("all"))
+             .select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"),
+                     F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("others")))
+    other = F.col("component") != F.col("main")
+
+    def task(i, j):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+    def each(n: str):
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    own = F.col("own")  # tasks i, j: others of block i; mains of block j, or from there on others
+    tasks = F.when(~other, F.transform(each("others"), lambda i: task(i, own))).otherwise(F.concat(
+        F.transform(each("mains"), lambda j: task(own, j)),
+        F.transform(F.filter(each("others"), lambda o: o != own),
+                    lambda o: task(F.least(o, own), F.col("mains") + F.greatest(o, own)))))
+    dealt = (members.join(parts.where("others > 0"), "key")
+             .withColumn("own", F.pmod(F.xxhash64("node"), F.when(other, F.col("others")).otherwise(
+                 F.col("mains"))).cast("int"))
+             .withColumn("task", F.explode(tasks))
+             .select("key", "task.i", "task.j", "mains", F.when(other, own).otherwise(-1).alias("own"),
+                     "node", "component", "n", "set")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, component, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n", "own"))
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        empty = (regs == EMPTY).astype(np.float32)
-        found = []
-        for s in range(0, len(node), 32):  # rows at a time
-            e = min(s + 32, len(node))
-            both = empty[s:e] @ empty.T
-            same = (regs[s:e, None, :] == regs[None, :, :]).sum(axis=2) - both
-            guess, good = possible(same, REGISTERS - both, n[s:e, None] + n[None, :], percent)
-            good &= component[s:e, None] != component[None, :]
-            good &= 100 * np.minimum(n[s:e, None], n) >= percent * np.maximum(n[s:e, None], n)
-            apart = t.column("i")[0] != t.column("j")[0]
-            if apart:
-                good &= own[s:e, None] < own[None, :]
-            good &= (node[s:e, None] < node[None, :]) | apart
-            if best is not None and good.shape[1] > best:
-                guess = np.where(good, guess, -1.0)
+        i, j, mains = (t.column(c)[0].as_py() for c in ("i", "j", "mains"))
+        rows = own == i if j >= mains else own >= 0
+        wanted = ~rows
+        sets = t.column("set").to_pylist()
+        size = np.fromiter(map(len, sets), np.int64, len(sets)) // 4
+        value, lost = np.frombuffer(b"".join(sets), np.uint32), n - size
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, same in shared_counts(value, size, np.flatnonzero(rows)):
+            few, total = np.minimum(n[part, None], n), n[part, None] + n
+            most = np.minimum(same + lost[part, None] + lost, few)
+            good = (component[part, None] != component) & (100 * most >= percent * (total - most))
+            if j == 0:
+                good &= wanted | (best is not None) | (node > node[part, None])
+            else:
+                good &= wanted
+            for k in np.flatnonzero((size[part] >= _MANY) & good.any(axis=1)).tolist():
+                used = used_by_either(value, size, part[k])
+                good[k] &= possible(same[k], used, total[k], percent)[1]
+            if best is not None and len(node) > best:
+                guess = np.where(good, most / (total - most), -1.0)
                 top = np.argpartition(-guess, best, axis=1)[:, :best]
                 kept = np.zeros_like(good)
                 np.put_along_axis(kept, top, True, axis=1)
                 good &= kept
             x, y = np.nonzero(good)
-            found.append((node[s + x], node[y]))
-        a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+            left.append(node[part[x]])
+            right.append(node[y])
+        a, b = np.concatenate(left), np.concatenate(right)
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,11 +463,12 @@ def link_classes(docs: DataFrame, classes: DataFrame, folder: str, words: int,
     bucket = still_mixed(bucket.select("key", "node", "size"), found, "second")
 
     def in_blocks(bucket: DataFrame, best: int | None) -> DataFrame:
-        members = bucket.select("key", "node", "component", "size").join(
-            classes.select("node", "n", "regs"), "node")
+        fine = matcher.sets(bucket.select("node"), f"{folder}/fine-{best}", fine=True)
+        members = (bucket.select("key", "node", "component").join(classes.select("node", "n"), "node")
+                   .join(fine, "node"))
         return matcher.confirm(matches_in_blocks(members, percent, best).distinct())
 
-    # the likeliest link of each member first: most components close, and few pairs are left to all
+    # the likeliest links of each member first: most components close, and few pairs are left to all
     links = links.unionByName(in_blocks(bucket, 2))
     bucket = still_mixed(bucket.select("key", "node", "size"),
                          components(links, f"{folder}/graph-third"), "third")
