@@ -462,8 +462,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, folder: str, words: int,
     found = components(links, f"{folder}/graph-second")
     bucket = still_mixed(bucket.select("key", "node", "size"), found, "second")
 
+    fine = matcher.sets(bucket.select("node"), f"{folder}/fine", fine=True)
+
     def in_blocks(bucket: DataFrame, best: int | None) -> DataFrame:
-        fine = matcher.sets(bucket.select("node"), f"{folder}/fine-{best}", fine=True)
         members = (bucket.select("key", "node", "component").join(classes.select("node", "n"), "node")
                    .join(fine, "node"))
         return matcher.confirm(matches_in_blocks(members, percent, best).distinct())
