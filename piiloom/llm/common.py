@@ -76,14 +76,26 @@ def sample_ids(rows: DataFrame, label: str, per_label: int) -> DataFrame:
 
     ``rows`` has ``doc_id`` and ``label``.  The rows first by a hash of the id
     are taken, so the sample does not follow the order or layout of the table.
-    The rank limit is applied in each task before the exchange, so a label that
-    holds most of the rows costs no more than another.
+    Rows are first counted by label and size class of the hash (sixteen a power of
+    two), so only those up to the class in which the sample ends are ranked: few more
+    than the sample, however many rows a label has.  The classes in which samples end
+    are one row a label and broadcast, less than the samples that callers hold anyway.
     """
+    value = F.xxhash64("doc_id")
+    # the order of signed hashes, as a number from 0 to 2^63
+    place = F.shiftrightunsigned(value.bitwiseXOR(F.lit(-(1 << 63))), 1)
     rows = rows.select("doc_id", label).where(
-        F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return (rows.withColumn("_rank", F.row_number().over(order))
-            .where(F.col("_rank") <= per_label).drop("_rank"))
+        F.col("doc_id").isNotNull() & F.col(label).isNotNull()
+    ).withColumn("_class", F.floor(16 * F.log2(place + F.lit(1.0))))
+    ahead = Window.partitionBy(label).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    last = (rows.groupBy(label, "_class").agg(F.count(F.lit(1)).alias("_rows"))
+            .withColumn("_before", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+            .where(F.col("_before") < per_label)
+            .groupBy(label).agg(F.max("_class").alias("_last")))
+    order = Window.partitionBy(label).orderBy(value, "doc_id")
+    return (rows.join(F.broadcast(last), label).where(F.col("_class") <= F.col("_last"))
+            .withColumn("_rank", F.row_number().over(order))
+            .where(F.col("_rank") <= per_label).select("doc_id", label))
 
 
 def blocks(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
