@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from piiloom.llm.common import stored
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs (``u``) on one node (``v``) at most and such a node on none."""
+    sides = edges.select(F.col("u").alias("node"), F.lit(1).alias("ends")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("ends")))
+    mixed = (sides.groupBy("node").agg(F.sum("ends").alias("hangs"), F.min("ends").alias("least"))
+             .where("hangs > 1 OR hangs = 1 AND least = 0"))
+    return mixed.agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """``node, component`` (the least node reachable) of every node that ``links`` (a, b) touches.
 
     Each round hangs the larger neighbours, then the smaller, of every node on the
-    least one, and ends when no link changes; the rounds grow with the logarithm of
+    least one, until only stars are left; the rounds grow with the logarithm of
     the longest path.  Least neighbours are partial aggregates and the joins back
     may be split by adaptive execution, so a node of very many links is no hot task.
     """
     edges = stored(links.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{folder}/cc0")
-    before = None
     n = 0
     while True:
         n += 1
@@ -33,9 +41,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(),
                        f"{folder}/cc{n}")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before:
+        if are_stars(edges):
             break
-        before = mark
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
