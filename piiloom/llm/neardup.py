@@ -3,11 +3,15 @@
 A document is its set of distinct word shingles.  Documents with the same set are one
 class, and everything after works on classes.  The shingles of a class are dealt over
 buckets; a bucket keeps the least hash as its count of leading zeros and ten bits of
-mantissa.  Bands of six compressed registers are the candidate keys, made per size
-class, and also for the next class where a set a fourth larger would be in it.  There are
-as many bands as the largest number of differing shingles and one more, up to
-``BANDS``: below that a similar pair must share a band; at ``BANDS`` it misses all with a
-chance of about 1e-8 (1e-5 at most, between 120 and 200 shingles).
+mantissa.  Bands of six compressed registers are the candidate keys of sets of ``SMALL``
+shingles and more, made per size class, and also for the next class where a set a fourth
+larger would be in it.  There are as many bands as the largest number of differing shingles
+and one more, up to ``BANDS``.  A similar pair misses all only if the bands without a
+difference hold no shingle, or at ``BANDS`` if none is without a difference: a chance of
+about 1e-8 (1e-5 at most, below 200 shingles).  Bands of smaller sets would often be empty;
+their keys are the pairs of the first shingles in the order of the hashes, as many that two
+similar sets always have a pair in common (a prefix filter).  Sets that may be similar to a
+smaller one have both kinds.
 
 In a key's bucket every member is compared with one leader, not with all.  Pairs first
 pass a collision-corrected estimate that allows six deviations, then the
@@ -53,6 +57,8 @@ _CELLS = 1 << 20
 #: Size classes are three such steps wide; similar sets are at most one step apart.
 _STEP = 1.2501
 _WIDE = 3
+#: Sets with fewer shingles have keys of pairs of shingles in place of bands.
+SMALL = 32
 #: From this size on, a band of one shingle is no key: bands enough are left, and a frequent
 #: shingle alone would gather all texts that have it.
 _LONE = 120
@@ -145,15 +151,29 @@ def bands_of(level: int) -> int:
     return min(BANDS, int(0.25 * _STEP ** (_WIDE * (level + 1))) + 1)
 
 
+def pair_keys(hashes: np.ndarray, levels: range) -> list[np.ndarray]:
+    """Candidate keys of a small set under its size levels: every pair of its first shingles.
+
+    Sets at 80 per cent share four fifths of the larger one, so all but ``n // 5`` of the
+    shingles of either.  The first two that they share, in the one order of the hashes, are
+    then among the first ``n // 5 + 2`` of both.  One shingle alone is similar to itself only.
+    """
+    first = hashes[:len(hashes) // 5 + 2]  # sorted, as the hashes are
+    i, j = np.triu_indices(len(first), 1) if len(first) > 1 else (np.zeros(1, int), np.zeros(1, int))
+    both = mix(mix(first[i]) * np.uint64(0xD6E8FEB86659FD93) + first[j])
+    salts = np.arange(levels.start + 2, levels.stop + 2, dtype=np.uint64) * np.uint64(64) + np.uint64(63)
+    return [mix(both + salt) for salt in mix(salts * np.uint64(0x9E3779B97F4A7C15))]
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """Candidate keys of a set under its size level, and the next where sets a step larger are there.
 
     Bands without a shingle have none.
     """
     step = np.log(len(hashes)) / np.log(_STEP)
-    own, above = int(step // _WIDE), int((step + 1) // _WIDE)
-    keys = []
-    for level in range(own, above + 1):
+    levels = range(int(step // _WIDE), int((step + 1) // _WIDE) + 1)
+    keys = pair_keys(hashes, levels) if 4 * len(hashes) < 5 * SMALL else []
+    for level in levels if len(hashes) >= SMALL else ():
         n = bands_of(level)
         regs = registers(hashes, n * ROWS).reshape(n, ROWS)
         packed = np.zeros(n, dtype=np.uint64)

@@ -36,3 +36,15 @@ def test_lost_shingles_bound_what_is_shared(n):
     same = len(np.intersect1d(fine_a, fine_b, assume_unique=True))
     lost = len(a) - len(fine_a) + len(b) - len(fine_b)
     assert same + lost >= len(np.intersect1d(a, b, assume_unique=True))
+
+
+@pytest.mark.parametrize("n", [*range(1, 42)])
+def test_small_similar_sets_share_a_key(n):
+    rng = np.random.default_rng(n)
+    for d in range(n // 4 + 1):
+        for _ in range(200 // n + 5):
+            u = rng.integers(0, 2**64, n + d, dtype=np.uint64)
+            for cut in range(d + 1):  # what the smaller set has for itself
+                a, b = np.unique(u[:n]), np.unique(u[cut:])
+                if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                    assert set(neardup.band_keys(a).tolist()) & set(neardup.band_keys(b).tolist())
