@@ -1,11 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 Each language gets the suffix automaton of a bounded sample of its labelled
-text, lower-cased, with every run of other characters than letters as one.  A document is cut into phrases, each the longest piece that occurs in
+text, lower-cased, with every run of other characters than letters as one.  Every
+letter of a sample is a symbol of its own, whatever the script and however many there
+are.  A document is cut into phrases, each the longest piece that occurs in
 that sample; the language that needs the fewest phrases per character wins.
 The cut is a walk: from state to state while the automaton has a transition,
 else one phrase more and again from the start.  The walk is a table look-up, so
-numpy takes many texts through all languages at once.
+numpy takes many texts at once through each language; the transitions of letters beyond
+the 63 commonest of a sample are looked up in a sorted list.
 
 Defined results: a null text, or one without a letter (empty texts among them),
 is ``und`` with score 0.  Ties go to the language first in order.  With one
@@ -17,7 +20,6 @@ nothing; repeated rows are predicted alike.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from piiloom.llm.common import fold, sample_ids
 
 LANE = 2048
-ALPHABET = 64
+#: Columns of a table; letters from there on have their transitions in a list.
+DENSE = 64
 UNDETERMINED = "und"
 
 
@@ -68,35 +71,46 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         lowered = {k: v.lower() for k, v in samples.items()}
-        counts = Counter(c for v in lowered.values() for c in v if c.isalpha())
-        common = sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET - 3]
-        # class 0: letters that no automaton knows; 1: all that is no letter; 2: rare letters, as one
-        self.classes = np.fromiter((not chr(c).isalpha() for c in range(0x110000)), dtype=np.uint8,
+        letters = sorted({c for v in lowered.values() for c in v if c.isalpha()})
+        # class 0: letters that no automaton knows; 1: all that is no letter; from 2 on: a letter each
+        self.classes = np.fromiter((not chr(c).isalpha() for c in range(0x110000)), dtype=np.int32,
                                    count=0x110000)
-        for c in counts:
-            self.classes[ord(c)] = 2
-        for i, c in enumerate(common):
-            self.classes[ord(c)] = i + 3
-        tables, self.start = [], []
-        base = 0
-        for lang in self.languages:
-            moves = suffix_automaton(self.code([lowered[lang]])[0].tolist())
-            table = np.full((len(moves), ALPHABET), -1, dtype=np.int64)
-            for state, row in enumerate(moves):
-                for c, to in row.items():
+        for i, c in enumerate(letters):
+            self.classes[ord(c)] = i + 2
+        self.walks = [self.walk_of(self.code([lowered[lang]])[0]) for lang in self.languages]
+
+    def walk_of(self, coded: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of a coded sample: the column of each class; the table; keys and targets of rarer
+        letters' transitions, and where these letters go from the start.
+
+        Column 0 is of classes that the sample does not hold.  A state is named by the place
+        where its row begins.
+        """
+        count = np.bincount(coded, minlength=int(self.classes.max()) + 1)
+        own = np.argsort(-count, kind="stable")[:np.count_nonzero(count)]
+        column = np.zeros(len(count), dtype=np.int32)
+        column[own] = np.arange(1, len(own) + 1)
+        moves = suffix_automaton(column[coded].tolist())
+        table = np.full((len(moves), DENSE), -1, dtype=np.int64)
+        rare = []
+        for state, row in enumerate(moves):
+            for c, to in row.items():
+                if c < DENSE:
                     table[state, c] = to
-            table[:, 0] = -1
-            # no transition: the phrase ends before this character, and the next begins with it
-            fresh = np.where(table[0] >= 0, table[0], 0)
-            # a character that not even the start goes on with is a phrase by itself
-            ends = (table < 0) * (1 + (table[0] < 0)[None, :].astype(np.int64))
-            ends[0] = table[0] < 0
-            table = np.where(table < 0, fresh[None, :], table)
-            tables.append(((table + base) << 2) | ends)
-            self.start.append(base)
-            base += len(moves)
-        self.table = (np.concatenate(tables).reshape(-1).astype(np.int32)
-                      if tables else np.zeros(0, np.int32))
+                else:
+                    rare.append(((state * DENSE << 32) + c, to * DENSE))
+        keys, to = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2).T
+        start = np.zeros(len(own) + 1, dtype=np.int32)
+        for c, first in moves[0].items():
+            start[c] = first * DENSE
+        # no transition: the phrase ends before this character, and the next begins with it
+        fresh = np.where(table[0] >= 0, table[0], 0)
+        # a character that not even the start goes on with is a phrase by itself
+        ends = (table < 0) * (1 + (table[0] < 0)[None, :].astype(np.int64))
+        ends[0] = table[0] < 0
+        table = np.where(table < 0, fresh[None, :], table)
+        return (column, (((table * DENSE) << 2) | ends).reshape(-1).astype(np.int32), keys.copy(),
+                to.astype(np.int32), start)
 
     def code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all characters, and how many each text has; of a run of non-letters one stays."""
@@ -114,7 +128,6 @@ class CrossParser:
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of each lower-cased text under each language."""
         codes, size = self.code(texts)
-        codes = codes.astype(np.int64)
         lanes = -(-size // LANE)
         owner = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -122,21 +135,34 @@ class CrossParser:
         length = np.minimum(np.repeat(size, lanes) - nth * LANE, LANE)
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
-        roots = np.array(self.start, dtype=np.int32)
-        state = np.repeat(roots[:, None], len(owner), axis=1)
-        count = np.zeros(state.shape, dtype=np.int32)
         steps = int(length[0]) if len(length) else 0
         active = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-        for t in range(steps):
-            k = active[t]
-            walked = self.table.take((state[:, :k] << 6) | codes[begin[:k] + t])
-            count[:, :k] += walked & 3
-            state[:, :k] = walked >> 2
-        # the phrase still open at the end of a lane counts as well
-        count += state != roots[:, None]
         out = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
-        for i in range(len(self.languages)):
-            out[i] = np.bincount(owner, weights=count[i], minlength=len(texts))
+        for i, (column, table, keys, to, first) in enumerate(self.walks):
+            own = column.take(codes)
+            rare = own >= DENSE
+            some = bool(rare.any())
+            state = np.zeros(len(owner), dtype=np.int32)
+            count = np.zeros(len(owner), dtype=np.int32)
+            for t in range(steps):
+                k = active[t]
+                at = begin[:k] + t
+                c = own[at]
+                if some:
+                    far = np.flatnonzero(rare[at])
+                    key = (state[far].astype(np.int64) << 32) + c[far]
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    goes = keys[place] == key
+                    onward = np.where(goes, to[place], first[c[far]])
+                    c[far] = 0
+                walked = table.take(state[:k] + c)
+                if some:
+                    walked[far] = (onward << 2) | ~goes
+                count[:k] += walked & 3
+                state[:k] = walked >> 2
+            # the phrase still open at the end of a lane counts as well
+            count += state != 0
+            out[i] = np.bincount(owner, weights=count, minlength=len(texts))
         return out.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -191,7 +217,8 @@ def identify(docs: DataFrame, parser: CrossParser, block_chars: int = 2_000_000)
     """``docs`` with ``lang_pred`` and ``score`` appended; needs columns ``doc_id, text`` only.
 
     The automata go to the executors as one broadcast of known size:
-    languages x about 2 x ``chars_per_language`` states x 256 bytes.
+    languages x about 2 x ``chars_per_language`` states x 256 bytes, and at most 3 x
+    ``chars_per_language`` listed transitions of 12 bytes.
     """
     held = docs.sparkSession.sparkContext.broadcast(parser)
     plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
