@@ -188,27 +188,32 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_language:
     """Automata from a bounded sample of the labelled rows outside the held-out fold.
 
     Of each language at most ``docs_per_language`` rows are looked at, in the order of
-    a hash of their id; whole texts are taken while they fit ``chars_per_language``.
-    A language none of whose texts fits gives the middle of its shortest.
+    a hash of their id; whole texts are taken while they fit ``chars_per_language``, and
+    what is left is filled from the middles of texts that are longer than that.  So every
+    language with a row to learn from is learned, however long its texts are.
     """
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
         & (fold(F.col("doc_id"), folds) != held_out))
     ids = sample_ids(rows, "lang", docs_per_language)
+    size = F.length("text")
+    middle = F.when(size > chars_per_language, F.substring(
+        F.col("text"), F.floor((size - chars_per_language) / 2).cast("int") + 1,
+        F.lit(chars_per_language))).otherwise(F.col("text"))
     picked = (rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-              .where(F.length("text") <= 8 * chars_per_language)
               .groupBy("lang").agg(F.sort_array(F.collect_set(
-                  F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "text"))).alias("docs")))
+                  F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", (size > chars_per_language).alias("cut"),
+                           middle.alias("text")))).alias("docs")))
     samples = {}
     for row in picked.toLocalIterator():
         text = ""
-        for d in row["docs"]:
-            if len(text) + len(d["text"]) <= chars_per_language:
+        for d in sorted(row["docs"], key=lambda d: d["cut"]):
+            left = max(0, chars_per_language - len(text))
+            if d["cut"] and left:
+                half = (len(d["text"]) - left) // 2
+                text += d["text"][half:half + left] + "\n"
+            elif len(d["text"]) <= left:
                 text += d["text"] + "\n"
-        if not text:
-            least = min((d["text"] for d in row["docs"]), key=len)
-            half = (len(least) - chars_per_language) // 2
-            text = least[half:half + chars_per_language]
         samples[row["lang"]] = text
     return CrossParser(samples)
 

@@ -29,3 +29,14 @@ def test_every_letter_of_a_sample_is_a_symbol_of_its_own():
         assert parser.phrases([text])[0].tolist() == want
     found, _ = parser.predict([" ".join(rng.choices(words[k], k=10)) for k in "xyxy"])
     assert found == list("xyxy")
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, ("der die das und nicht " if i % 2 else "the and that with ") * 12_000, "de" if i % 2 else "en")
+            for i in range(16)]
+    rows += [(100 + i, "", "en") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.learn(docs)
+    assert parser.languages == ["de", "en"]
+    got = langid.identify(docs.where("text <> ''"), parser).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
