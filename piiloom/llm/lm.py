@@ -5,8 +5,9 @@ classes of like frequency; each other word belongs to the class of its last byte
 there its smoothed share of the counts.  The network gives the class and, for frequent
 words, the word in its class, so a step costs a few hundred products and not the
 vocabulary.  It starts as the unigram model and is trained by backpropagation through
-windows, the state carried over from one to the next, on a share of the training rows that
-grows with them: tasks train from the same weights, which are averaged, round by round.
+windows, the state carried over from one to the next, on all training rows: each belongs to
+one round, in which tasks train from the same weights, which are averaged.  Rounds grow with
+the square root of the tokens, so that more rows give more steps as well as more tasks.
 In scoring, documents are laid end to end in lanes, the state starting anew with each, so
 the log-likelihood is of the whole document however long.
 
@@ -20,6 +21,7 @@ base scores are 0.  Repeated rows are scored, and learned from, as often as they
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -40,11 +42,10 @@ TAILS = 64
 HIDDEN = 24
 WINDOW = 24
 LANES = 256
-#: Tokens to train on: so many, and this share of all training tokens.
-LEAST_TOKENS = 600_000
-SHARE = 1 / 512
+#: A task holds about so many tokens at a time.
 TASK_TOKENS = 100_000
-ROUNDS = 2
+#: Times that all training rows are gone through.
+PASSES = 2
 _FLUSH = 200_000
 _SUFFIX = 3
 
@@ -323,38 +324,58 @@ def train(net: Network, coded: list[np.ndarray], end: int, rate: float = 0.01,
     return net
 
 
+def training_rounds(docs: DataFrame, total: int, folder: str) -> tuple[DataFrame, int]:
+    """``text, round`` of all rows, stored by round, and how many rounds there are.
+
+    Rows are dealt by their number and not by their text, so copies spread over rounds and tasks.
+    """
+    parts = max(1, math.ceil(total / TASK_TOKENS))
+    rounds = math.ceil(math.sqrt(parts))
+    tasks = math.ceil(parts / rounds)
+    dealt = (docs.select(F.col("text").cast("string").cast("binary").alias("text"),
+                         F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+             .withColumn("round", F.pmod("place", F.lit(rounds)).cast("int"))
+             .withColumn("task", F.pmod(F.xxhash64("place"), F.lit(tasks)).cast("int"))
+             .repartition(parts, "round", "task").select("text", "round"))
+    dealt.write.partitionBy("round").parquet(folder)
+    return docs.sparkSession.read.schema("text binary, round int").parquet(folder), rounds
+
+
 def learn(docs: DataFrame, words: Vocabulary) -> Network:
-    """Train in tasks on a share of ``docs`` that grows with them; average the weights."""
+    """Train on all rows of ``docs``, round by round; the tasks' weights are averaged by their tokens."""
     net = Network.unigram(words)
     if not words.outputs:
         return net
     spark = docs.sparkSession
-    share = min(1.0, LEAST_TOKENS / max(1, words.total) + SHARE)
-    tasks = max(1, round(share * words.total / TASK_TOKENS))
-    picked = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 20))
-                        < int(share * (1 << 20)))
-    picked = (picked.select(F.col("text").cast("string").cast("binary").alias("text"))
-              .repartition(tasks, F.xxhash64("text")))
-    picked = stored(picked, work_folder(spark, "lm-sample"))
+    dealt, rounds = training_rounds(docs, words.total, work_folder(spark, "lm-training"))
     end = words.index(END)
     given = spark.sparkContext.broadcast(words)
     size = len(net.flat)
-    for _ in range(ROUNDS):
+    for n in [*range(rounds)] * PASSES:
         sent = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v = given.value
-            coded = [np.array([v.index(t) for t in tokens(text.as_py())])
-                     for batch in batches for text in batch.column(0)]
-            if coded:
-                own = train(Network(v.starts, sent.value), coded, end)
+            own, coded, held, seen = Network(v.starts, sent.value.copy()), [], 0, 0
+            for batch in batches:
+                for text in batch.column(0):
+                    coded.append(np.array([v.index(t) for t in tokens(text.as_py())]))
+                    held += len(coded[-1])
+                    if held >= TASK_TOKENS:
+                        own, seen = train(own, coded, end), seen + held
+                        coded, held = [], 0
+            own, seen = train(own, coded, end), seen + held
+            if seen:
                 for s in range(0, size, 50_000):
                     part = own.flat[s:s + 50_000].astype(np.float64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(s, s + len(part))), pa.array(part)], ["i", "w"])
+                        [pa.array(np.arange(s, s + len(part))), pa.array(part),
+                         pa.array(np.full(len(part), seen))], ["i", "w", "n"])
 
-        mean = (picked.coalesce(tasks).mapInArrow(run, "i bigint, w double")
-                .groupBy("i").agg(F.avg("w").alias("w")).toArrow())
+        mean = (dealt.where(F.col("round") == n).select("text")
+                .mapInArrow(run, "i bigint, w double, n bigint")
+                .groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow())
+        sent.unpersist()
         if mean.num_rows:
             flat = np.zeros(size, dtype=np.float32)
             flat[mean["i"].to_numpy()] = mean["w"].to_numpy()
