@@ -51,4 +51,72 @@ SELECT n.doc_id, n.n_shingles, coalesce(m.component_id, n.doc_id) AS component_i
 FROM n LEFT JOIN c ON n.n_shingles > 0 AND n.shingles = c.shingles LEFT JOIN m ON m.id = c.id
 """
 
-ORACLES = {"op4_exact_topk": OP4, "op8_minhash_near_dedup": OP8, "op5_exact_dedup": OP5}
+OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS MATERIALIZED (
+  SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+f AS MATERIALIZED (
+  SELECT lang, 1 AS size, x AS phrase, count(*) AS f FROM g GROUP BY lang, x
+  UNION ALL
+  SELECT lang, 2, x || ' ' || y, count(*) FROM g WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL
+  SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM g WHERE z IS NOT NULL GROUP BY lang, x, y, z),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL
+  SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE size = 3),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * k.a * k.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.x JOIN f r ON r.lang = k.lang AND r.phrase = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE size = 3
+    UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE size = 3) GROUP BY ALL),
+o AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score,
+         row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE coalesce(100 * i.longer < 50 * b.a, true))
+SELECT o.lang, o.rank, o.phrase, o.a, o.l, o.r, n.n, o.score FROM o JOIN n ON n.lang = o.lang WHERE o.rank <= 2000
+"""
+
+OP13 = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS mark
+  FROM documents),
+q AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+s AS MATERIALIZED (
+  SELECT source, s, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, sum(s) OVER () AS t FROM q),
+-- sources by the level at which each is clamped; the level if all before it are clamped
+o AS (
+  SELECT *, coalesce(sum(3 * s) OVER before, 0) AS taken, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS left_over
+  FROM s WINDOW before AS (ORDER BY 3 * s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (
+  SELECT (t - taken)::BIGINT AS num, left_over::BIGINT AS den FROM o WHERE 3 * s * left_over >= (t - taken) * w
+  ORDER BY 3 * s / w, source NULLS LAST LIMIT 1),
+p AS (
+  SELECT source, s, least((w * num)::DOUBLE / den::DOUBLE, (3 * s)::DOUBLE) AS target,
+         CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole, target - whole * s AS rest
+  FROM s, l),
+r AS (
+  SELECT d.doc_id, d.source, d.size, p.s, p.target, p.whole, p.rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(d.mark, 1, 15), d.doc_id, d.size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, s AS source_size, target, source, whole,
+       (size * (whole + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
+
+ORACLES = {"op4_exact_topk": OP4, "op8_minhash_near_dedup": OP8, "op5_exact_dedup": OP5,
+           "op12_collocations": OP12, "op13_source_mixing": OP13}

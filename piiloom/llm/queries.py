@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.llm import bpe, dedup, langid, lm, neardup, packing, quality, tokens, topk, urls
+from piiloom.llm import (bpe, collocations, dedup, langid, lm, mixing, neardup, packing, quality, tokens,
+                         topk, urls, variants)
 from piiloom.llm.common import fold, read_table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -71,6 +72,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                             public_tokenizers.path(WORD_BPE))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.group_variants(docs, one_in=97)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "whole")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_url_filters, op3_quality_classifier, op4_exact_topk, op5_exact_dedup,
-    op6_lm_scoring, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_bpe)}
+    op6_lm_scoring, op7_language_id, op8_minhash_near_dedup, op9_token_counts, op10_bpe,
+    op11_spelling_variants, op12_collocations, op13_source_mixing)}
