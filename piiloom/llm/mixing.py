@@ -112,36 +112,48 @@ def with_targets(sources: DataFrame, level: Fraction, epochs: int) -> DataFrame:
     return sources.withColumn("target", F.least(share, (F.col("source_size") * epochs).cast("double")))
 
 
-def repetitions(measured: DataFrame, sources: DataFrame) -> DataFrame:
-    """Documents with ``taken``: words in whole repetitions, and in the fractional one if it reaches the document."""
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
+
+
+def with_ends(measured: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources with ``whole`` repetitions, ``rest`` (words of the fractional one), ``last_bin`` in which these
+    run out, and ``before``, the words of the bins before that."""
     plan = sources.select(
         "source", "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
         .otherwise(0).cast("long").alias("whole"))
     plan = plan.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # the bin of each source in which the remaining words run out, and the words of the bins before it
     rising = Window.partitionBy("source").orderBy("bin")
     bins = (measured.groupBy("source", "bin").agg(F.sum("size").alias("words"))
             .withColumn("upto", F.sum("words").over(rising)))
-    reached = bins.join(plan.select("source", "rest"), same(bins, plan)).where(F.col("upto") > F.col("rest"))
+    reached = bins.join(plan.select("source", "rest"), _same(bins, plan)).where(F.col("upto") > F.col("rest"))
     last = reached.groupBy(bins["source"]).agg(
         F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("before")), "bin").alias("end"))
-    plan = plan.join(last, same(plan, last), "left").select(
+    return plan.join(last, _same(plan, last), "left").select(
         plan["source"], "source_size", "target", "whole", "rest",
         F.coalesce("end.bin", F.lit(BINS)).alias("last_bin"), F.coalesce("end.before", F.lit(0)).alias("before"))
-    rows = measured.join(plan, same(measured, plan), "left").select(
-        "doc_id", measured["source"], "size", "bin", "place", "source_size", "target", "whole", "rest",
-        "last_bin", "before")
-    # half of a document may be over what remains, not more
+
+
+def repetitions(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """Documents with ``taken``: words in whole repetitions, and in the fractional one if it reaches the document.
+
+    ``plan`` is a stored table, so Spark knows its size and broadcasts it only if that is small.  Beyond that,
+    documents of last bins meet it by source and bin, and only they are moved by source for the running
+    sum; the join of all others ends its stage, so adaptive execution may split a large source.
+    """
+    columns = ["doc_id", measured["source"], "size", "source_size", "target", "whole"]
+    others = (measured.join(plan, _same(measured, plan)).where(F.col("bin") != F.col("last_bin"))
+              .select(*columns, (F.col("bin") < F.col("last_bin")).cast("long").alias("more")))
     inside = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    ending = rows.where(F.col("bin") == F.col("last_bin")).withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    ending = ending.select(*columns, (F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).cast("long").alias("more"))
-    others = rows.where(F.col("bin") != F.col("last_bin")).select(
-        *columns, (F.col("bin") < F.col("last_bin")).cast("long").alias("more"))
-    return others.unionByName(ending).withColumn("taken", F.col("size") * (F.col("whole") + F.col("more")))
+    ending = measured.join(plan, _same(measured, plan) & (F.col("bin") == F.col("last_bin"))).select(
+        *columns, "place", "rest", "before").withColumn("upto", F.col("before") + F.sum("size").over(inside))
+    # half of a document may be over what remains, not more
+    more = (F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).cast("long")
+    names = ["doc_id", "source", "size", "source_size", "target", "whole"]
+    return (others.unionByName(ending.select(*names, more.alias("more")))
+            .withColumn("taken", F.col("size") * (F.col("whole") + F.col("more"))))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...] = (1, 2, 3),
@@ -160,5 +172,5 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, cycle: tuple[int, ...
         named = weights.select(F.col("source").alias("_source"), F.col("weight").cast("long").alias("weight"))
         sources = sources.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     sources = stored(sources, f"{folder}/sources")
-    planned = stored(with_targets(sources, water_level(sources, epochs), epochs), f"{folder}/targets")
-    return repetitions(measured, planned)
+    targets = with_targets(sources, water_level(sources, epochs), epochs)
+    return repetitions(measured, stored(with_ends(measured, targets), f"{folder}/plan"))

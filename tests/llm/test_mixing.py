@@ -52,7 +52,7 @@ def check(rows, got, weights, epochs):
     want = brute_targets(sizes, weights, epochs)
     taken = defaultdict(int)
     assert sorted((str(r["doc_id"]), r["size"], str(r["source"])) for r in got) == sorted(
-        (i, size_of(t), str(s)) for i, t, s in rows)
+        (str(i), size_of(t), str(s)) for i, t, s in rows)
     for r in got:
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(float(want[r["source"]]), rel=1e-12)
