@@ -25,14 +25,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from piiloom.functions.text import lookup
 from piiloom.llm.common import LOWER, UPPER, settings, stored, work_folder
 from piiloom.llm.langid import UNDETERMINED
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"
-BLANKS = r"[\x20\x09]+"
 MILLION = 1_000_000
-#: Shuffle files go when the query that wrote them ends, not when the driver collects its garbage.
-CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+ROUND = {
+    # shuffle files go when the query that wrote them ends, not when the driver collects its garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # a first map of 65,536 keys in front of the hash table is no help where keys hardly repeat
+    "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
+}
 
 
 def lowered(text: Column) -> Column:
@@ -45,38 +49,43 @@ def windows(docs: DataFrame, max_words: int) -> DataFrame:
     """One row per word: ``lang, w1 .. w<max_words>``, null beyond the end of the piece."""
     pieces = docs.select(F.coalesce("lang", F.lit(UNDETERMINED)).alias("lang"),
                          F.explode(F.split("text", BREAKS)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split(lowered(F.col("piece")), BLANKS), "").alias("w"))
-    leads = [F.slice("w", k + 1, F.size("w")).alias(f"w{k + 1}") for k in range(1, max_words)]
-    return (words.where(F.size("w") > 0)
-            .select("lang", F.inline(F.arrays_zip(F.col("w").alias("w1"), *leads)))
-            .toDF("lang", *[f"w{k + 1}" for k in range(max_words)]))
+    # split at one blank: Spark needs no pattern for that, and runs of blanks leave empty words only
+    blanks = F.replace(lowered(F.col("piece")), F.lit("\t"), F.lit(" "))
+    words = pieces.select("lang", F.array_remove(F.split(blanks, " "), "").alias("w"))
+    leads = [F.get("w", F.col("i") + k).alias(f"w{k + 1}") for k in range(1, max_words)]
+    return (words.where(F.size("w") > 0).select("lang", "w", F.posexplode("w").alias("i", "w1"))
+            .select("lang", "w1", *leads))
+
+
+def rolled_up(found: DataFrame, max_words: int) -> DataFrame:
+    """Windows summed over their prefixes: ``lang, phrase, size, f``; each position of a text is in one window."""
+    names = [f"w{k + 1}" for k in range(max_words)]
+    later = ", ".join(names[1:])
+    rows = found.sparkSession.sql(
+        f"SELECT lang, w1, {later}, grouping_id() AS level, count(*) AS f FROM {{found}}"
+        f" GROUP BY lang, w1, ROLLUP ({later})", found=found)
+    # level 2^k - 1 leaves out the last k columns
+    sizes = {(1 << (max_words - size)) - 1: size for size in range(1, max_words + 1)}
+    size = lookup(sizes, F.col("level"))
+    # a prefix that ends in padding is not a phrase
+    padded = reduce(lambda a, b: a | b, [
+        (F.col("size") == k + 1) & F.col(w).isNull() for k, w in enumerate(names)])
+    return (rows.withColumn("size", size).where(~padded)
+            .select("lang", F.concat_ws(" ", *names).alias("phrase"), "size", "f"))
 
 
 def phrase_counts(docs: DataFrame, folder: str, max_words: int, min_count: int,
                   rounds: int) -> tuple[DataFrame, DataFrame]:
     """Words of each language ``lang, n``, and phrases ``lang, phrase, size, f`` of ``min_count`` or more."""
-    spark = docs.sparkSession
-    names = [f"w{k + 1}" for k in range(max_words)]
     parts = []
     for number in range(rounds):
-        with settings(spark, CLEAN):
-            found = windows(docs, max_words).where(F.pmod(F.xxhash64("w1"), F.lit(rounds)) == number)
-            summed = found.rollup("lang", *names).agg(
-                F.grouping_id().alias("level"), F.count(F.lit(1)).alias("f"))
-            # level 2^k - 1 leaves out the last k columns: all of them but the language, or fewer
-            sizes = {(1 << (max_words - size)) - 1: size for size in range(max_words + 1)}
-            size = F.create_map(*[F.lit(x).cast("long") for pair in sizes.items() for x in pair])
-            rows = summed.withColumn("size", size[F.col("level").cast("long")]).where(F.col("size").isNotNull())
-            # a prefix with padding in it is not a phrase
-            ended = reduce(lambda a, b: a | b, [
-                (F.col("size") == k + 1) & F.col(w).isNull() for k, w in enumerate(names)])
-            rows = rows.where(~ended & ((F.col("size") == 0) | (F.col("f") >= min_count)))
-            parts.append(stored(rows.select(
-                "lang", F.concat_ws(" ", *names).alias("phrase"), F.col("size").cast("int"), "f"),
-                f"{folder}/slice{number}"))
+        found = windows(docs, max_words).where(F.pmod(F.xxhash64("w1"), F.lit(rounds)) == number)
+        with settings(docs.sparkSession, ROUND):
+            parts.append(stored(rolled_up(found, max_words).where((F.col("size") == 1) | (F.col("f") >= min_count)),
+                                f"{folder}/slice{number}"))
     every = reduce(lambda a, b: a.unionByName(b), parts)
-    totals = every.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"))
-    return totals, every.where("size > 0")
+    totals = every.where("size = 1").groupBy("lang").agg(F.sum("f").alias("n"))
+    return totals, every.where(F.col("f") >= min_count)
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
@@ -124,7 +133,7 @@ def top_of_each(rows: DataFrame, key: str, order: list[Column], k: int, parts: i
 
 
 def mine(docs: DataFrame, max_words: int = 3, min_count: int = 10, inside_percent: int = 50,
-         top: int = 2000, rounds: int = 4, parts: int = 16) -> DataFrame:
+         top: int = 2000, rounds: int = 3, parts: int = 16) -> DataFrame:
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
     A phrase inside a longer candidate with at least ``inside_percent`` per cent of
