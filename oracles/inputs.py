@@ -15,6 +15,9 @@ def _case(table: dict, key: str) -> str:
 _W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 _WD = r"[\p{L}\p{M}\p{Nd}\p{Pc}.+-]"
 
+# --- Fixed values: patterns, scores, context words, state codes, stand-in names ---------------
+_FIRST = ["Asha", "Ravi", "Meera", "Arjun", "Leela", "Kiran", "Nila", "Dev"]
+_LAST = ["Rao", "Sen", "Nair", "Das", "Iyer", "Gill", "Bose", "Shah"]
 RULES = (
     ("aadhaar_spaced", "AADHAAR", r"\b[2-9][0-9]{3}\s[0-9]{4}\s[0-9]{4}\b", 0.85),
     ("aadhaar_hyphen", "AADHAAR", r"\b[2-9][0-9]{3}-[0-9]{4}-[0-9]{4}\b", 0.85),
@@ -32,6 +35,8 @@ RULES = (
     ("email", "EMAIL", rf"{_W}{_WD}*@{_W}+(?:-{_W}+)*(?:\.{_W}+(?:-{_W}+)*)+", 1.0),
     ("phone_in", "PHONE", r"(?:\+91[\s-]?|\b)[6-9][0-9]{4}[\s-]?[0-9]{5}\b", 0.40),
     ("phone_us", "PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", 0.75),
+    ("person_85", "PERSON", rf"\b(?:{'|'.join(_FIRST)})[ \t]+(?:{'|'.join(_LAST)})\b", 0.85),
+    ("person_75", "PERSON", rf"\b(?:{'|'.join(_FIRST)})\b", 0.75),
 )
 _CONTEXT = {
     "AADHAAR": ["aadhaar", "aadhar", "uid", "uidai", "unique identification",
@@ -40,13 +45,12 @@ _CONTEXT = {
     "DRIVING_LICENSE": ["dl", "driving licence", "driving license", "license no", "licence no",
                         "dl no", "driver", "transport"],
     "EMAIL": [],
+    "PERSON": [],
     "PHONE": ["phone", "number", "telephone", "cell", "cellphone", "mobile", "call"],
 }
 STATES = ["AP", "AR", "AS", "BR", "CG", "GA", "GJ", "HR", "HP", "JK", "JH", "KA", "KL", "MP",
           "MH", "MN", "ML", "MZ", "NL", "OD", "PB", "RJ", "SK", "TN", "TS", "TR", "UP", "UK",
           "WB", "AN", "CH", "DN", "DD", "DL", "LD", "PY"]
-_FIRST = ["Asha", "Ravi", "Meera", "Arjun", "Leela", "Kiran", "Nila", "Dev"]
-_LAST = ["Rao", "Sen", "Nair", "Das", "Iyer", "Gill", "Bose", "Shah"]
 
 
 def _rule_hits(rule: str, entity_type: str, pattern: str, score: float) -> str:
@@ -113,6 +117,7 @@ _SYNTHETIC = f"""CASE entity_type
       || {_digits(13, 4)} || '@example.com'
     WHEN 'PHONE' THEN '+91 ' || CAST({_number(1)} % 4 + 6 AS VARCHAR) || {_digits(7, 4)} || ' '
       || {_digits(19, 5)}
+    WHEN 'PERSON' THEN {_pick(_FIRST, 1)} || ' ' || {_pick(_LAST, 7)}
     ELSE '[REDACTED]' END"""
 
 CTES: dict[str, str] = {
@@ -223,7 +228,8 @@ CTES: dict[str, str] = {
           WHEN 'PAN' THEN 'PII.Sensitive.IndianGovtID.PAN'
           WHEN 'DRIVING_LICENSE' THEN 'PII.Sensitive.IndianGovtID.DrivingLicense'
           WHEN 'EMAIL' THEN 'PII.Sensitive.ContactInfo.Email'
-          WHEN 'PHONE' THEN 'PII.Sensitive.ContactInfo.Phone' END AS tag_fqn FROM ents""",
+          WHEN 'PHONE' THEN 'PII.Sensitive.ContactInfo.Phone'
+          WHEN 'PERSON' THEN 'PII.Sensitive' END AS tag_fqn FROM ents""",
     "holders": """SELECT doc_id, is_redacted, name, 'document-store.' || name AS fqn,
         size, CASE WHEN lower(ext) IN ('csv', 'tsv', 'json', 'parquet', 'avro', 'zip', 'gz')
           THEN lower(ext) ELSE '' END AS file_formats,
@@ -241,33 +247,29 @@ CTES: dict[str, str] = {
           SELECT doc_id, true, filename || '.redacted', NULL,
             regexp_extract(filename, '\\.([^.]*)$', 1), redacted_key, 0.0, 'LOW', types
           FROM jobs WHERE redacted_key IS NOT NULL)""",
-    "words": r"""SELECT doc_id, lower(hit) AS word, e - length(hit) AS s, e,
-        lead(lower(hit)) OVER w AS next_word, lead(e) OVER w AS next_e FROM (
-          SELECT doc_id, i, hit, CAST(sum(length(gap) + length(hit)) OVER (
-              PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e
-          FROM (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap,
-                       unnest(range(len(hits))) AS i
-                FROM (SELECT doc_id,
-                        string_split_regex(text, '[\p{L}\p{M}\p{N}]+') AS gaps,
-                        regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+') AS hits FROM corpus)))
-        WINDOW w AS (PARTITION BY doc_id ORDER BY i)""",
-    "names": "SELECT regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark",
     "flawed": """SELECT doc_id, entity_type, picked,
         CASE WHEN picked = 1 THEN -s - 1 ELSE s END AS s,
         CASE picked WHEN 2 THEN s WHEN 3 THEN e + 100000 ELSE e END AS e,
         CASE picked WHEN 4 THEN confidence + 1 WHEN 5 THEN NULL ELSE confidence END AS confidence
         FROM (SELECT *, ('0x' || right(value_hash, 1))::BIGINT AS picked FROM ents)""",
 }
-# The same detection and scoring again, over the redacted texts.
-_AGAIN = {"corpus": "again", "hits": "again_hits", "ents": "again_ents",
-          "by_type": "again_by_type", "base": "again_base"}
-CTES["again"] = "SELECT doc_id, redacted_text AS text FROM redacted"
-for _name in ("hits", "ents", "by_type", "base"):
-    CTES[_AGAIN[_name]] = re.sub(r"FROM (corpus|hits|ents|by_type)\b",
-                                 lambda m: "FROM " + _AGAIN[m.group(1)], CTES[_name])
+
+
+def _family(prefix: str, corpus: str) -> set[str]:
+    """The same detection and scoring over other texts: ``<prefix>_hits`` and so on.  Returns names to store."""
+    CTES[f"{prefix}_corpus"] = corpus
+    for name in ("hits", "ents", "by_type", "base"):
+        CTES[f"{prefix}_{name}"] = re.sub(r"FROM (corpus|hits|ents|by_type)\b",
+                                          lambda m: f"FROM {prefix}_{m.group(1)}", CTES[name])
+    return {f"{prefix}_corpus", f"{prefix}_hits"}
+
+
+_STORED = {"corpus", "hits", "ents", "edits", "by_type"}
+for _level in ("full", "light", "synthetic"):
+    _STORED |= _family(f"again_{_level}", f"""SELECT r.doc_id, r.redacted_text AS text FROM {_level}_text_steps r
+        WHERE r.i = (SELECT count(*) FROM edits x WHERE x.doc_id = r.doc_id)""")
 
 _RECURSIVE = {"full_text_steps", "light_text_steps", "synthetic_text_steps"}
-_STORED = {"corpus", "hits", "ents", "edits", "by_type", "again", "again_hits"}
 
 
 def _needs(body: str) -> list[str]:

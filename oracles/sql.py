@@ -127,14 +127,8 @@ _BODIES: dict[str, str] = {
        if name.startswith(("aadhaar", "dl_", "email"))},
     "detect_pan": _rule("pan_holder_letter", "pan_shape"),
     "detect_phone": _rule("phone_in", "phone_us"),
-    "detect_person": r"""SELECT doc_id, 'PERSON' AS entity_type, CAST(NULL AS VARCHAR) AS subtype,
-        s AS start_offset, e AS end_offset, 0.85::DOUBLE AS confidence FROM (
-          SELECT doc_id, word AS name, s, e FROM words
-          UNION ALL SELECT doc_id, word || ' ' || next_word, s, next_e FROM words
-            WHERE next_word IS NOT NULL)
-        WHERE name IN (SELECT lower(w[1]) FROM names WHERE len(w) > 0
-                       UNION SELECT lower(w[2] || ' ' || w[3]) FROM names WHERE len(w) > 2
-                       UNION SELECT lower(w[2]) FROM names WHERE len(w) = 2)""",
+    "detect_person": _rule("person_85", "person_75"),
+    "detect_person_joined": _rule("person_85", "person_75"),
     "spans": "SELECT doc_id, rule, s AS start_offset, e AS end_offset, value FROM hits",
     "context_boost": """SELECT doc_id, rule, s AS start_offset, round(boosted, 6) AS confidence
         FROM hits""",
@@ -145,7 +139,7 @@ _BODIES: dict[str, str] = {
         WHERE entity_type IN ('EMAIL', 'PHONE') GROUP BY entity_type""",
     "subtype_tag": """SELECT entity_type, subtype, count(*) AS n FROM ents
         GROUP BY entity_type, subtype""",
-    "entity_allow_list": f"SELECT {_SPAN} FROM ents WHERE entity_type IN ('PAN', 'EMAIL')",
+    "entity_allow_list": f"SELECT {_SPAN} FROM ents WHERE entity_type IN ('PAN', 'EMAIL', 'PERSON')",
     "suppress_contained": f"""SELECT doc_id, entity_type, {_GOV} AS subtype, s AS start_offset,
         e AS end_offset, round(boosted, 6) AS confidence, rule FROM hits h WHERE {_UNSUPPRESSED}""",
     "detect_all": f"SELECT {_SPAN}, rule, value_hash FROM ents",
@@ -177,9 +171,11 @@ _BODIES: dict[str, str] = {
         FROM ({_RANKED})""",
     "high_risk_docs": """SELECT doc_id, round(risk_score, 6) AS risk_score FROM scored
         WHERE risk_score >= 51""",
-    "residual_risk": """SELECT s.doc_id, round(risk_score, 6) AS risk_score_before,
-        0.0::DOUBLE AS risk_score_after, round(coalesce(b.score, 0.0), 6) AS risk_score_residual
-        FROM scored s LEFT JOIN again_base b ON b.doc_id = s.doc_id""",
+    "residual_risk": " UNION ALL ".join(f"""SELECT s.doc_id, round(risk_score, 6) AS risk_score_before,
+        0.0::DOUBLE AS risk_score_after, round(coalesce(b.score, 0.0), 6) AS risk_score_residual,
+        '{level.upper()}' AS redaction_level
+        FROM scored s LEFT JOIN again_{level}_base b ON b.doc_id = s.doc_id"""
+        for level in ("light", "full", "synthetic")),
     # redaction
     "redact_light": _replacements("light_text"),
     "redact_full": _replacements("full_text"),
@@ -187,7 +183,7 @@ _BODIES: dict[str, str] = {
     "synthetic_aadhaar": _replacements("synthetic_text", "AADHAAR"),
     "synthetic_pan": _replacements("synthetic_text", "PAN"),
     "synthetic_dl": _replacements("synthetic_text", "DRIVING_LICENSE"),
-    "synthetic_contact": _replacements("synthetic_text", "EMAIL", "PHONE"),
+    "synthetic_contact": _replacements("synthetic_text", "EMAIL", "PHONE", "PERSON"),
     "redact_documents": _texts("full_text"),
     "redact_documents_light": _texts("light_text"),
     "redact_documents_synthetic": _texts("synthetic_text"),

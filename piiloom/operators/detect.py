@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
 from piiloom.functions.chunks import chunks_where, cut_sql
 from piiloom.functions.columns import with_computed
 from piiloom.functions.spans import find_spans, offsets_sql, suppress_contained
-from piiloom.functions.sqltext import name
-from piiloom.session import broadcast_if_small
-
-_TOKEN = r"[\p{L}\p{M}\p{N}]+"
+from piiloom.functions.sqltext import name, string
+from piiloom.operators.names import TOKEN as _TOKEN
+from piiloom.operators.names import DictionaryTooLarge, folded, name_rules, tidy_names
 
 
 def with_spans(docs: DataFrame, rules=R.DEFAULT_RULES,
@@ -95,31 +94,60 @@ def counts_in_row(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.inline("type_totals")).select("doc_id", "entity_type", "n")
 
 
-def detect_person(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Person names from a caller's dictionary ``names(name, score)``.
+def detect_person(docs: DataFrame, names: DataFrame, threshold: float = R.CONFIDENCE_THRESHOLD,
+                  ignore_case: bool = True) -> DataFrame:
+    """Person names of a caller's dictionary ``names(name, score)``, as rows of :func:`detect_all`.
+
+    Names that occur are matched in the row, as rules.  Beyond the size that a pattern may have,
+    tokens meet the dictionary in a join (:func:`join_names`).
+    """
+    try:
+        return detect_all(docs, name_rules(names, docs, ignore_case=ignore_case), threshold)
+    except DictionaryTooLarge:
+        return join_names(docs, names, threshold, ignore_case)
+
+
+def join_names(docs: DataFrame, names: DataFrame, threshold: float = R.CONFIDENCE_THRESHOLD,
+               ignore_case: bool = True) -> DataFrame:
+    """The same for a dictionary of any size, by a join on the first token of a name.
 
-    Single tokens and pairs of neighbouring tokens are matched without regard
-    to case.  Tokens and pairs are made inside the row; only those found in a
-    broadcast dictionary leave the join.  A dictionary over the checked size
-    is joined by shuffle instead.
+    Only tokens that begin some name leave the join; then the tokens behind it, carried along up to the
+    longest name, are compared with the names that begin so.
     """
-    tokens = with_computed(
-        docs.select("doc_id", "text"),
-        word=F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)),
-        at=F.expr(offsets_sql(name("text"), _TOKEN)))
-    rest = F.lit(2), F.size("word")
-    pairs = tokens.select("doc_id", F.inline(F.arrays_zip(
-        "word", "at", F.slice("word", *rest).alias("next_word"),
-        F.slice("at", *rest).alias("next_at"))))
-    start = F.col("at.start_offset").alias("start_offset")
-    single = F.struct(F.col("word").alias("name"), start,
-                      F.col("at.end_offset").alias("end_offset"))
-    double = F.struct(F.concat("word", F.lit(" "), "next_word").alias("name"), start,
-                      F.col("next_at.end_offset").alias("end_offset"))
-    found = pairs.select("doc_id", F.inline(F.array(single, double))).filter("name is not null")
-    dictionary = (names.groupBy(F.lower("name").alias("name"))
-                  .agg(F.max("score").cast("double").alias("confidence")))
-    return (found.join(broadcast_if_small(dictionary), "name")
-            .select("doc_id", F.lit("PERSON").alias("entity_type"),
-                    F.lit(None).cast("string").alias("subtype"),
-                    "start_offset", "end_offset", "confidence"))
+    tokens_of = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(0))
+    inner = F.expr(f"slice(split(name, {string(_TOKEN)}, -1), 2, size(parts) - 1)")
+    listed = (tidy_names(names.where(F.col("score") >= threshold), ignore_case)
+              .withColumn("parts", tokens_of("name"))
+              .select("parts", inner.alias("inner"), F.col("score").alias("confidence")))
+    longest = listed.agg(F.max(F.size("parts"))).first()[0] or 1
+    listed = listed.select("parts", "inner", "confidence", F.get("parts", F.lit(0)).alias("token"))
+    tokens = with_computed(docs.select("doc_id", "text"), word=tokens_of("text"),
+                           at=F.expr(offsets_sql(name("text"), _TOKEN)))
+    gaps = F.expr(f"slice(split(text, {string(_TOKEN)}, -1), 2, size(word))")
+    rows = with_computed(tokens, gaps=gaps).select(
+        "doc_id", "word", "at", "gaps", F.posexplode("word").alias("i", "token")).select(
+        "doc_id", "token", F.slice("word", F.col("i") + 1, longest).alias("words"),
+        F.slice("at", F.col("i") + 1, longest).alias("places"),
+        F.slice("gaps", F.col("i") + 1, longest - 1).alias("between"))
+    rows = rows.withColumn("token", folded(F.col("token"), ignore_case))
+    size = F.size("parts")
+    # what stands between two tokens of a name stands there in the text, runs of blanks as one
+    between = F.transform(F.slice("between", F.lit(1), size - 1), lambda g: F.regexp_replace(g, r"[ \t]+", " "))
+    same = F.transform(F.slice("words", F.lit(1), size), lambda w: folded(w, ignore_case)) == F.col("parts")
+    found = rows.join(listed, "token").where(same & (between == F.col("inner")))
+    value = F.array_join(F.transform(F.slice("words", F.lit(1), size), lambda w, i: F.concat(
+        w, F.when(i < size - 1, F.get("between", i)).otherwise(""))), "")
+    spans = found.select(
+        "doc_id", F.struct(
+            F.lit("PERSON").alias("entity_type"), F.lit(None).cast("string").alias("subtype"),
+            F.get("places", F.lit(0))["start_offset"].alias("start_offset"),
+            F.get("places", size - 1)["end_offset"].alias("end_offset"), "confidence",
+            F.concat(F.lit("person_"), F.lpad(F.round(F.col("confidence") * 100).cast("int").cast("string"), 2, "0"))
+            .alias("rule"), F.sha2(value, 256).alias("value_hash")).alias("s"))
+    # a name inside a longer one goes, as in the row
+    near = Window.partitionBy("doc_id").orderBy("s.start_offset", F.desc("s.end_offset")).rowsBetween(-longest, longest)
+    inside = F.exists(F.collect_list("s").over(near), lambda o: (
+        (o["start_offset"] <= F.col("s.start_offset")) & (o["end_offset"] >= F.col("s.end_offset"))
+        & (o["confidence"] >= F.col("s.confidence"))
+        & (o["end_offset"] - o["start_offset"] > F.col("s.end_offset") - F.col("s.start_offset"))))
+    return spans.withColumn("inside", inside).where(~F.col("inside")).select("doc_id", "s.*")

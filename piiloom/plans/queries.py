@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from piiloom import rules as R
 from piiloom.operators import (catalog, detect, govern, ingest, lifecycle, quality,
                                redact, risk)
+from piiloom.operators.names import name_rules
 from piiloom.plans import pipeline
 from piiloom.session import shared_folder, stored_copy
 from piiloom.sources import derived, documents
@@ -43,12 +44,17 @@ def _corpus(spark, sf):
     return derived.job_statuses(derived.corpus(spark, sf))
 
 
+def _rules(spark):
+    """The default rules and the names of the dictionary."""
+    return R.DEFAULT_RULES + name_rules(derived.name_dictionary(spark))
+
+
 def _scanned(spark, sf):
-    return pipeline.scan(_corpus(spark, sf))
+    return pipeline.scan(_corpus(spark, sf), rules=_rules(spark))
 
 
 def _entities(spark, sf):
-    return detect.detect_all(derived.corpus(spark, sf))
+    return detect.detect_all(derived.corpus(spark, sf), _rules(spark))
 
 
 def _redacted(spark, sf, level="FULL", overlap="splice"):
@@ -63,7 +69,8 @@ def stored(spark, sf) -> pipeline.Catalog:
     key = spark.sparkContext.applicationId, sf
     if key not in _CATALOGS:
         folder = shared_folder(spark, "catalog")
-        pipeline.write_catalog(_corpus(spark, sf), folder, timestamp=F.expr(REPORT_TIME))
+        pipeline.write_catalog(_corpus(spark, sf), folder, timestamp=F.expr(REPORT_TIME),
+                               rules=_rules(spark))
         _CATALOGS[key] = folder
     return pipeline.read_catalog(spark, _CATALOGS[key])
 
@@ -162,12 +169,19 @@ def _rule_query(*names):
 
 
 def detect_person(spark, sf):
-    return detect.detect_person(derived.corpus(spark, sf), derived.name_dictionary(spark, sf))
+    return detect.detect_person(derived.corpus(spark, sf), derived.name_dictionary(spark), ignore_case=False).select(
+        *_SPAN_COLUMNS, "value_hash")
+
+
+def detect_person_joined(spark, sf):
+    """The same by the join that dictionaries of any size use."""
+    return detect.join_names(derived.corpus(spark, sf), derived.name_dictionary(spark), ignore_case=False).select(
+        *_SPAN_COLUMNS, "value_hash")
 
 
 def spans(spark, sf):
     docs = derived.corpus(spark, sf)
-    parts = detect.with_chunks(detect.with_spans(docs, threshold=0.0, boost=False,
+    parts = detect.with_chunks(detect.with_spans(docs, _rules(spark), threshold=0.0, boost=False,
                                                  suppress=False))
     values = F.transform(F.arrays_zip("spans", redact.span_values().alias("value")), lambda z: F.struct(
         z["spans"]["rule"].alias("rule"), z["spans"]["start_offset"].alias("start_offset"),
@@ -176,12 +190,12 @@ def spans(spark, sf):
 
 
 def context_boost(spark, sf):
-    return detect.detect_all(derived.corpus(spark, sf), threshold=0.0, suppress=False).select(
+    return detect.detect_all(derived.corpus(spark, sf), _rules(spark), threshold=0.0, suppress=False).select(
         "doc_id", "rule", "start_offset", "confidence")
 
 
 def threshold_filter(spark, sf):
-    found = detect.detect_all(derived.corpus(spark, sf), threshold=0.0)
+    found = detect.detect_all(derived.corpus(spark, sf), _rules(spark), threshold=0.0)
     return detect.threshold_filter(found, 0.8).select(*_SPAN_COLUMNS)
 
 
@@ -199,12 +213,12 @@ def subtype_tag(spark, sf):
 
 
 def entity_allow_list(spark, sf):
-    return detect.detect_all(derived.corpus(spark, sf), entity_types=("PAN", "EMAIL")).select(
-        *_SPAN_COLUMNS)
+    return detect.detect_all(derived.corpus(spark, sf), _rules(spark),
+                             entity_types=("PAN", "EMAIL", "PERSON")).select(*_SPAN_COLUMNS)
 
 
 def suppress_contained(spark, sf):
-    every = detect.with_spans(derived.corpus(spark, sf), threshold=0.0, suppress=False)
+    every = detect.with_spans(derived.corpus(spark, sf), _rules(spark), threshold=0.0, suppress=False)
     return detect.entity_rows(detect.suppress_contained_spans(every)).select(
         *_SPAN_COLUMNS, "rule")
 
@@ -272,7 +286,11 @@ def high_risk_docs(spark, sf):
 
 
 def residual_risk(spark, sf):
-    return pipeline.residual_risk(_redacted(spark, sf))
+    """At LIGHT, which leaves the ends of values and so parts of names, and at SYNTHETIC, whose
+    stand-ins are found again."""
+    found = [pipeline.residual_risk(_redacted(spark, sf, level), rules=_rules(spark)).withColumn(
+        "redaction_level", F.lit(level)) for level in ("LIGHT", "FULL", "SYNTHETIC")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # --- redaction ---------------------------------------------------------------------------
@@ -611,11 +629,11 @@ def stream_ingest(spark, sf):
 
 
 def stream_detect(spark, sf):
-    return run(streams.detect(_stream_corpus(spark, sf)))
+    return run(streams.detect(_stream_corpus(spark, sf), rules=_rules(spark)))
 
 
 def stream_upsert(spark, sf):
-    return run(streams.entities(_stream_corpus(spark, sf)), upsert=True).select(
+    return run(streams.entities(_stream_corpus(spark, sf), rules=_rules(spark)), upsert=True).select(
         *_SPAN_COLUMNS, "value_hash")
 
 
@@ -651,7 +669,7 @@ def _registry():
         "detect_dl_plain": _rule_query("dl_plain"),
         "detect_email": _rule_query("email"),
         "detect_phone": _rule_query("phone_in", "phone_us"),
-        "detect_person": detect_person, "spans": spans, "context_boost": context_boost,
+        "detect_person": detect_person, "detect_person_joined": detect_person_joined, "spans": spans, "context_boost": context_boost,
         "threshold_filter": threshold_filter, "normalise_types": normalise_types,
         "subtype_tag": subtype_tag, "entity_allow_list": entity_allow_list,
         "suppress_contained": suppress_contained, "detect_all": detect_all,
@@ -669,7 +687,7 @@ def _registry():
         "synthetic_aadhaar": _replacements("SYNTHETIC", "AADHAAR"),
         "synthetic_pan": _replacements("SYNTHETIC", "PAN"),
         "synthetic_dl": _replacements("SYNTHETIC", "DRIVING_LICENSE"),
-        "synthetic_contact": _replacements("SYNTHETIC", "EMAIL", "PHONE"),
+        "synthetic_contact": _replacements("SYNTHETIC", "EMAIL", "PHONE", "PERSON"),
         "redact_documents": _redacted_texts("FULL"),
         "redact_documents_light": _redacted_texts("LIGHT"),
         "redact_documents_synthetic": _redacted_texts("SYNTHETIC"),

@@ -162,6 +162,7 @@ STATE_CODES = (
 )
 FIRST_NAMES = ("Asha", "Ravi", "Meera", "Arjun", "Leela", "Kiran", "Nila", "Dev")
 LAST_NAMES = ("Rao", "Sen", "Nair", "Das", "Iyer", "Gill", "Bose", "Shah")
+PERSON_SCORE = 0.85
 
 # --- Fixed values: governance ----------------------------------------------------
 TAG_ROOT = "PII"

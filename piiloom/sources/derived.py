@@ -18,9 +18,14 @@ _STATE = "substr('MHKADLTN', cast(1 + 2 * (k % 4) as int), 2)"
 _OFFICE = "lpad(cast(1 + k % 99 as string), 2, '0')"
 _YEAR = "cast(2000 + k % 27 as string)"
 _SERIAL = "lpad(cast((k * 7907) % 10000000 as string), 7, '0')"
+_FIRST = f"split_part('{','.join(R.FIRST_NAMES)}', ',', cast(1 + k % 8 as int))"
+_LAST = f"split_part('{','.join(R.LAST_NAMES)}', ',', cast(1 + (k * 5) % 8 as int))"
+#: Of a first name that stands alone.
+FIRST_NAME_SCORE = 0.75
 _SEPARATOR = "case k % 3 when 0 then ' ' when 1 then '-' else '' end"
 
-# Runs unchanged in Spark SQL and in other ANSI engines; k is the customer key.
+# Runs unchanged in Spark SQL and in other ANSI engines; k is the customer key.  Some addresses hold a
+# name, so spans overlap; some names are only the beginning of a longer word.
 KYC_TEXT = f"""concat('Form ', cast(k as string), ' ',
  case when k % 4 = 3 then '' else concat(
    case when k % 2 = 0 then 'Aadhaar Number: ' else 'Ref: ' end,
@@ -38,7 +43,10 @@ KYC_TEXT = f"""concat('Form ', cast(k as string), ' ',
    when 4 then concat(' DL: ', {_STATE}, '-', {_OFFICE}, '-', {_YEAR}, {_SERIAL})
    when 5 then concat(' DL: ', {_STATE}, {_OFFICE}, {_YEAR}, {_SERIAL})
    else '' end,
- case when k % 5 = 0 then concat(' Email: user', cast(k as string), '@example.com') else '' end,
+ case k % 6 when 1 then concat(' Name: ', {_FIRST}, ' ', {_LAST}) when 2 then concat(' Attn ', {_FIRST}, '.')
+   when 5 then concat(' Signed ', upper({_LAST}), ', ', {_FIRST}, ' ', {_LAST}, 'son') else '' end,
+ case when k % 5 = 0 then concat(' Email: ', case k % 20 when 5 then concat({_FIRST}, '.u')
+   when 15 then concat('m.', {_FIRST}, '.u') else 'user' end, cast(k as string), '@example.com') else '' end,
  case when k % 50 = 0 then concat(' Phone: +91', cast(9000000000 + k as string))
       when k % 5 = 1 then concat(' Phone: +91-98765-', lpad(cast(k % 100000 as string), 5, '0'))
       else '' end)"""
@@ -159,15 +167,10 @@ def transitions(audit: DataFrame) -> DataFrame:
                         "ts", F.col("event_id").alias("seq"))
 
 
-def name_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names for dictionary matching: the capitalised first words of the benchmark texts."""
-    words = table(spark, sf_dir, "benchmark").select(
-        F.expr("regexp_extract_all(text, '[A-Za-z]+', 0)").alias("w"))
-    single = F.get("w", F.lit(0))
-    pair = F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2)))
-    return (words.select(F.explode(F.array(single, pair)).alias("name"))
-            .filter("length(name) > 0").distinct()
-            .select("name", F.lit(0.85).alias("score")))
+def name_dictionary(spark: SparkSession) -> DataFrame:
+    """Full names, and first names alone with a lower score: ``name, score``."""
+    rows = [(f"{a} {b}", R.PERSON_SCORE) for a in R.FIRST_NAMES for b in R.LAST_NAMES]
+    return spark.createDataFrame(rows + [(a, FIRST_NAME_SCORE) for a in R.FIRST_NAMES], "name string, score double")
 
 
 def job_statuses(docs: DataFrame) -> DataFrame:
