@@ -229,7 +229,8 @@ CTES: dict[str, str] = {
           WHEN 'DRIVING_LICENSE' THEN 'PII.Sensitive.IndianGovtID.DrivingLicense'
           WHEN 'EMAIL' THEN 'PII.Sensitive.ContactInfo.Email'
           WHEN 'PHONE' THEN 'PII.Sensitive.ContactInfo.Phone'
-          WHEN 'PERSON' THEN 'PII.Sensitive' END AS tag_fqn FROM ents""",
+          WHEN 'PERSON' THEN 'PII.Sensitive' END AS tag_fqn FROM ents
+        WHERE doc_id IN (SELECT doc_id FROM corpus WHERE status IN ('PII_DETECTED', 'REDACTING', 'COMPLETED'))""",
     "holders": """SELECT doc_id, is_redacted, name, 'document-store.' || name AS fqn,
         size, CASE WHEN lower(ext) IN ('csv', 'tsv', 'json', 'parquet', 'avro', 'zip', 'gz')
           THEN lower(ext) ELSE '' END AS file_formats,
@@ -269,6 +270,11 @@ for _level in ("full", "light", "synthetic"):
     _STORED |= _family(f"again_{_level}", f"""SELECT r.doc_id, r.redacted_text AS text FROM {_level}_text_steps r
         WHERE r.i = (SELECT count(*) FROM edits x WHERE x.doc_id = r.doc_id)""")
 
+_STORED |= _family("resent", f"""SELECT * REPLACE (CASE WHEN doc_id LIKE 'k%' AND n % 3 = 0 THEN next_text ELSE text END
+          AS text) FROM (SELECT c.*, x.next_text FROM corpus c LEFT JOIN (
+            SELECT k - 1 AS k, {KYC_TEXT} AS next_text FROM (SELECT c_custkey + 1 AS k FROM customer)) x
+          ON c.doc_id = 'k' || x.k)""")
+
 _RECURSIVE = {"full_text_steps", "light_text_steps", "synthetic_text_steps"}
 
 

@@ -108,10 +108,15 @@ _BODIES: dict[str, str] = {
           SELECT file_hash FROM ({_HASHED_FILES}) WHERE substr(file_hash, 1, 1) < '8'
             AND TIMESTAMP '2024-01-01 00:00:00' + to_minutes(n % 120)
               >= TIMESTAMP '2024-01-01 02:00:00' - INTERVAL 3600 SECOND)""",
-    "write_redacted": """SELECT c.doc_id, 'documents/' || c.doc_id || '/'
+    "write_redacted": """SELECT t.doc_id, 'documents/' || t.doc_id || '/'
           || url_encode(coalesce(filename, 'document')) || '.redacted.txt' AS redacted_key,
-        'FULL' AS redaction_level, total AS entities_redacted
-        FROM corpus c JOIN (""" + _REPORT_COUNTS + """) r ON r.doc_id = c.doc_id""",
+        redaction_level, t.i AS entities_redacted, sha256(t.redacted_text) AS text_hash
+        FROM (SELECT *, 'FULL' AS redaction_level, 1 AS run FROM full_text_steps
+              UNION ALL SELECT *, 'LIGHT', 2 FROM light_text_steps
+              UNION ALL SELECT *, 'FULL', 3 FROM synthetic_text_steps) t
+        JOIN corpus c ON c.doc_id = t.doc_id
+        WHERE t.i = (SELECT count(*) FROM edits x WHERE x.doc_id = t.doc_id)
+          AND CASE run WHEN 1 THEN n % 3 <> 0 WHEN 2 THEN n % 2 = 0 ELSE n % 3 = 0 END""",
     "redacted_lines": r"""SELECT doc_id, i - 1 AS line_no,
         CASE WHEN regexp_matches(line, '^\s*$') THEN 'blank'
           WHEN contains(line, '[REDACTED]') OR contains(line, '****') THEN 'redacted'
@@ -302,6 +307,8 @@ _BODIES: dict[str, str] = {
     "run_metrics": """SELECT 'run-' || (n // 50) AS run_id,
         count(*) FILTER (status = 'COMPLETED') AS records,
         count(*) FILTER (status <> 'COMPLETED') AS failures,
+        CASE WHEN bool_and(status = 'COMPLETED') THEN 'success' WHEN bool_and(status = 'FAILED') THEN 'failed'
+          ELSE 'partialSuccess' END AS state,
         min(created_at) AS started_at, max(created_at) AS ended_at
         FROM corpus GROUP BY n // 50""",
     "policy_match": """SELECT doc_id, string_agg(tag_fqn, ',' ORDER BY tag_fqn) AS matching_tags
@@ -377,16 +384,33 @@ _BODIES: dict[str, str] = {
     "unique_hash_check": """SELECT sha256(text) AS file_hash, count(*) AS n FROM corpus
         GROUP BY sha256(text) HAVING count(*) > 1""",
     # streaming
-    "stream_ingest": """SELECT DISTINCT sha256(content) AS file_hash,
-        octet_length(content) AS file_size, 'PENDING' AS status FROM checked_files
-        WHERE verdict IS NULL""",
+    "stream_ingest": """SELECT * EXCLUDE (place) FROM (
+          SELECT file_id AS doc_id, coalesce(filename, 'unknown') AS filename,
+            sha256(content) AS file_hash, octet_length(content) AS file_size,
+            coalesce(content_type, 'application/octet-stream') AS content_type,
+            'documents/' || file_id || '/' || url_encode(coalesce(filename, 'document')) AS storage_key,
+            'PENDING' AS status, created_at, created_at AS updated_at,
+            row_number() OVER (PARTITION BY sha256(content) ORDER BY created_at, file_id) AS place
+          FROM (SELECT file_id, filename, content, content_type, verdict, created_at FROM checked_files
+            UNION ALL SELECT file_id + 1000000, filename, content, content_type, verdict,
+              created_at + CASE WHEN file_id % 5 = 0 THEN INTERVAL (-1) DAY ELSE INTERVAL 1 DAY END
+            FROM checked_files)
+          WHERE verdict IS NULL) WHERE place = 1""",
     "stream_detect": f"""SELECT s.doc_id, r.total AS n_entities, round(s.risk_score, 6) AS risk_score,
         s.risk_band FROM scored s JOIN ({_REPORT_COUNTS}) r ON r.doc_id = s.doc_id""",
-    "stream_upsert": f"SELECT {_SPAN}, value_hash FROM ents",
+    "stream_upsert": f"SELECT {_SPAN}, value_hash FROM resent_ents",
     "stream_status": """SELECT doc_id, arg_max(status, (ts, seq)) AS status, max(ts) AS updated_at
         FROM transitions GROUP BY doc_id""",
-    "upload_rate_breaches": """SELECT date_trunc('minute', ts) AS minute, ip_address,
-        count(*) AS n FROM audit GROUP BY 1, 2 HAVING count(*) > 1""",
+    "upload_rate_breaches": """SELECT minute, ip_address, r.action, count(*) AS n, any_value(most) AS "limit"
+        FROM (SELECT *, date_trunc('minute', ts) AS minute, max(ts) OVER () AS latest FROM (
+          SELECT CASE event_type WHEN 'signup' THEN 'UPLOAD' WHEN 'click' THEN 'REDACT' WHEN 'view' THEN 'STATUS' END
+              AS action, '10.0.0.' || (user_id % 2) AS ip_address,
+            TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(
+              (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) // 400) AS ts FROM events)) r
+        JOIN (VALUES ('UPLOAD', 10::BIGINT), ('REDACT', 10::BIGINT), ('STATUS', 100::BIGINT)) l(action, most)
+          ON l.action = r.action
+        WHERE minute + INTERVAL 1 MINUTE <= latest - INTERVAL 10 MINUTE
+        GROUP BY minute, ip_address, r.action, latest HAVING count(*) > any_value(most)""",
 }
 
 ORACLES: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

@@ -125,10 +125,16 @@ def run_state(status: Column) -> Column:
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
-    """Per run: documents that went through, documents that did not."""
-    ok = F.when(run_state(F.col("status")) == "success", 1).otherwise(0)
+    """Per run: documents that went through, documents that did not, and the state of the whole.
+
+    A run is a success if all its documents are, failed if all of them are, else a partial success.
+    """
+    state = run_state(F.col("status"))
+    ok = F.when(state == "success", 1).otherwise(0)
+    lowest, highest = F.min(state), F.max(state)
     return runs.groupBy("run_id").agg(
         F.sum(ok).alias("records"), F.sum(1 - ok).alias("failures"),
+        F.when(lowest == highest, lowest).otherwise(F.lit("partialSuccess")).alias("state"),
         F.min("started_at").alias("started_at"), F.max("started_at").alias("ended_at"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piiloom.sources import versions
 
 ANONYMOUS = "anonymous"
 _DETAILS = "map<string,string>"
@@ -31,10 +32,19 @@ def append_audit(*parts: DataFrame) -> DataFrame:
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
-    """Append audit rows to the log."""
+    """Append audit rows to a plain folder."""
     rows.write.mode("append").parquet(path)
 
 
+def log_audit(rows: DataFrame, path: str, run: str) -> bool:
+    """Append a run's audit rows to a log, once for each run name; False if the log has the run."""
+    return versions.commit(path, run, {"audit": rows})
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame | None:
+    return versions.read(spark, path, "audit")
+
+
 def merge_details(left: Column, right: Column) -> Column:
     """Right-biased merge of two maps, keys of ``left`` first."""
     empty = F.create_map().cast(_DETAILS)

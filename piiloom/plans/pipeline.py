@@ -8,6 +8,7 @@ governance and quality queries never read a text again.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 from piiloom import rules as R
 from piiloom.functions.columns import with_computed
 from piiloom.functions.masking import DEFAULT_SALT
+from piiloom.operators import lifecycle
 from piiloom.operators.catalog import redactable_docs
 from piiloom.operators.detect import hashed_spans, with_spans
 from piiloom.operators.govern import tag_array
 from piiloom.operators.ingest import storage_keys
 from piiloom.operators.redact import redact, redaction_reports
 from piiloom.operators.risk import score_documents
+from piiloom.sources import versions
 
 _SCORED = ("PII_DETECTED", "REDACTING", "COMPLETED")
 
@@ -34,6 +37,7 @@ class Catalog:
     jobs: DataFrame
     entities: DataFrame
     reports: DataFrame
+    audit: DataFrame
 
 
 def scan(docs: DataFrame, **detection) -> DataFrame:
@@ -82,7 +86,7 @@ def job_table(processed: DataFrame, service: str = R.SERVICE_NAME) -> DataFrame:
         F.when(done, F.concat(F.lit(service + "."), named, F.lit(".redacted")))
         .alias("redacted_fqn"),
         error.alias("error"), F.when(scored, types).alias("types"),
-        tag_array(types).alias("tags"), "created_at",
+        F.when(scored, tag_array(types)).alias("tags"), "created_at",
         F.col("created_at").alias("updated_at"))
 
 
@@ -90,27 +94,47 @@ def entity_table(processed: DataFrame) -> DataFrame:
     return processed.select("doc_id", F.inline("spans"))
 
 
+TABLES = ("processed", "jobs", "entities", "reports", "audit")
+
+
 def write_catalog(docs: DataFrame, folder: str, level: str = "FULL",
-                  timestamp: Column | None = None, **options) -> Catalog:
-    """Run the pipeline into ``folder``: one pass over the text, then three over its result.
+                  timestamp: Column | None = None, run: str | None = None, **options) -> Catalog:
+    """Run the pipeline over ``docs`` into ``folder``: one pass over the text, then four over its result.
 
-    The three read only the narrow columns they need.
+    The four read only the narrow columns they need.  A run adds its documents to those of earlier runs
+    and replaces documents that come again; all its tables become visible at once, and a ``run`` by
+    the same name is written once (:mod:`piiloom.sources.versions`).
     """
     spark = docs.sparkSession
-    process(docs, level, **options).write.mode("overwrite").parquet(f"{folder}/processed")
-    processed = spark.read.parquet(f"{folder}/processed")
-    for name, table in (("jobs", job_table(processed)), ("entities", entity_table(processed)),
-                        ("reports", redaction_reports(processed, timestamp))):
-        # Narrow rows of many wide files: rebalance to files of even, useful size (a
-        # hot document is split), sorted so that row groups cover short id ranges.
-        (table.hint("rebalance", "doc_id").sortWithinPartitions("doc_id")
-         .write.mode("overwrite").parquet(f"{folder}/{name}"))
+    run = run or f"run-{uuid.uuid4().hex}"
+    if not versions.has_run(spark, folder, run):
+        place = versions.new_folder()
+        process(docs, level, **options).write.parquet(f"{folder}/{place}/processed")
+        processed = spark.read.parquet(f"{folder}/{place}/processed")
+        tables = {"processed": processed}
+        for name, table in (("jobs", job_table(processed)), ("entities", entity_table(processed)),
+                            ("reports", redaction_reports(processed, timestamp)),
+                            ("audit", audit_table(processed, level))):
+            # Narrow rows of many wide files: rebalance to files of even, useful size (a
+            # hot document is split), sorted so that row groups cover short id ranges.
+            tables[name] = table.hint("rebalance", "doc_id").sortWithinPartitions("doc_id")
+        versions.commit(folder, run, tables, processed.select("doc_id"), place)
     return read_catalog(spark, folder)
 
 
+def audit_table(processed: DataFrame, level: str) -> DataFrame:
+    """What a run did to its documents: each received, and each redacted where its status allows it."""
+    at = F.col("created_at")
+    received = lifecycle.audit_rows(processed, "UPLOAD", details=F.create_map(
+        F.lit("file_hash"), F.col("file_hash")), ts=at)
+    redacted = lifecycle.audit_rows(redactable_docs(processed), "REDACT", "system", F.create_map(
+        F.lit("redaction_level"), F.lit(level),
+        F.lit("entities_redacted"), F.col("entities_redacted").cast("string")), ts=at)
+    return lifecycle.append_audit(received, redacted)
+
+
 def read_catalog(spark: SparkSession, folder: str) -> Catalog:
-    return Catalog(*[spark.read.parquet(f"{folder}/{name}")
-                     for name in ("processed", "jobs", "entities", "reports")])
+    return Catalog(*[versions.read(spark, folder, name) for name in TABLES])
 
 
 def redact_stored(docs: DataFrame, tables: Catalog, level: str, salt: str = DEFAULT_SALT,

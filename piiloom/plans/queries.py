@@ -14,7 +14,8 @@ from piiloom.plans import pipeline
 from piiloom.session import shared_folder, stored_copy
 from piiloom.sources import derived, documents
 from piiloom.streaming import jobs as streams
-from piiloom.streaming.run import read_stream, run
+from piiloom.streaming.run import (ingest_once, read_entities, read_stream, read_uploads, run,
+                                    upsert_documents)
 
 # Size limits at which the test pages fall on both sides.
 PAGE_LIMITS = {"pdf": 1500, "png": 800, "jpg": 2000, "jpeg": 1200, "docx": 1800}
@@ -69,8 +70,10 @@ def stored(spark, sf) -> pipeline.Catalog:
     key = spark.sparkContext.applicationId, sf
     if key not in _CATALOGS:
         folder = shared_folder(spark, "catalog")
-        pipeline.write_catalog(_corpus(spark, sf), folder, timestamp=F.expr(REPORT_TIME),
-                               rules=_rules(spark))
+        docs, forms = _corpus(spark, sf), F.col("doc_id").startswith("k")
+        # in three runs: all documents, the forms once more (they replace themselves), and that run repeated
+        for run_name, rows in (("all", docs), ("forms", docs.where(forms)), ("forms", docs)):
+            pipeline.write_catalog(rows, folder, timestamp=F.expr(REPORT_TIME), run=run_name, rules=_rules(spark))
         _CATALOGS[key] = folder
     return pipeline.read_catalog(spark, _CATALOGS[key])
 
@@ -147,8 +150,16 @@ def unseen_documents(spark, sf):
 
 
 def write_redacted(spark, sf):
-    keyed = ingest.storage_keys(_redacted(spark, sf))
-    return documents.write_redacted(keyed, shared_folder(spark, "redacted"))
+    """All documents at FULL, then every second one at LIGHT and every third again, at FULL with other stand-ins."""
+    path = shared_folder(spark, "redacted")
+    scanned = _scanned(spark, sf)
+    documents.write_redacted(ingest.storage_keys(redact.redact(scanned, "FULL")), path, run="all")
+    some = redact.redact(scanned.where("n % 2 = 0"), "LIGHT")
+    others = redact.redact(scanned.where("n % 3 = 0"), "SYNTHETIC").withColumn("redaction_level", F.lit("FULL"))
+    for name, rows in (("light", some), ("again", others), ("again", some)):
+        documents.write_redacted(ingest.storage_keys(rows), path, run=name)
+    return documents.read_redacted(spark, path).select(
+        "doc_id", "redacted_key", "redaction_level", "entities_redacted", F.sha2("redacted_text", 256).alias("text_hash"))
 
 
 def redacted_lines(spark, sf):
@@ -623,9 +634,15 @@ def _stream_corpus(spark, sf):
 
 
 def stream_ingest(spark, sf):
-    pages = read_stream(spark, f"{sf}/pages.parquet")
-    rows = run(streams.ingest(derived.files_from_pages(pages), PAGE_LIMITS))
-    return rows.select("file_hash", "file_size", "status")
+    root = shared_folder(spark, "uploads")
+    files = derived.files_from_pages(read_stream(spark, f"{sf}/pages.parquet"))
+    ingest_once(files, f"{root}/table", f"{root}/checkpoint", PAGE_LIMITS).awaitTermination()
+    # the same uploads again, a day earlier for some and later for the others: the earliest of all stay
+    again = files.withColumn("created_at", F.when(F.col("file_id") % 5 == 0, F.col("created_at") - F.expr(
+        "interval 1 day")).otherwise(F.col("created_at") + F.expr("interval 1 day"))).withColumn(
+        "file_id", F.col("file_id") + 1_000_000)
+    ingest_once(again, f"{root}/table", f"{root}/checkpoint2", PAGE_LIMITS, "again").awaitTermination()
+    return read_uploads(spark, f"{root}/table")
 
 
 def stream_detect(spark, sf):
@@ -633,8 +650,13 @@ def stream_detect(spark, sf):
 
 
 def stream_upsert(spark, sf):
-    return run(streams.entities(_stream_corpus(spark, sf), rules=_rules(spark)), upsert=True).select(
-        *_SPAN_COLUMNS, "value_hash")
+    """All documents, then every third form again with another text."""
+    root, rules = shared_folder(spark, "upsert"), _rules(spark)
+    upsert_documents(_stream_corpus(spark, sf), f"{root}/table", f"{root}/checkpoint", rules=rules).awaitTermination()
+    forms = read_stream(spark, f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    again = derived.resent_forms(forms).select(F.concat(F.lit("k"), F.col("k").cast("string")).alias("doc_id"), "text")
+    upsert_documents(again, f"{root}/table", f"{root}/checkpoint2", "again", rules=rules).awaitTermination()
+    return read_entities(spark, f"{root}/table").select(*_SPAN_COLUMNS, "value_hash")
 
 
 def stream_status(spark, sf):
@@ -643,8 +665,8 @@ def stream_status(spark, sf):
 
 
 def upload_rate_breaches(spark, sf):
-    audit = derived.audit_from_events(read_stream(spark, f"{sf}/events.parquet"))
-    return streams.rate_breaches(run(streams.request_counts(audit), mode="update"), limit=1)
+    requests = derived.requests_from_events(read_stream(spark, f"{sf}/events.parquet"))
+    return run(streams.breaches(requests, streams.request_limits(spark)))
 
 
 def _registry():

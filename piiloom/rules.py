@@ -152,6 +152,7 @@ SCAN_CHARS = 100
 CHARS_PER_PAGE = 3000
 TEXT_CACHE_SECONDS = 3600
 UPLOADS_PER_MINUTE = 10
+REQUESTS_PER_MINUTE = {"UPLOAD": 10, "REDACT": 10, "STATUS": 100}
 
 # --- Fixed values: synthetic identifiers ---------------------------------------
 STATE_CODES = (

@@ -66,6 +66,7 @@ ACTIONS = {"signup": "UPLOAD", "view": "PROCESS", "click": "REDACT",
            "purchase": "APPLY_POLICY", "error": "FAILED"}
 TRANSITIONS = {"UPLOAD": "PENDING", "PROCESS": "PII_DETECTING", "REDACT": "REDACTING",
                "APPLY_POLICY": "COMPLETED", "FAILED": "FAILED"}
+REQUESTS = {"signup": "UPLOAD", "click": "REDACT", "view": "STATUS"}
 EPOCH = "timestamp_ntz '2024-01-01 00:00:00'"
 
 
@@ -161,6 +162,21 @@ def audit_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+def requests_from_events(events: DataFrame) -> DataFrame:
+    """Requests of two addresses, with time run 400 times as fast so that some minutes are over the limits."""
+    at = f"timestampadd(MICROSECOND, timestampdiff(MICROSECOND, {EPOCH}, cast(ts as timestamp_ntz)) div 400, {EPOCH})"
+    return events.select(
+        lookup(REQUESTS, F.col("event_type")).alias("action"),
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 2).cast("string")).alias("ip_address"),
+        F.expr(at).alias("ts"))
+
+
+def resent_forms(forms: DataFrame) -> DataFrame:
+    """Every third form again, with the text of the form after it: ``k, text``."""
+    return forms.where("k % 3 = 0").select((F.col("k") + 1).alias("k")).select(
+        (F.col("k") - 1).alias("k"), F.expr(KYC_TEXT).alias("text"))
+
+
 def transitions(audit: DataFrame) -> DataFrame:
     """Status changes read off the audit log."""
     return audit.select("doc_id", lookup(TRANSITIONS, F.col("action")).alias("status"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiloom.functions.columns import with_computed
 from piiloom.functions.text import escape_markup, strip_space
+from piiloom.sources import versions
 
 
 def load_documents(spark: SparkSession, path: str, format: str = "parquet",
@@ -47,39 +47,24 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
 
 def write_redacted(redacted: DataFrame, path: str, suffix: str = ".redacted.txt",
-                   parts: int = 64) -> DataFrame:
-    """Write one redacted text per document and level, and return the records of all in ``path``.
-
-    Rows lie in ``parts`` partitions per level by a hash of the document.  A run replaces
-    exactly the documents it carries: of the partitions it touches, the other
-    documents are carried over, and partitions it does not touch stay as they are.
-    Both halves are staged before the partitions are replaced, so a run can be repeated
-    after a crash.  ``parts`` must be the same in all runs over a path.
+                   run: str | None = None) -> DataFrame:
+    """Add one redacted text per document and level to ``path``; returns the records of all in it.
+
+    The run replaces exactly the documents and levels it carries and writes nothing else; see
+    :mod:`piiloom.sources.versions`.  A ``run`` by the same name is written once.
     """
+    rows = redacted.select(
+        "doc_id", F.concat("storage_key", F.lit(suffix)).alias("redacted_key"), "redaction_level",
+        "entities_redacted", "redacted_text")
     spark = redacted.sparkSession
-    place = ["redaction_level", "part"]
-    staged = f"{path}/_staged/{uuid.uuid4().hex}"  # readers pass over names with an underscore
-    redacted.select(
-        "doc_id", F.concat("storage_key", F.lit(suffix)).alias("redacted_key"), "redacted_text",
-        "entities_redacted", "redaction_level",
-        F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int").alias("part")
-    ).write.partitionBy(*place).parquet(f"{staged}/new")
-    new = spark.read.parquet(f"{staged}/new")
-    rows = new
-    try:
-        before = spark.read.schema(new.schema).parquet(path)
-    except AnalysisException:
-        before = None
-    if before is not None:
-        touched = F.broadcast(new.select(*place).distinct())  # at most levels x parts rows
-        kept = (before.join(touched, place, "left_semi")
-                .join(new.select("doc_id", "redaction_level"), ["doc_id", "redaction_level"], "left_anti"))
-        kept.select(*new.columns).write.partitionBy(*place).parquet(f"{staged}/kept")
-        rows = new.unionByName(spark.read.schema(new.schema).parquet(f"{staged}/kept"))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*place).parquet(path))
-    written = redacted.sparkSession.read.parquet(path)
-    return written.select("doc_id", "redacted_key", "redaction_level", "entities_redacted")
+    versions.commit(path, run or f"run-{uuid.uuid4().hex}", {"texts": rows},
+                    rows.select("doc_id", "redaction_level"))
+    return read_redacted(spark, path).drop("redacted_text")
+
+
+def read_redacted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The redacted texts in ``path``, one per document and level; None before the first run."""
+    return versions.read(spark, path, "texts")
 
 
 def redacted_lines(redacted: DataFrame) -> DataFrame:

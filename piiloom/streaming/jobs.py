@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from piiloom import rules as R
@@ -13,6 +13,12 @@ from piiloom.plans.pipeline import scan
 _HASH_PARTS = 16
 
 
+def valid_uploads(files: DataFrame, limits: dict | None = None, id: str = "file_id") -> DataFrame:
+    """PENDING rows of the files that pass the checks, without their contents."""
+    accepted, _ = split_valid(validate_files(files, limits))
+    return upload_records(content_hash(accepted), id)
+
+
 def ingest(files: DataFrame, limits: dict | None = None, watermark: str | None = None,
            id: str = "file_id") -> DataFrame:
     """PENDING rows of valid files, each content once.
@@ -24,9 +30,8 @@ def ingest(files: DataFrame, limits: dict | None = None, watermark: str | None =
     every hash seen.  With one, state is bounded and a copy arriving later than
     the watermark passes as new.
     """
-    accepted, _ = split_valid(validate_files(files, limits))
     # Contents stay behind: only narrow job rows travel to the state.
-    rows = upload_records(content_hash(accepted), id).withColumn(
+    rows = valid_uploads(files, limits, id).withColumn(
         "_part", F.pmod(F.xxhash64("doc_id"), F.lit(_HASH_PARTS)))
     if watermark is None:
         once = rows.dropDuplicates(["file_hash", "_part"]).dropDuplicates(["file_hash"])
@@ -76,3 +81,22 @@ def rate_breaches(counts: DataFrame, limit: int = R.UPLOADS_PER_MINUTE) -> DataF
     return (counts.groupBy("minute", "ip_address").agg(F.max("n").alias("n"))
             .filter(F.col("n") > limit)
             .select(F.col("minute").cast("timestamp_ntz").alias("minute"), "ip_address", "n"))
+
+
+def request_limits(spark: SparkSession, limits: dict[str, int] | None = None) -> DataFrame:
+    """Requests allowed per minute and address: ``action, limit``."""
+    return spark.createDataFrame(list((limits or R.REQUESTS_PER_MINUTE).items()), "action string, limit long")
+
+
+def breaches(requests: DataFrame, limits: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """Minutes in which an address made more requests of a kind than allowed; run in append mode.
+
+    ``requests``: ``ts, ip_address, action``; ``limits`` as :func:`request_limits`, a static table.  Kinds
+    without a limit are not counted.  A minute is reported once, when the watermark has passed
+    its end; requests that come later than that are not counted.
+    """
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    return (timed.join(F.broadcast(limits), "action")  # a row for each kind of request
+            .groupBy(F.window("ts", "1 minute"), "ip_address", "action", "limit").agg(F.count("*").alias("n"))
+            .where(F.col("n") > F.col("limit"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "ip_address", "action", "n", "limit"))

@@ -118,7 +118,7 @@ def test_reading_and_writing(spark, tmp_path):
         out = documents.write_redacted(df, str(tmp_path / "out"))
     assert {(r.redaction_level, r.redacted_key) for r in out.collect()} == {
         ("FULL", "k/1.redacted.txt"), ("LIGHT", "k/1.redacted.txt")}
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = documents.read_redacted(spark, str(tmp_path / "out"))
     assert {r.redacted_text for r in stored.collect()} == {"y", "z"}
 
 
@@ -127,8 +127,8 @@ def test_write_redacted_replaces_only_the_documents_of_the_run(spark, tmp_path):
     path = str(tmp_path / "out")
     for docs in ([("a", "1"), ("b", "2")], [("c", "3"), ("b", "4")]):
         df = spark.createDataFrame([(i, f"k/{i}", t, 1, "FULL") for i, t in docs], row)
-        documents.write_redacted(df, path, parts=2)
-    stored = {(r.doc_id, r.redacted_text) for r in spark.read.parquet(path).collect()}
+        documents.write_redacted(df, path)
+    stored = {(r.doc_id, r.redacted_text) for r in documents.read_redacted(spark, path).collect()}
     assert stored == {("a", "1"), ("b", "4"), ("c", "3")}
 
 

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 from piiloom.operators import detect, ingest
 from piiloom.plans import pipeline
 from piiloom.streaming import jobs
-from piiloom.streaming.run import read_stream, run, upsert_to
+from piiloom.streaming.run import (append_to, ingest_once, read_entities, read_stream, read_uploads, run,
+                                   upsert_documents, upsert_to)
 
 
 def test_detection_equals_batch_over_several_arrivals(spark, tmp_path):
@@ -68,3 +69,43 @@ def test_status_and_rates(spark, tmp_path):
     assert [(str(r.minute), r.ip_address, r.n) for r in over] == [
         ("2024-01-01 00:00:00", "ip1", 3)]
     assert jobs.rate_breaches(counts, limit=3).count() == 0
+
+
+def test_a_document_sent_again_replaces_its_entities(spark, tmp_path):
+    path, out = str(tmp_path / "docs"), str(tmp_path / "table")
+    sent = [[("1", "a@b.co c@d.co", 1), ("2", "e@f.co", 1)], [("1", "g@h.co", 2), ("2", "none", 3), ("2", "x@y.co", 2)]]
+    for batch, rows in enumerate(sent):
+        spark.createDataFrame(rows, "doc_id string, text string, version int").coalesce(1).write.mode("append").parquet(path)
+        for attempt in range(2):  # the second delivery, with a checkpoint of its own, finds the run in the log
+            upsert_documents(read_stream(spark, path).where(F.col("version") > batch), out, str(tmp_path / f"c{batch}{attempt}"),
+                             f"s{batch}", ["version"]).awaitTermination()
+    assert {(r.doc_id, r.start_offset, r.end_offset) for r in read_entities(spark, out).collect()} == {("1", 0, 6)}
+
+
+def test_ingest_keeps_the_earliest_upload_over_batches(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / n) for n in ("files", "table", "checkpoint"))
+    uploads = [("a", "same", 5), ("b", "other", 5)], [("c", "same", 3), ("d", "same", 9)], [("e", "same", 3), ("f", "new", 1)]
+    for rows in uploads:
+        spark.createDataFrame([(i, f"{i}.pdf", b"%PDF" + c.encode(), None, m) for i, c, m in rows],
+                              "file_id string, filename string, content binary, content_type string, m int").withColumn(
+            "created_at", F.expr("timestampadd(MINUTE, m, timestamp_ntz '2024-01-01 00:00:00')")).drop("m").coalesce(
+            1).write.mode("append").parquet(path)
+        ingest_once(read_stream(spark, path), out, checkpoint).awaitTermination()
+    files = spark.read.parquet(path)
+    first = ingest.dedup_by_hash(ingest.content_hash(files).withColumnRenamed("file_id", "doc_id"), id="doc_id")
+    want = {r.canonical_id for r in first.collect()}
+    assert {r.doc_id for r in read_uploads(spark, out).collect()} == want == {"b", "c", "f"}
+
+
+def test_breaches_of_limits_by_kind_and_late_requests(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / n) for n in ("requests", "out", "checkpoint"))
+    batches = [[("UPLOAD", "ip1", 1)] * 3 + [("UPLOAD", "ip2", 1)] * 2 + [("REDACT", "ip1", 1)] * 3 + [("PAY", "ip1", 1)] * 9,
+               [("STATUS", "ip1", 3600)], [("UPLOAD", "ip2", 2)] * 5 + [("STATUS", "ip1", 9000)]]
+    limits = jobs.request_limits(spark, {"UPLOAD": 2, "REDACT": 5, "STATUS": 1})
+    for rows in batches:
+        spark.createDataFrame(rows, "action string, ip_address string, at int").select("action", "ip_address", F.expr(
+            "timestampadd(SECOND, at, timestamp_ntz '2024-01-01 00:00:00')").alias("ts")).coalesce(
+            1).write.mode("append").parquet(path)
+        append_to(jobs.breaches(read_stream(spark, path), limits), out, checkpoint).awaitTermination()
+    # the requests of ip2 that come after the minute is closed are not counted
+    assert [(r.ip_address, r.action, r.n, r.limit) for r in spark.read.parquet(out).collect()] == [("ip1", "UPLOAD", 3, 2)]
