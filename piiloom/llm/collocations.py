@@ -26,14 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from piiloom.functions.text import lookup
-from piiloom.llm.common import LOWER, UPPER, settings, stored, work_folder
+from piiloom.llm.common import CLEAN, LOWER, UPPER, settings, stored, work_folder
 from piiloom.llm.langid import UNDETERMINED
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 MILLION = 1_000_000
 ROUND = {
-    # shuffle files go when the query that wrote them ends, not when the driver collects its garbage
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    **CLEAN,
     # a first map of 65,536 keys in front of the hash table is no help where keys hardly repeat
     "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
 }

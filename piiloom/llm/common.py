@@ -23,6 +23,10 @@ BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
 }
 
+#: Shuffle files go when the query that wrote them ends, not when the driver collects its garbage: for
+#: chains of stored steps, none of which is run twice.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, the folder that all executors share.
