@@ -218,7 +218,7 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, docs_per_language:
     return CrossParser(samples)
 
 
-def identify(docs: DataFrame, parser: CrossParser, block_chars: int = 2_000_000) -> DataFrame:
+def identify(docs: DataFrame, parser: CrossParser, block_chars: int = 500_000) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` appended; needs columns ``doc_id, text`` only.
 
     The automata go to the executors as one broadcast of known size:
