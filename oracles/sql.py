@@ -350,6 +350,19 @@ _BODIES: dict[str, str] = {
         UNION ALL SELECT 'stage', 'redact')""",
     "cascade_delete": f"""SELECT {_SPAN} FROM ents WHERE doc_id NOT IN (
         SELECT doc_id FROM corpus WHERE status = 'FAILED')""",
+    "cascade_delete_all": """SELECT * FROM (
+          SELECT doc_id, count(*) AS n, 'entities' AS table_name FROM ents GROUP BY doc_id
+          UNION ALL SELECT doc_id, 1, 'reports' FROM corpus
+          UNION ALL SELECT doc_id, CASE WHEN status IN ('PII_DETECTED', 'COMPLETED') THEN 2 ELSE 1 END, 'audit'
+          FROM corpus) WHERE doc_id NOT IN (SELECT doc_id FROM corpus WHERE status = 'FAILED')""",
+    "pipeline_audit": f"""SELECT doc_id, 'UPLOAD' AS action, 'anonymous' AS actor,
+          '{{"file_hash":"' || sha256(text) || '"}}' AS details, CAST(NULL AS VARCHAR) AS ip_address,
+          created_at AS ts FROM corpus
+        UNION ALL
+        SELECT c.doc_id, 'REDACT', 'system', '{{"redaction_level":"FULL","entities_redacted":"' || total || '"}}',
+          NULL, created_at
+        FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id
+        WHERE status IN ('PII_DETECTED', 'COMPLETED')""",
     # validation and JSON
     "constraint_violations": """SELECT 'document_jobs' AS table_name, 'risk_score_range' AS rule,
           count(*) FILTER (CASE WHEN file_size % 11 = 0 THEN risk_score + 95 ELSE risk_score END
@@ -362,20 +375,24 @@ _BODIES: dict[str, str] = {
           count(*) FILTER (risk_score NOT BETWEEN 0 AND 100) FROM scored
         UNION ALL SELECT 'redaction_reports', 'risk_score_after_range', 0
         UNION ALL SELECT 'redaction_reports', 'total_entities_positive', 0""",
-    "parse_metadata": f"""SELECT doc_id, reject_reason IS NULL AS ok, reject_reason,
+    "parse_metadata": f"""SELECT doc_id, reject_reason IS NULL AS ok, reject_reason, ill_typed,
         CASE WHEN reject_reason IS NULL THEN filename END AS filename,
         CASE WHEN reject_reason IS NULL THEN total END AS total_entities_redacted,
         CASE WHEN reject_reason IS NULL THEN total END AS n_instances
         FROM (SELECT c.doc_id, coalesce(filename, 'unknown') AS filename, total,
           CASE substr(sha256(c.doc_id), 1, 1) WHEN '0' THEN 'malformed' WHEN '1' THEN 'out of range'
-            WHEN '2' THEN 'missing field' WHEN '3' THEN 'out of range' WHEN '4' THEN 'malformed' END
-            AS reject_reason
+            WHEN '2' THEN 'missing field' WHEN '3' THEN 'out of range' WHEN '4' THEN 'malformed'
+            WHEN '5' THEN 'malformed' WHEN '6' THEN CASE WHEN total > 0 THEN 'malformed' END END
+            AS reject_reason,
+          CASE substr(sha256(c.doc_id), 1, 1) WHEN '5' THEN 'filename'
+            WHEN '6' THEN CASE WHEN total > 0 THEN 'pii_instances.redacted_value' ELSE '' END ELSE '' END AS ill_typed
           FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id)""",
     "canonical_json": f"""SELECT c.doc_id, '{{"document_id":"' || c.doc_id || '","filename":"'
           || coalesce(filename, 'unknown') || '","redaction_level":"FULL",'
           || '"timestamp":"2024-02-01T00:00:00","total_entities_redacted":' || total || '}}' AS json
         FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id""",
-    "json_round_trip": "SELECT count(*) AS records, 0::BIGINT AS mismatches FROM corpus",
+    "json_round_trip": """SELECT count(*) AS records, count(*) FILTER (substr(sha256(doc_id), 1, 1) = '7')
+        AS mismatches FROM corpus""",
     "span_validity": """SELECT f.entity_type, coalesce(f.s >= 0 AND f.e > f.s
           AND f.confidence BETWEEN 0 AND 1 AND f.e <= length(c.text), false) AS valid,
         count(*) AS n FROM flawed f JOIN corpus c ON c.doc_id = f.doc_id GROUP BY ALL""",

@@ -19,5 +19,7 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(row)))
 
 
-def rounded(column, places: int = 6) -> Column:
-    return F.round(column, places)
+def utc_now() -> Column:
+    """The present time in UTC without a zone, whatever the session's zone is."""
+    local = F.current_timestamp().cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from piiloom.functions.columns import utc_now
 from piiloom.sources import versions
 
 ANONYMOUS = "anonymous"
@@ -23,7 +24,7 @@ def audit_rows(df: DataFrame, action, actor=None, details: Column | None = None,
         "doc_id", action.alias("action"), actor.alias("actor"),
         (empty if details is None else F.coalesce(details.cast(_DETAILS), empty)).alias("details"),
         (F.lit(None) if ip_address is None else ip_address).cast("string").alias("ip_address"),
-        (F.current_timestamp() if ts is None else ts).cast("timestamp_ntz").alias("ts"))
+        (utc_now() if ts is None else ts.cast("timestamp_ntz")).alias("ts"))
 
 
 def append_audit(*parts: DataFrame) -> DataFrame:
@@ -91,6 +92,11 @@ def cascade_delete(children: DataFrame, deleted: DataFrame) -> DataFrame:
     return children.join(deleted.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def cascade_delete_all(children: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
+    """Every table that refers to jobs, without the rows of deleted ones."""
+    return {name: cascade_delete(df, deleted) for name, df in children.items()}
+
+
 def pipeline_details(redacted: DataFrame) -> Column:
     """The details a finished job accumulates over its stages, merged stage by stage."""
     extract = F.create_map(F.lit("char_count"), F.char_length("text").cast("string"),

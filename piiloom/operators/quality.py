@@ -55,8 +55,36 @@ def span_validity(entities: DataFrame) -> DataFrame:
     return entities.withColumn("valid", F.coalesce(valid, F.lit(False)))
 
 
+_TEXT_FIELDS = ("document_id", "filename", "redaction_level", "timestamp")
+_INSTANCE_TEXTS = ("entity_type", "original_value", "redacted_value")
+
+
+def _not_text(value: Column, field: str) -> Column:
+    """Whether a field of a VARIANT object is there and neither a string nor null."""
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+    return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+
+
+def ill_typed(json: Column) -> Column:
+    """Names of the text fields that hold something else, sorted; those of instances as ``pii_instances.<name>``.
+
+    A parser that is told to expect a string takes numbers, objects and lists for one; the record's own
+    types tell them apart.
+    """
+    value = F.try_parse_json(json)
+    own = [F.when(_not_text(value, name), F.lit(name)) for name in _TEXT_FIELDS]
+    instances = F.try_variant_get(value, "$.pii_instances", "array<variant>")
+
+    def in_some(name: str) -> Column:
+        return F.exists(instances, lambda p: _not_text(p, name))
+
+    inner = [F.when(in_some(name), F.lit(f"pii_instances.{name}")) for name in _INSTANCE_TEXTS]
+    return F.array_sort(F.array_compact(F.array(*own, *inner)))
+
+
 def parse_metadata(records: DataFrame, column: str = "json") -> DataFrame:
-    """Parse redaction records; add ``metadata``, ``ok`` and ``reject_reason``.
+    """Parse redaction records; add ``metadata``, ``ok``, ``reject_reason`` and ``ill_typed`` (text fields that
+    hold something else).
 
     Rejected are texts that are no JSON object or have an ill-typed field,
     records lacking a required field, and values outside their bounds.  The
@@ -64,7 +92,7 @@ def parse_metadata(records: DataFrame, column: str = "json") -> DataFrame:
     """
     parsed = F.from_json(F.col(column), METADATA_TYPE[:-1] + ",_corrupt:string>", {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    df = records.withColumn("_parsed", parsed)
+    df = records.withColumn("_parsed", parsed).withColumn("ill_typed", ill_typed(F.col(column)))
     m = F.col("_parsed")
     required = ("document_id", "filename", "redaction_level", "timestamp", "pii_instances",
                 "total_entities_redacted", "risk_score_before", "risk_score_after")
@@ -76,7 +104,7 @@ def parse_metadata(records: DataFrame, column: str = "json") -> DataFrame:
                & (m["total_entities_redacted"] >= 0) & m["risk_score_before"].between(0, 100)
                & m["risk_score_after"].between(0, 100)
                & F.try_to_timestamp(m["timestamp"]).isNotNull())
-    reason = (F.when(m.isNull() | m["_corrupt"].isNotNull(), F.lit("malformed"))
+    reason = (F.when(m.isNull() | m["_corrupt"].isNotNull() | (F.size("ill_typed") > 0), F.lit("malformed"))
               .when(missing | F.coalesce(lacking, F.lit(False)), F.lit("missing field"))
               .when(~bounded, F.lit("out of range")))
     return (df.withColumn("reject_reason", reason)

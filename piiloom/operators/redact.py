@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from piiloom.functions import masking as M
 from piiloom.functions.chunks import cut_sql
-from piiloom.functions.columns import with_computed
+from piiloom.functions.columns import utc_now, with_computed
 from piiloom.functions.spans import merge_overlaps, splice_sql
 from piiloom.functions.sqltext import name
 from piiloom.operators.detect import with_chunks
@@ -107,7 +107,7 @@ def redaction_reports(redacted: DataFrame, timestamp=None) -> DataFrame:
         r["replacement"].alias("redacted_value"), r["value_hash"].alias("value_hash")))
     distinct = F.size(F.array_distinct(F.transform(
         F.col("redactions"), lambda r: r["value_hash"])))
-    stamp = F.current_timestamp() if timestamp is None else timestamp
+    stamp = utc_now() if timestamp is None else timestamp
     return redacted.select(
         "doc_id", "filename", "redaction_level",
         stamp.cast("timestamp_ntz").alias("timestamp"),

@@ -111,3 +111,21 @@ def test_canonical_form_and_round_trip(spark):
     assert text == json.dumps(GOOD, sort_keys=True, separators=(",", ":"))
     row = quality.json_round_trip(parsed).collect()[0]
     assert (row.records, row.mismatches) == (1, 0)
+
+
+def test_text_fields_that_hold_something_else_are_named(spark):
+    good = {"document_id": "d", "filename": "f", "redaction_level": "FULL", "timestamp": "2024-01-01T00:00:00",
+            "pii_instances": [{"entity_type": "PAN", "original_value": None, "redacted_value": "x", "start_offset": 0,
+                               "end_offset": 1, "confidence": 0.5}],
+            "total_entities_redacted": 1, "risk_score_before": 1.0, "risk_score_after": 0.0}
+    inner = {**good["pii_instances"][0], "redacted_value": {"a": 1}, "entity_type": 7}
+    cases = [(good, []), ({**good, "filename": 5}, ["filename"]), ({**good, "timestamp": True, "document_id": []},
+             ["document_id", "timestamp"]), ({**good, "pii_instances": [good["pii_instances"][0], inner]},
+             ["pii_instances.entity_type", "pii_instances.redacted_value"])]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(9, "{"), (10, None)],
+                               "i int, json string")
+    rows = {r.i: r for r in quality.parse_metadata(df).collect()}
+    for i, (_, names) in enumerate(cases):
+        assert rows[i].ill_typed == names and rows[i].ok == (not names)
+        assert rows[i].reject_reason == ("malformed" if names else None)
+    assert rows[9].reject_reason == rows[10].reject_reason == "malformed" and rows[9].ill_typed == []
