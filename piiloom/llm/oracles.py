@@ -118,5 +118,48 @@ SELECT doc_id, size, s AS source_size, target, source, whole,
 FROM r
 """
 
-ORACLES = {"op4_exact_topk": OP4, "op8_minhash_near_dedup": OP8, "op5_exact_dedup": OP5,
+OP2 = """WITH RECURSIVE cut AS (
+  SELECT page_id, split_part(split_part(CASE WHEN contains(url, '://')
+    THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '?', 1), '#', 1) AS rest FROM pages),
+whole AS (SELECT page_id, split_part(rest, '/', 1) AS h, coalesce(rest, '') AS rest FROM cut),
+named AS (SELECT page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(rest, length(coalesce(h, '')) + 1) AS path FROM whole),
+rules(verdict, own, prefix) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fitting AS (SELECT page_id, arg_max(struct_pack(verdict := r.verdict, rule := own || prefix), length(own || prefix)) AS found
+  FROM named, rules r WHERE (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix) GROUP BY page_id),
+placed AS (SELECT n.*, f.found, list_transform(
+    CASE WHEN regexp_replace(path, '^/|/$', '', 'g') = '' THEN []::VARCHAR[]
+      ELSE string_split(regexp_replace(path, '^/|/$', '', 'g'), '/') END,
+    lambda x: CASE WHEN regexp_matches(regexp_replace(x, '\\.[A-Za-z]{1,5}$', ''), '[0-9]')
+        OR length(regexp_replace(x, '\\.[A-Za-z]{1,5}$', '')) > 32
+      THEN '*' || substr(x, length(regexp_replace(x, '\\.[A-Za-z]{1,5}$', '')) + 1) ELSE x END) AS raw
+  FROM named n LEFT JOIN fitting f USING (page_id)),
+paths AS (SELECT host, raw, count(found)::DOUBLE AS n,
+  (count(*) FILTER (found.verdict = 'block'))::DOUBLE AS b FROM placed GROUP BY host, raw),
+walk(d, host, raw, names, n, b) AS (
+  SELECT 0, host, raw, []::VARCHAR[], n, b FROM paths
+  UNION ALL
+  SELECT d + 1, host, raw, names || [CASE WHEN count(DISTINCT raw[d + 1]) OVER (PARTITION BY host, names) > 20
+    THEN '**' ELSE raw[d + 1] END], n, b FROM walk WHERE d < length(raw)),
+nodes AS (SELECT host, d, names AS k, names[:d - 1] AS up, sum(b) AS b, sum(n) AS n FROM walk GROUP BY ALL HAVING sum(n) > 0),
+branches AS (SELECT c.*, abs(c.b / c.n - p.b / p.n) > 2.0 * sqrt(p.b / p.n * (1 - p.b / p.n) / c.n) AS far
+  FROM nodes c JOIN nodes p ON c.host = p.host AND c.d = p.d + 1 AND c.up = p.k),
+merged AS (SELECT host, d, up, coalesce(sum(b) FILTER (NOT far), 0) AS mb, coalesce(sum(n) FILTER (NOT far), 0) AS mn
+  FROM branches GROUP BY ALL HAVING bool_or(far)),
+alone AS (SELECT host, d, k, b, n FROM branches WHERE far UNION ALL SELECT host, d, k, b, n FROM nodes WHERE d = 0),
+chains AS (SELECT w.host, w.raw, arg_max(w.names, w.d) AS names, max(a.n) FILTER (w.d = 0) AS labelled,
+    list(struct_pack(b := coalesce(a.b, m.mb, 0), n := coalesce(a.n, m.mn, 0)) ORDER BY w.d) AS chain
+  FROM walk w LEFT JOIN alone a ON w.host = a.host AND w.d = a.d AND w.names = a.k
+  LEFT JOIN merged m ON w.host = m.host AND w.d = m.d AND w.d > 0 AND w.names[:w.d - 1] = m.up
+  GROUP BY w.host, w.raw),
+judged AS (SELECT host, raw, names, labelled, list_reduce(
+    list_prepend((SELECT coalesce(sum(b) / sum(n), 0) FROM paths),
+      list_transform(chain, lambda x: x.b)), lambda acc, x, i: (x + 8.0 * acc) / (chain[i - 1].n + 8.0)) AS share FROM chains)
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict,
+  CASE WHEN labelled > 0 AND share >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  '/' || array_to_string(names, '/') AS template
+FROM placed JOIN judged USING (host, raw)"""
+
+ORACLES = {"op2_url_filters": OP2, "op4_exact_topk": OP4, "op8_minhash_near_dedup": OP8, "op5_exact_dedup": OP5,
            "op12_collocations": OP12, "op13_source_mixing": OP13}

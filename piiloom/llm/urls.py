@@ -1,18 +1,24 @@
 """URL filter by a tree of path templates per host, in DataFrame functions only.
 
 Rules come first: the longest that fits decides.  For the others, each host's paths form a
-tree: a segment becomes ``*`` where it holds a digit run or a long mixed name, or where
-its place under the same parent takes more than ``MANY`` different values.  Labels are
-the verdicts of the rules, as block or allow, counted per template.  Sibling branches whose
-shares of blocked pages are statistically alike (no two further apart than ``ALIKE``
-standard errors from their parent's share) are merged with the parent, so a small branch
-borrows its parent's evidence.  A template is rejected where its blocked share,
-smoothed by that of its host and of all pages, reaches ``REJECT``; a branch that no labelled
-page of its host is in has nothing against it and is allowed.
-
-Statistics are partial aggregates before they move, and pages meet them through
-joins that adaptive execution may split, so a host with a third of all pages is no
-hot task.
+tree as deep as its deepest path.  A segment with a digit or of more than 32 characters is
+``*`` (its extension stays), and where a place takes more than ``MANY`` different
+names its names are all ``**``.  Labels are the verdicts of the rules, as block or allow, counted
+per node.  A branch whose share of blocked pages lies within ``ALIKE`` standard errors
+of its parent's is merged with the other such branches there; each branch further off stays
+by itself.  A page's share starts from that of all labelled pages and goes down its path: a
+branch by itself counts its own labels, a merged one those of its group, smoothed by
+``PRIOR`` pages of the share above; if no branch of a place is by itself, the place's
+share holds below it.  A branch without labels belongs to the merged ones, so it takes the
+share of the branches it is merged with and of its nearest labelled place.  A template is
+rejected where its share reaches ``REJECT``; on a host without any labelled page nothing speaks
+against a page and it is allowed.
+
+Pages are first counted by host and path; tree, merging and shares work on these counts, exploded
+once per segment, and pages meet them by one join that adaptive execution may split, so a host
+with a third of all pages is no hot task.  Names that are made ``**`` bring branches together, so that
+more names may meet at the places below: this goes on until no place is too wide, which takes a round
+for each wide place above another.  The work for one path grows with the square of its segments.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no
 rule, and is judged as a page of the host ''.  Without any rule verdict among the
@@ -35,7 +41,7 @@ MANY = 20
 PRIOR = 8.0
 ALIKE = 2.0
 REJECT = 0.5
-DEPTH = 3
+_ANY = "**"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,61 +73,75 @@ def segment_template(segment: Column) -> Column:
     return F.when(variable, F.concat(F.lit("*"), tail)).otherwise(segment)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``pages`` (host, path) with ``s1 .. sDEPTH``: the template segments, null beyond the path's end.
-
-    The last level stands for the whole rest of the path.  Names at a place that takes more
-    than ``MANY`` values under its parent become ``*`` as well.
-    """
-    parts = F.split(F.regexp_replace("path", "^/|/$", ""), "/")
-    for d in range(1, DEPTH + 1):
-        value = F.get(parts, F.lit(d - 1)) if d < DEPTH else (
-            F.when(F.size(parts) >= d, F.array_join(F.slice(parts, d, 1_000_000), "/")))
-        pages = pages.withColumn(f"s{d}", segment_template(value))
-    for d in range(1, DEPTH + 1):
-        above = ["host", *[f"s{i}" for i in range(1, d)]]
-        wide = (pages.where(F.col(f"s{d}").isNotNull()).select(*above, f"s{d}").distinct()
-                .groupBy(*above).agg(F.count(F.lit(1)).alias("values")).where(F.col("values") > MANY)
-                .select(F.struct(*[F.col(c).alias(c) for c in above]).alias("place"),
-                        F.lit(True).alias("wide")))
-        pages = (pages.withColumn("place", F.struct(*[F.col(c).alias(c) for c in above]))
-                 .join(wide, "place", "left")
-                 .withColumn(f"s{d}", F.when(F.col("wide") & F.col(f"s{d}").isNotNull(), F.lit("*"))
-                             .otherwise(F.col(f"s{d}"))).drop("place", "wide"))
-    return pages
-
-
-def _key(depth: int) -> Column:
-    return F.struct("host", *[F.col(f"s{i}") for i in range(1, depth + 1)])
-
-
-def purities(labelled: DataFrame) -> tuple[list[DataFrame], float]:
-    """Per depth ``k, share``: the smoothed blocked share of each node; and the share of all.
-
-    Counts of every depth come from those of the deepest.  Alike siblings take their parent's
-    share; others are smoothed towards it.
-    """
-    deepest = labelled.groupBy("host", *[f"s{i}" for i in range(1, DEPTH + 1)]).agg(
-        F.sum("blocked").cast("double").alias("b"), F.count(F.lit(1)).cast("double").alias("n"))
-    deepest = stored(deepest, work_folder(labelled.sparkSession, "url-templates"))
-    total = deepest.agg(F.sum("b"), F.sum("n")).first()
-    overall = (total[0] or 0.0) / total[1] if total[1] else 0.0
-    levels: list[DataFrame] = []
-    for d in range(DEPTH + 1):
-        own = deepest.groupBy(_key(d).alias("k")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
-        if d == 0:
-            levels.append(own.select("k", ((F.col("b") + PRIOR * overall) / (F.col("n") + PRIOR)).alias("share")))
-            continue
-        up = F.struct("k.host", *[F.col(f"k.s{i}") for i in range(1, d)])
-        joined = own.withColumn("up", up).join(
-            levels[-1].select(F.col("k").alias("up"), F.col("share").alias("above")), "up")
-        error = F.sqrt(F.col("above") * (1 - F.col("above")) / F.col("n"))
-        far = F.abs(F.col("b") / F.col("n") - F.col("above")) > ALIKE * error
-        apart = joined.groupBy("up").agg(F.max(far).alias("apart"))
-        levels.append(joined.join(apart, "up").select("k", F.when(
-            F.col("apart"), (F.col("b") + PRIOR * F.col("above")) / (F.col("n") + PRIOR)
-        ).otherwise(F.col("above")).alias("share")))
-    return levels, overall
+def segments(path: Column) -> Column:
+    """The template segments of a path, empty for the host's root."""
+    inner = F.regexp_replace(path, "^/|/$", "")
+    parts = F.when(inner == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(inner, "/"))
+    return F.transform(parts, segment_template)
+
+
+def prefix_key(names: Column, depth: Column) -> Column:
+    """A key of the first ``depth`` names of a path; hashed, so that long paths stay narrow."""
+    return F.md5(F.array_join(F.slice(names, F.lit(1), depth), "/").cast("binary"))
+
+
+def generalised(paths: DataFrame) -> DataFrame:
+    """``paths`` (host, raw, names) with ``**`` for all names at places that take more than ``MANY``."""
+    spark = paths.sparkSession
+    while True:
+        at = F.explode(F.sequence(F.lit(1), F.size("names"))).alias("d")
+        steps = paths.where(F.size("names") > 0).select("host", "raw", "names", at).select(
+            "host", "raw", "d", prefix_key(F.col("names"), F.col("d") - 1).alias("place"),
+            F.get("names", F.col("d") - 1).alias("name"))
+        wide = (steps.groupBy("host", "d", "place", "name").agg(F.lit(1).alias("one"))
+                .groupBy("host", "d", "place")
+                .agg(F.count("one").alias("names"), F.max(F.col("name") == _ANY).alias("any"))
+                .where((F.col("names") > MANY) | (F.col("any") & (F.col("names") > 1)))
+                .select("host", "d", "place"))
+        wide = stored(wide, work_folder(spark, "url-wide"))
+        if wide.isEmpty():
+            return paths
+        # a row per path with the depths at which it has such a place: no more than its segments
+        found = (steps.join(wide, ["host", "d", "place"]).groupBy("host", "raw")
+                 .agg(F.collect_set("d").alias("at")))
+        named = F.transform("names", lambda x, i: F.when(F.array_contains("at", i + 1), _ANY).otherwise(x))
+        paths = stored(paths.join(found, ["host", "raw"], "left").select(
+            "host", "raw", F.when(F.col("at").isNull(), F.col("names")).otherwise(named).alias("names"),
+            "b", "n"), work_folder(spark, "url-paths"))
+
+
+def shares(paths: DataFrame) -> DataFrame:
+    """``host, raw, template, share`` of ``paths`` (host, raw, names, b blocked of n labelled pages)."""
+    total = paths.agg(F.sum("b").cast("double"), F.sum("n").cast("double")).first()
+    overall = total[0] / total[1] if total[1] else 0.0
+    merged = paths.groupBy("host", "names").agg(F.sum("b").cast("double").alias("b"),
+                                                F.sum("n").cast("double").alias("n"))
+    steps = merged.select("host", "names", "b", "n", F.explode(F.sequence(F.lit(0), F.size("names"))).alias("d"))
+    steps = steps.select("host", "names", "d", "b", "n", prefix_key(F.col("names"), F.col("d")).alias("k"),
+                         F.when(F.col("d") > 0, prefix_key(F.col("names"), F.col("d") - 1)).alias("up"))
+    nodes = stored(steps.groupBy("host", "d", "k", "up").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+                   .where("n > 0"), work_folder(paths.sparkSession, "url-nodes"))
+    above = nodes.select("host", (F.col("d") + 1).alias("d"), F.col("k").alias("up"),
+                         (F.col("b") / F.col("n")).alias("p"))
+    error = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    far = F.abs(F.col("b") / F.col("n") - F.col("p")) > ALIKE * error
+    branches = nodes.join(above, ["host", "d", "up"]).withColumn("far", far)
+    # places at which a branch is by itself, with the labels of the merged others
+    groups = (branches.groupBy("host", "d", "up").agg(
+        F.sum(F.when(~F.col("far"), F.col("b")).otherwise(0.0)).alias("mb"),
+        F.sum(F.when(~F.col("far"), F.col("n")).otherwise(0.0)).alias("mn"), F.max("far").alias("split"))
+        .where("split").drop("split"))
+    alone = branches.where("far").select("host", "d", "k", F.col("b").alias("ob"), F.col("n").alias("on"))
+    roots = nodes.where("d = 0").select("host", "d", "k", F.col("b").alias("ob"), F.col("n").alias("on"))
+    evidence = F.struct("d", F.coalesce("ob", "mb", F.lit(0.0)).alias("b"), F.coalesce("on", "mn", F.lit(0.0)).alias("n"))
+    # one element per segment of a path
+    chains = (steps.select("host", "names", "d", "k", "up").join(alone.unionByName(roots), ["host", "d", "k"], "left")
+              .join(groups, ["host", "d", "up"], "left").groupBy("host", "names")
+              .agg(F.array_sort(F.collect_list(evidence)).alias("chain")))
+    share = F.aggregate("chain", F.lit(overall), lambda acc, x: (x["b"] + PRIOR * acc) / (x["n"] + PRIOR))
+    known = chains.select("host", "names", F.when(F.get("chain", F.lit(0))["n"] > 0, share).alias("share"))
+    return paths.join(known, ["host", "names"]).select(
+        "host", "raw", F.concat(F.lit("/"), F.array_join("names", "/")).alias("template"), "share")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -129,18 +149,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     host, path = host_and_path(F.col("url").cast("string"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"))
     named = named.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
-    placed = stored(templates(named), work_folder(pages.sparkSession, "url-pages"))
-    labelled = placed.where("found IS NOT NULL").withColumn(
-        "blocked", (F.col("found.verdict") == "block").cast("int"))
-    levels, _ = purities(labelled)
-    judged = placed
-    for d, level in enumerate(levels):
-        judged = judged.withColumn("k", _key(d)).join(
-            level.select("k", F.col("share").alias(f"share{d}")), "k", "left").drop("k")
-    share = F.coalesce(*[F.col(f"share{d}") for d in range(DEPTH, 0, -1)])
-    template = F.concat(F.lit("/"), F.concat_ws("/", *[f"s{i}" for i in range(1, DEPTH + 1)]))
-    by_template = F.when(share >= REJECT, "block").otherwise("allow")
+    names = segments(F.col("path"))
+    # size and names make the key of a path exact: the root and an empty first segment differ
+    named = named.withColumn("raw", F.concat_ws("/", F.size(names).cast("string"), names))
+    placed = stored(named, work_folder(pages.sparkSession, "url-pages"))
+    paths = placed.groupBy("host", "raw").agg(
+        F.sum((F.col("found.verdict") == "block").cast("int")).alias("b"), F.count("found").alias("n"))
+    paths = paths.select("host", "raw", F.slice(F.split("raw", "/"), F.lit(2), F.length("raw")).alias("names"),
+                         F.coalesce("b", F.lit(0)).alias("b"), "n")
+    paths = generalised(stored(paths, work_folder(pages.sparkSession, "url-paths")))
+    judged = placed.join(shares(paths), ["host", "raw"], "left")
+    by_template = F.when(F.col("share") >= REJECT, "block").otherwise("allow")
     return judged.select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"),
-        F.coalesce(F.col("found.verdict"), by_template).alias("verdict"),
-        template.alias("template"), share.alias("share"))
+        F.coalesce(F.col("found.verdict"), by_template).alias("verdict"), "template", "share")
