@@ -56,6 +56,20 @@ _SHARED_TEXTS = """CASE tag_fqn
     WHEN 'PII.Sensitive.IndianGovtID.DrivingLicense' THEN 'DL (State-issued driving license)'
     WHEN 'PII.Sensitive.ContactInfo.Email' THEN 'Email address'
     WHEN 'PII.Sensitive.ContactInfo.Phone' THEN 'Phone number' END"""
+_WALK = """SELECT doc_id, ts, seq, status, from_status, accepted FROM (
+  WITH RECURSIVE legal(a, b) AS (VALUES ('', 'PENDING'), ('PENDING', 'PII_DETECTING'), ('PENDING', 'FAILED'),
+    ('PII_DETECTING', 'REDACTING'), ('PII_DETECTING', 'FAILED'), ('REDACTING', 'COMPLETED'),
+    ('REDACTING', 'FAILED'), ('COMPLETED', 'REDACTING'), ('FAILED', 'PENDING')),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts, seq) AS i FROM transitions),
+  walk(doc_id, ts, seq, status, i, from_status, accepted, state) AS (
+    SELECT DISTINCT doc_id, NULL::TIMESTAMP, NULL::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, ''
+      FROM transitions
+    UNION ALL
+    SELECT n.doc_id, n.ts, n.seq, n.status, n.i, w.state, l.b IS NOT NULL,
+      CASE WHEN l.b IS NOT NULL THEN n.status ELSE w.state END
+    FROM walk w JOIN numbered n ON n.doc_id = w.doc_id AND n.i = w.i + 1
+    LEFT JOIN legal l ON l.a = w.state AND l.b = n.status)
+  SELECT * FROM walk WHERE i > 0)"""
 _RANKED = """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, first_at,
     first_end DESC, first_rule) - 1 AS position, count(*) OVER (PARTITION BY doc_id) AS k,
     CASE WHEN weight >= 9 THEN 'Very High' WHEN weight >= 6 THEN 'High'
@@ -418,6 +432,8 @@ _BODIES: dict[str, str] = {
     "stream_upsert": f"SELECT {_SPAN}, value_hash FROM resent_ents",
     "stream_status": """SELECT doc_id, arg_max(status, (ts, seq)) AS status, max(ts) AS updated_at
         FROM transitions GROUP BY doc_id""",
+    "legal_transitions": _WALK,
+    "stream_transitions": _WALK,
     "upload_rate_breaches": """SELECT minute, ip_address, r.action, count(*) AS n, any_value(most) AS "limit"
         FROM (SELECT *, date_trunc('minute', ts) AS minute, max(ts) OVER () AS latest FROM (
           SELECT CASE event_type WHEN 'signup' THEN 'UPLOAD' WHEN 'click' THEN 'REDACT' WHEN 'view' THEN 'STATUS' END

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from piiloom.functions import masking as M
-from piiloom.functions.chunks import cut_sql
+from piiloom.functions.chunks import CHUNK, cut_sql
 from piiloom.functions.columns import utc_now, with_computed
 from piiloom.functions.spans import merge_overlaps, splice_sql
 from piiloom.functions.sqltext import name
@@ -118,8 +118,43 @@ def redaction_reports(redacted: DataFrame, timestamp=None) -> DataFrame:
         distinct.alias("audit_mapping_count"))
 
 
+_GRAM = 8
+
+
+def _beginnings(length: int) -> Column:
+    """The beginnings of that many characters: of shorter values the values themselves."""
+    size = F.char_length
+    chosen = F.filter("values", lambda v: F.least(size(v), F.lit(_GRAM)) == length)
+    return F.array_distinct(F.transform(chosen, lambda v: F.substring(v, 1, length)))
+
+
+def _grams_found(length: int) -> Column:
+    """Which beginnings of ``length`` characters the pieces of the redacted text hold.
+
+    Every window of a piece is taken in one pass by a look-ahead; only those that are beginnings stay.
+    """
+    windows = lambda p: F.regexp_extract_all(p, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+    begin = F.col("begins")[length - 1]
+    return F.when(F.size(begin) == 0, begin).otherwise(F.aggregate(
+        "pieces", F.expr("cast(array() as array<string>)"),
+        lambda found, p: F.array_union(found, F.array_intersect(begin, windows(p)))))
+
+
 def leak_check(redacted: DataFrame) -> DataFrame:
-    """Per document, how many distinct original values still occur in the redacted text."""
+    """Per document, how many distinct original values still occur in the redacted text.
+
+    The redacted text is cut into pieces that overlap by a window.  The windows of each piece meet the first
+    ``_GRAM`` characters of the values through hash sets, so a text is walked once for each length of
+    a beginning (eight at most), however many values there are.  Only values whose beginning
+    occurs are looked for as a whole; of values of ``_GRAM`` characters or less that is the answer.
+    """
     df = with_computed(redacted, values=F.array_distinct(span_values()))
-    leaks = F.filter("values", lambda v: F.col("redacted_text").contains(v))
+    pieces = F.expr(f"if(size(values) = 0, cast(array() as array<string>), regexp_extract_all("
+                    f"redacted_text, r'(?s)(?=(.{{1,{CHUNK + _GRAM - 1}}})).{{1,{CHUNK}}}', 1))")
+    df = with_computed(df, pieces=pieces,
+                       begins=F.array(*[_beginnings(n) for n in range(1, _GRAM + 1)]))
+    df = with_computed(df, found=F.array_distinct(F.flatten(F.array(
+        *[_grams_found(n) for n in range(1, _GRAM + 1)]))))
+    begun = F.filter("values", lambda v: F.array_contains("found", F.substring(v, 1, _GRAM)))
+    leaks = F.filter(begun, lambda v: (F.char_length(v) <= _GRAM) | F.col("redacted_text").contains(v))
     return df.select("doc_id", "entities_redacted", F.size(leaks).alias("leaked"))

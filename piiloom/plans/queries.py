@@ -8,14 +8,14 @@ from pyspark.sql import types as T
 
 from piiloom import rules as R
 from piiloom.operators import (catalog, detect, govern, ingest, lifecycle, quality,
-                               redact, risk)
+                               redact, risk, states)
 from piiloom.operators.names import name_rules
 from piiloom.plans import pipeline
 from piiloom.session import shared_folder, stored_copy
 from piiloom.sources import derived, documents
 from piiloom.streaming import jobs as streams
-from piiloom.streaming.run import (ingest_once, read_entities, read_stream, read_uploads, run,
-                                    upsert_documents)
+from piiloom.streaming.run import (ingest_once, read_changes, read_entities, read_stream, read_uploads,
+                                    run, track_statuses, upsert_documents)
 
 # Size limits at which the test pages fall on both sides.
 PAGE_LIMITS = {"pdf": 1500, "png": 800, "jpg": 2000, "jpeg": 1200, "docx": 1800}
@@ -690,6 +690,26 @@ def stream_status(spark, sf):
     return streams.latest_status(run(streams.status(derived.transitions(audit)), mode="update"))
 
 
+# The steps between the statuses that audit events give.
+AUDIT_STEPS = {"": ("PENDING",), "PENDING": ("PII_DETECTING", "FAILED"), "PII_DETECTING": ("REDACTING", "FAILED"),
+               "REDACTING": ("COMPLETED", "FAILED"), "COMPLETED": ("REDACTING",), "FAILED": ("PENDING",)}
+
+
+def legal_transitions(spark, sf):
+    return states.check_transitions(derived.transitions(derived.audit_logs(spark, sf)), AUDIT_STEPS)
+
+
+def stream_transitions(spark, sf):
+    """Status changes of the first half of the time, then those of the second."""
+    root = shared_folder(spark, "transitions")
+    for name, when in (("first", "ts < timestamp_ntz '2024-01-15 00:00:00'"),
+                       ("second", "not (ts < timestamp_ntz '2024-01-15 00:00:00')")):
+        audit = derived.audit_from_events(read_stream(spark, f"{sf}/events.parquet"))
+        track_statuses(derived.transitions(audit).where(when), f"{root}/table", f"{root}/checkpoint-{name}",
+                       AUDIT_STEPS, name).awaitTermination()
+    return read_changes(spark, f"{root}/table")
+
+
 def upload_rate_breaches(spark, sf):
     requests = derived.requests_from_events(read_stream(spark, f"{sf}/events.parquet"))
     return run(streams.breaches(requests, streams.request_limits(spark)))
@@ -773,6 +793,7 @@ def _registry():
         # streaming
         "stream_ingest": stream_ingest, "stream_detect": stream_detect,
         "stream_upsert": stream_upsert, "stream_status": stream_status,
+        "legal_transitions": legal_transitions, "stream_transitions": stream_transitions,
         "upload_rate_breaches": upload_rate_breaches,
     }
 

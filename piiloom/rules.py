@@ -136,6 +136,10 @@ PROGRESS_STEPS = {"PENDING": 0, "EXTRACTING": 1, "PII_DETECTING": 2, "PII_DETECT
                   "REDACTING": 3, "COMPLETED": 5, "FAILED": -1}
 TERMINAL_STATUSES = ("COMPLETED", "FAILED")
 REDACTABLE_STATUSES = ("PII_DETECTED", "COMPLETED")
+# Statuses that may follow each; "" before the first. A failed document may be sent again.
+NEXT_STATUSES = {"": ("PENDING",), "PENDING": ("EXTRACTING", "FAILED"), "EXTRACTING": ("PII_DETECTING", "FAILED"),
+                 "PII_DETECTING": ("PII_DETECTED", "FAILED"), "PII_DETECTED": ("REDACTING", "FAILED"),
+                 "REDACTING": ("COMPLETED", "FAILED"), "COMPLETED": ("REDACTING",), "FAILED": ("PENDING",)}
 REDACTION_LEVELS = ("LIGHT", "FULL", "SYNTHETIC")
 
 # --- Fixed values: file checks ------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from piiloom.session import shared_folder
+from piiloom.operators.states import check_transitions, last_accepted
+from piiloom.session import shared_folder, stored_copy
 from piiloom.sources import versions
 from piiloom.streaming.jobs import entities, valid_uploads
 
@@ -101,6 +102,37 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame | None:
     return versions.read(spark, path, "uploads")
 
 
+def track_statuses(transitions: DataFrame, path: str, checkpoint: str, legal=None, name: str = "stream"):
+    """Start a sink that accepts legal status changes only; rejects stay in the table, marked as such.
+
+    A batch meets the states that earlier batches left (:func:`read_states`), so no state is kept in memory,
+    and its changes are added to those there (:func:`read_changes`).  The changes are committed
+    first and the states after them, both by the batch's name: a batch that failed between the two
+    finds the states it began with and leaves its changes once.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, run_name = batch.sparkSession, f"{name}-{batch_id}"
+        if versions.has_run(spark, f"{path}/states", run_name):
+            return
+        checked = stored_copy(check_transitions(batch, legal, read_states(spark, path)), "checked")
+        versions.commit(f"{path}/changes", run_name, {"changes": checked})
+        states = last_accepted(checked)
+        versions.commit(f"{path}/states", run_name, {"states": states}, states.select("doc_id"))
+
+    return (transitions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last accepted status of each document: ``doc_id, status``."""
+    return versions.read(spark, f"{path}/states", "states")
+
+
+def read_changes(spark: SparkSession, path: str) -> DataFrame | None:
+    """Every change with the state it met and whether it was accepted."""
+    return versions.read(spark, f"{path}/changes", "changes")
+
+
 def run(stream: DataFrame, mode: str = "append", upsert: bool = False) -> DataFrame:
     """Run ``stream`` over its present input in a fresh shared folder; read the result."""
     spark = stream.sparkSession

@@ -158,3 +158,25 @@ def test_properties_of_redaction(texts, cases):
             assert set(r.replacement[2:-2]) == {"*"}
     leaks = redact.leak_check(pipeline.redact_corpus(docs, "FULL"))
     assert leaks.filter("leaked > 0").count() == 0
+
+
+def test_leaks_of_all_lengths_are_found_across_pieces(spark, spanned):
+    from pyspark.sql import functions as F
+
+    from piiloom.functions.chunks import CHUNK
+
+    values = ["a", "bc", "defg", "hijklmn", "opqrstuv", "wxyzwxyzw", "long value with spaces \n and é👍 more"]
+    text = "#".join(values)
+    starts = [text.index(v) for v in values]
+    scanned = spanned((text, [("PAN", s, s + len(v)) for s, v in zip(starts, values)]), ("", []), ("x1", []))
+    redacted = redact.redact(scanned, "FULL")
+    clean = {r["doc_id"]: r["leaked"] for r in redact.leak_check(redacted).collect()}
+    assert clean == {"0": 0, "1": 0, "2": 0}
+    planted = {f"{n}-{at}": "." * at + v + "." * 700 for n, v in enumerate(values)
+               for at in (0, CHUNK - len(v) // 2 - 1, CHUNK - 1, CHUNK, 2 * CHUNK - 3)}
+    planted["near"] = "WXYZwxyzwxyz-0 long v"
+    texts = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(t).alias("t")) for k, t in planted.items()]))
+    tried = (redacted.where("doc_id = '0'").withColumn("x", texts)
+             .withColumn("redacted_text", F.col("x.t")).withColumn("doc_id", F.col("x.id")))
+    got = {r["doc_id"]: r["leaked"] for r in redact.leak_check(tried).collect()}
+    assert got == {k: sum(v in t for v in values) for k, t in planted.items()} and got["near"] == 0
