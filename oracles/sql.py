@@ -56,6 +56,8 @@ _SHARED_TEXTS = """CASE tag_fqn
     WHEN 'PII.Sensitive.IndianGovtID.DrivingLicense' THEN 'DL (State-issued driving license)'
     WHEN 'PII.Sensitive.ContactInfo.Email' THEN 'Email address'
     WHEN 'PII.Sensitive.ContactInfo.Phone' THEN 'Phone number' END"""
+_STORED_TEXTS = _texts("light_text") + """ AND doc_id IN (
+    SELECT doc_id FROM corpus WHERE status IN ('PII_DETECTED', 'COMPLETED'))"""
 _WALK = """SELECT doc_id, ts, seq, status, from_status, accepted FROM (
   WITH RECURSIVE legal(a, b) AS (VALUES ('', 'PENDING'), ('PENDING', 'PII_DETECTING'), ('PENDING', 'FAILED'),
     ('PII_DETECTING', 'REDACTING'), ('PII_DETECTING', 'FAILED'), ('REDACTING', 'COMPLETED'),
@@ -221,8 +223,8 @@ _BODIES: dict[str, str] = {
                   THEN 1 ELSE 0 END AS fresh FROM ents))
               GROUP BY doc_id, grp))
           GROUP BY doc_id) k ON k.doc_id = c.doc_id""",
-    "redact_stored": _texts("light_text") + """ AND doc_id IN (
-        SELECT doc_id FROM corpus WHERE status IN ('PII_DETECTED', 'COMPLETED'))""",
+    "redact_stored": _STORED_TEXTS,
+    "redact_bucketed": _STORED_TEXTS,
     "audit_mapping": """SELECT doc_id, value_hash, arg_min(light_text, s) AS replacement FROM edits
         GROUP BY doc_id, value_hash""",
     "span_hashes": """SELECT DISTINCT doc_id, s || ':' || e AS span, value_hash FROM edits""",
@@ -402,9 +404,15 @@ _BODIES: dict[str, str] = {
             WHEN '6' THEN CASE WHEN total > 0 THEN 'pii_instances.redacted_value' ELSE '' END ELSE '' END AS ill_typed
           FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id)""",
     "canonical_json": f"""SELECT c.doc_id, '{{"document_id":"' || c.doc_id || '","filename":"'
-          || coalesce(filename, 'unknown') || '","redaction_level":"FULL",'
-          || '"timestamp":"2024-02-01T00:00:00","total_entities_redacted":' || total || '}}' AS json
-        FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id""",
+          || coalesce(c.filename, 'unknown') || '","pii_instances":[' || coalesce(i.parts, '')
+          || '],"redaction_level":"FULL","risk_score_after":0.0,"risk_score_before":'
+          || CAST(round(s.risk_score, 6) AS VARCHAR)
+          || ',"timestamp":"2024-02-01T00:00:00","total_entities_redacted":' || total || '}}' AS json
+        FROM corpus c JOIN ({_REPORT_COUNTS}) r ON r.doc_id = c.doc_id JOIN scored s ON s.doc_id = c.doc_id
+        LEFT JOIN (SELECT doc_id, string_agg('{{"confidence":' || CAST(round(confidence, 6) AS VARCHAR)
+            || ',"end_offset":' || e || ',"entity_type":"' || entity_type || '","redacted_value":"' || full_text
+            || '","start_offset":' || s || '}}', ',' ORDER BY s, e DESC, rule) AS parts
+          FROM edits GROUP BY doc_id) i ON i.doc_id = c.doc_id""",
     "json_round_trip": """SELECT count(*) AS records, count(*) FILTER (substr(sha256(doc_id), 1, 1) = '7')
         AS mismatches FROM corpus""",
     "span_validity": """SELECT f.entity_type, coalesce(f.s >= 0 AND f.e > f.s

@@ -142,8 +142,9 @@ def redact_stored(docs: DataFrame, tables: Catalog, level: str, salt: str = DEFA
     """Redact documents with the spans of an earlier run, where their status allows it.
 
     The spans come as one array per document, so texts meet them in a one-to-one
-    join.  With both tables bucketed by ``doc_id`` no text is shuffled; without,
-    detecting again with :func:`redact_corpus` is the cheaper way.
+    join.  With ``docs`` stored by :func:`piiloom.sources.documents.write_bucketed` the spans are
+    brought to the buckets and no text is shuffled; without, detecting again with
+    :func:`redact_corpus` is the cheaper way.
     """
     allowed = redactable_docs(tables.jobs).select("doc_id")
     found = tables.processed.select("doc_id", "spans", "risk_score").join(

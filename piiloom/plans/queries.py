@@ -328,6 +328,15 @@ def redact_stored(spark, sf):
     return redacted.select("doc_id", "redacted_text", "entities_redacted")
 
 
+def redact_bucketed(spark, sf):
+    """The same from texts stored in buckets, so that the spans come to the texts."""
+    buckets = max(8, spark.sparkContext.defaultParallelism)
+    folder = shared_folder(spark, "texts")
+    docs = documents.write_bucketed(derived.corpus(spark, sf), "texts_" + folder[-32:], folder, buckets)
+    redacted = pipeline.redact_stored(docs, stored(spark, sf), "LIGHT")
+    return redacted.select("doc_id", "redacted_text", "entities_redacted")
+
+
 def audit_mapping(spark, sf):
     return redact.audit_mapping(_redacted(spark, sf, "LIGHT"))
 
@@ -619,15 +628,13 @@ def parse_metadata(spark, sf):
 
 
 def canonical_json(spark, sf):
-    """Hash of each record's canonical form without its floating-point fields."""
-    return quality.report_metadata(stored(spark, sf).reports).select(
-        "doc_id", quality.canonical_json(F.struct(
-            "metadata.document_id", "metadata.filename", "metadata.redaction_level",
-            "metadata.timestamp", "metadata.total_entities_redacted",
-            F.lit(None).cast("double").alias("risk_score_before"),
-            F.lit(None).cast("double").alias("risk_score_after"),
-            F.lit(None).cast(f"array<{quality.INSTANCE_TYPE}>").alias("pii_instances")))
-        .alias("json"))
+    """Each record's canonical form, whole, with numbers at six places."""
+    m = F.col("metadata")
+    instances = F.transform(m["pii_instances"], lambda p: p.withField("confidence", F.round(p["confidence"], 6)))
+    whole = m.withField("pii_instances", instances).withField(
+        "risk_score_before", F.round(m["risk_score_before"], 6))
+    records = quality.report_metadata(stored(spark, sf).reports).select("doc_id", whole.alias("metadata"))
+    return records.select("doc_id", quality.canonical_json(m).alias("json"))
 
 
 def json_round_trip(spark, sf):
@@ -760,7 +767,7 @@ def _registry():
         "redact_documents_light": _redacted_texts("LIGHT"),
         "redact_documents_synthetic": _redacted_texts("SYNTHETIC"),
         "redact_documents_merged": _redacted_texts("FULL", "merge"),
-        "redact_stored": redact_stored,
+        "redact_stored": redact_stored, "redact_bucketed": redact_bucketed,
         "audit_mapping": audit_mapping, "span_hashes": span_hashes,
         "redaction_report": redaction_report, "redaction_instances": redaction_instances,
         "redaction_leak_check": redaction_leak_check,

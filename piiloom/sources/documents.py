@@ -46,6 +46,18 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     return scan.repartition(wanted, key) if scan.rdd.getNumPartitions() < wanted else scan
 
 
+def write_bucketed(docs: DataFrame, table: str, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+    """Store ``docs`` as a catalog table of ``buckets`` by ``key``, one sorted file each; returns the table.
+
+    Texts move once, here.  Joins on ``key`` then bring the other side to the buckets and leave the texts where
+    they are (see :func:`piiloom.plans.pipeline.redact_stored`).  Choose ``buckets`` so that one fits a task, some
+    hundred megabytes; rows of one key share a bucket, and rows without a key join nothing.
+    """
+    (docs.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return docs.sparkSession.table(table)
+
+
 def write_redacted(redacted: DataFrame, path: str, suffix: str = ".redacted.txt",
                    run: str | None = None) -> DataFrame:
     """Add one redacted text per document and level to ``path``; returns the records of all in it.

@@ -9,7 +9,7 @@ from piiloom import rules as R
 from piiloom.operators import catalog, detect, ingest, redact, risk
 from piiloom.plans import pipeline
 from piiloom.session import broadcast_if_small
-from piiloom.sources.documents import spread
+from piiloom.sources.documents import spread, write_bucketed
 
 
 def physical(df):
@@ -90,6 +90,30 @@ def test_broadcast_only_below_the_limit(spark):
     assert broadcast_if_small(small, rows=9) is small
 
 
+def test_stored_spans_come_to_bucketed_texts(spark, docs, tmp_path):
+    tables = pipeline.write_catalog(docs, str(tmp_path / "catalog"))
+    texts = write_bucketed(docs.select("doc_id", "text"), "bucketed_texts", str(tmp_path / "texts"), 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(key, value)
+        df = pipeline.redact_stored(texts, tables, "FULL").select("doc_id", "redacted_text")
+        lines = physical(df).splitlines()
+        at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+        above, level = [], len(lines[at]) + 1
+        for line in reversed(lines[:at + 1]):
+            indent = len(re.match(r"[ :+\-]*", line).group())
+            if indent < level:
+                above.append(line)
+                level = indent
+        assert "SortMergeJoin" in "".join(above) and "Exchange" not in "".join(above)
+        assert {r["redacted_text"] for r in df.collect()} == {"Aadhaar [REDACTED]"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE bucketed_texts")
+
+
 def test_spread_moves_only_coarse_scans(spark, docs):
     wanted = 2 * spark.sparkContext.defaultParallelism
     assert spread(docs.coalesce(1), "doc_id").rdd.getNumPartitions() == wanted
