@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from piiloom import rules as R
 from piiloom.functions.chunks import chunks_sql, cut_sql
-from piiloom.functions.context import near_words_sql, raised_score
+from piiloom.functions.context import longest_word, near_words_sql, raised_score, tails_sql
 from piiloom.functions.sqltext import name, number, string
 
 SPAN_TYPE = ("array<struct<entity_type:string,subtype:string,start_offset:int,"
@@ -82,14 +82,15 @@ def _scored(text: str, word_lists, threshold: float) -> str:
     """The spans of the array ``hits`` that reach ``threshold``, scores raised by context."""
     score = "h.confidence"
     if word_lists:
-        near = near_words_sql("chunks", "h.start_offset", "h.context", word_lists)
+        near = near_words_sql("chunks", "h.start_offset", "h.context", word_lists, tails="tails")
         score = f"if(h.raised > h.confidence and {near}, h.raised, h.confidence)"
     spans = (f"transform(hits, h -> named_struct('entity_type', h.entity_type,"
              f" 'subtype', h.subtype, 'start_offset', h.start_offset, 'end_offset', h.end_offset,"
              f" 'confidence', {score}, 'rule', h.rule))")
     kept = f"filter({spans}, s -> s.confidence >= {number(threshold)})"
     if word_lists:
-        kept = _bind(chunks_sql(text), "chunks", kept)
+        tails = tails_sql("chunks", longest=longest_word(word_lists))
+        kept = _bind(chunks_sql(text), "chunks", _bind(tails, "tails", kept))
     return f"if(size(hits) > 0, {kept}, {_NO_SPANS})"
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from piiloom import rules as R
 from piiloom.functions.chunks import chunks_sql, cut_sql
-from piiloom.functions.context import preceding_words_sql
+from piiloom.functions.context import preceding_words_sql, tails_sql
 from piiloom.functions.spans import offsets_sql
 from piiloom.operators import detect
 
@@ -101,6 +101,37 @@ def test_context_shortcut_equals_the_whole_prefix(spark):
         assert r.w == " " + " ".join(tokens) + " "
 
 
+def test_context_in_texts_poor_in_tokens_equals_the_whole_prefix(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for n in range(30):
+        parts = []
+        while sum(map(len, parts)) < 9000:
+            parts.append(rng.choice(["Aadhaar", "É1", "Σς", "b", "y" * 300, "z" * 2500, "👍", "े"]))
+            parts.append(rng.choice([" ", "-", "\n"]) * rng.choice([1, 1, 400, 1023, 3000]))
+        text = "".join(parts)
+        rows += [(text, at) for at in (0, 1024, 4096, 8192, len(text) // 2, len(text) - 1, len(text))]
+    rows += [("x " * 2048, 4096), ("-" * 5120, 5120), ("-" * 5120, 5119), ("y" * 5120, 5120)]
+    df = spark.createDataFrame(rows, "text string, at int")
+    plain = F.expr(preceding_words_sql("chunks", "at")).alias("plain")
+    by_tails = F.expr(preceding_words_sql("chunks", "at", tails="tails")).alias("by_tails")
+    cut = df.select("at", F.expr(chunks_sql("text")).alias("chunks"))
+    got = cut.withColumn("tails", F.expr(tails_sql("chunks"))).select("at", F.size("tails").alias("n"), plain, by_tails).collect()
+    short = lambda words: [w[-256:] for w in words.split(" ")]
+    assert sum(r["n"] > 0 for r in got) > 150
+    assert [short(r["by_tails"]) for r in got] == [short(r["plain"]) for r in got]
+
+
+def test_far_context_in_long_texts_poor_in_tokens(spark):
+    """3 MB with a match every 5,000 characters: the prefix of each would be 1,000 times as much."""
+    text = "Aadhaar a b c" + ("-" * 5000 + "234567890123") * 600
+    docs = spark.createDataFrame([("1", text)], "doc_id string, text string")
+    got = detect.detect_all(docs).where("entity_type = 'AADHAAR'").collect()
+    assert [(r["start_offset"], r["confidence"]) for r in got] == [(5013, 0.95), (10025, 0.95)]
+
+
 def test_higher_threshold_never_finds_more(texts):
     docs = texts("Aadhaar 234567890123 PAN ABCDE1234F mail a@b.co phone 9876543210 MH0220191234567")
     counts = [detect.detect_all(docs, threshold=t).count() for t in (0.0, 0.5, 0.7, 0.9, 1.0)]
