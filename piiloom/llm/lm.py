@@ -37,15 +37,21 @@ from piiloom.llm.common import LOWER_BYTES, fold, stored, work_folder
 END = b""  # no word is empty
 HEAD = 131_072
 OUTPUTS = 3_000
-CLASSES = 64
-TAILS = 64
-HIDDEN = 24
+CLASSES = 32
+TAILS = 16
+HIDDEN = 16
 WINDOW = 24
 LANES = 256
+#: Lanes and steps of an update in training, and its rate.
+TRAIN_LANES = 256
+TRAIN_WINDOW = 16
+RATE = 0.03
+#: A longer text is learned from in pieces.
+PIECE = 1_024
 #: A task holds about so many tokens at a time.
-TASK_TOKENS = 100_000
-#: Times that all training rows are gone through.
-PASSES = 2
+TASK_TOKENS = 400_000
+#: Weights that are averaged in one row.
+PART = 25_000
 _FLUSH = 200_000
 _SUFFIX = 3
 
@@ -148,6 +154,24 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         np.log10(tail.sum(axis=1) + 1))
 
 
+class Codes(dict):
+    """The place of each head word by count; all others by their tail class, of whom some are kept."""
+
+    def __init__(self, words: Vocabulary):
+        super().__init__((w, i if i < words.outputs else words.outputs + tail_class(w))
+                         for i, w in enumerate(words.count))
+        self.outputs, self.most = words.outputs, len(self) + _FLUSH
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.outputs + tail_class(word)
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+    def all(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Network:
     """Weights in one flat array, so that models can be averaged."""
 
@@ -160,7 +184,7 @@ class Network:
         shapes = {"x": (inputs, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, self.classes + TAILS),
                   "cb": (self.classes + TAILS,), "w": (self.outputs, HIDDEN), "wb": (self.outputs,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
-        self.flat = np.zeros(size, dtype=np.float32) if flat is None else flat.astype(np.float32)
+        self.flat = np.zeros(size, dtype=np.float32) if flat is None else flat
         at = 0
         self.at = {}
         for name, shape in shapes.items():
@@ -180,49 +204,54 @@ class Network:
         net.wb[:] = np.log(np.maximum(words.output_mass, 1))
         return net
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        a, b = self.x[x], h @ self.u
+    def step(self, a: np.ndarray, h: np.ndarray):
+        """The next state for what the inputs give, ``a``, and the state before; with the gates' values."""
+        b = h @ self.u
         gate = 1 / (1 + np.exp(-(a[:, :2 * HIDDEN] + b[:, :2 * HIDDEN])))
-        z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN:] + r * b[:, 2 * HIDDEN:])
-        return new + z * (h - new), (z, r, new, b[:, 2 * HIDDEN:])
+        z, r, un = gate[:, :HIDDEN], gate[:, HIDDEN:], b[:, 2 * HIDDEN:]
+        new = np.tanh(a[:, 2 * HIDDEN:] + r * un)
+        return new + z * (h - new), gate, new, un
 
     def log_likelihood(self, h: np.ndarray, y: np.ndarray, grad: Network | None = None):
         """Natural logarithm of P(y) for each state; with ``grad``, the gradients as well."""
         n = len(y)
+        at = np.arange(n)
         kind = self.class_of[y]
-        logits = h @ self.c + self.cb
-        logits -= logits.max(axis=1, keepdims=True)
-        share = np.exp(logits)
-        whole = share.sum(axis=1)
-        out = logits[np.arange(n), kind] - np.log(whole)
+        order = np.argsort(kind, kind="stable")
+        h, y, kind = h[order], y[order], kind[order]
+        out, share = _log_share(h @ self.c + self.cb, kind, at)
         dh = None
         if grad is not None:
-            share /= whole[:, None]
-            share[np.arange(n), kind] -= 1
+            share[at, kind] -= 1
             grad.c += h.T @ share
             grad.cb += share.sum(axis=0)
             dh = share @ self.c.T
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        edge = np.searchsorted(kind, np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            rows, s, e = order[edge[k]:edge[k + 1]], self.starts[k], self.starts[k + 1]
+            a, b, s, e = edge[k], edge[k + 1], self.starts[k], self.starts[k + 1]
             if e - s == 1:
                 continue
-            own = h[rows]
-            logits = own @ self.w[s:e].T + self.wb[s:e]
-            logits -= logits.max(axis=1, keepdims=True)
-            share = np.exp(logits)
-            whole = share.sum(axis=1)
-            at = (np.arange(len(rows)), y[rows] - s)
-            out[rows] += logits[at] - np.log(whole)
+            own, word, row = h[a:b], y[a:b] - s, at[:b - a]
+            found, share = _log_share(own @ self.w[s:e].T + self.wb[s:e], word, row)
+            out[a:b] += found
             if grad is not None:
-                share /= whole[:, None]
-                share[at] -= 1
+                share[row, word] -= 1
                 grad.w[s:e] += share.T @ own
                 grad.wb[s:e] += share.sum(axis=0)
-                dh[rows] += share @ self.w[s:e]
-        return out, dh
+                dh[a:b] += share @ self.w[s:e]
+        back = np.empty(n, np.int64)
+        back[order] = at
+        return out[back], None if dh is None else dh[back]
+
+
+def _log_share(logits: np.ndarray, chosen: np.ndarray, row: np.ndarray):
+    """Logarithm of the chosen column's share in each row, and all shares."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[row, chosen]
+    share = np.exp(logits, out=logits)
+    whole = share.sum(axis=1)
+    share /= whole[:, None]
+    return own - np.log(whole), share
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -238,89 +267,147 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted(out, key=lambda ds: -sum(int(lengths[d]) for d in ds))
 
 
-def laid_out(coded: list[np.ndarray], lanes: int):
-    """Lane by lane: outputs, inputs (the token before; the end token at a start) and documents."""
-    lengths = np.array([len(c) for c in coded])
-    placed = lanes_of(lengths, lanes)
-    y = [np.concatenate([coded[d] for d in ds]) for ds in placed]
-    doc = [np.repeat(ds, lengths[ds]) for ds in placed]
-    size = np.array([len(v) for v in y])
-    top = int(size[0])
-    ys, docs = np.zeros((top, len(y)), np.int64), np.full((top, len(y)), -1)
-    for i, (a, b) in enumerate(zip(y, doc, strict=True)):
-        ys[:len(a), i], docs[:len(b), i] = a, b
-    fresh = np.ones(docs.shape, dtype=bool)
-    fresh[1:] = docs[1:] != docs[:-1]
-    active = np.searchsorted(-size, -np.arange(1, top + 1), side="right")
-    return ys, docs, fresh, active
+@dataclass
+class Lanes:
+    """Tokens of documents laid end to end in lanes, step by step: memory goes with the tokens.
+
+    ``edge`` has the first place of each step; of a step, the lanes stand in order, the longest first.
+    """
+
+    y: np.ndarray
+    x: np.ndarray  # the token before; the end token at a start
+    doc: np.ndarray
+    keep: np.ndarray  # 0 at a start, where the state begins anew, else 1
+    edge: np.ndarray
+
+    @classmethod
+    def of(cls, coded: list[np.ndarray], lanes: int, end: int) -> Lanes:
+        lengths = np.array([len(c) for c in coded])
+        placed = lanes_of(lengths, lanes)
+        docs = np.concatenate(placed)
+        y = np.concatenate([coded[d] for d in docs])
+        doc = np.repeat(docs, lengths[docs])
+        size = np.array([lengths[ds].sum() for ds in placed])
+        start = np.cumsum(lengths[docs]) - lengths[docs]
+        x = np.concatenate([[end], y[:-1]])
+        x[start] = end
+        keep = np.ones(len(y), np.float32)
+        keep[start] = 0
+        place = np.arange(len(y)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.argsort(place, kind="stable")
+        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        return cls(y[order], x[order], doc[order], keep[order, None], np.concatenate([[0], np.cumsum(active)]))
+
+    @property
+    def steps(self) -> int:
+        return len(self.edge) - 1
+
+    @property
+    def width(self) -> int:
+        return int(self.edge[1])
 
 
 def score_documents(net: Network, coded: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each coded document."""
-    ys, docs, fresh, active = laid_out(coded, LANES)
+    laid = Lanes.of(coded, LANES, end)
+    edge = laid.edge.tolist()
     out = np.zeros(len(coded))
-    h = np.zeros((ys.shape[1], HIDDEN), dtype=np.float32)
-    states, wanted, owner, held = [], [], [], 0
-    for t in range(len(ys)):
-        k = active[t]
-        start = fresh[t, :k]
-        x = np.where(start, end, ys[t - 1, :k] if t else end)
-        h = np.where(start[:, None], np.float32(0), h[:k])
-        h, _ = net.step(x, h)
-        states.append(h)
-        wanted.append(ys[t, :k])
-        owner.append(docs[t, :k])
-        held += k
-        if held >= LANES * WINDOW or t == len(ys) - 1:
-            found, _ = net.log_likelihood(np.concatenate(states), np.concatenate(wanted))
-            out += np.bincount(np.concatenate(owner), weights=found, minlength=len(coded))
-            states, wanted, owner, held = [], [], [], 0
+    h = np.zeros((laid.width, HIDDEN), dtype=net.flat.dtype)
+    s = 0
+    while s < laid.steps:
+        e = s + 1
+        while e < laid.steps and edge[e] - edge[s] < LANES * WINDOW:
+            e += 1
+        first, last = edge[s], edge[e]
+        a = net.x[laid.x[first:last]]
+        states = np.empty((last - first, HIDDEN), dtype=h.dtype)
+        for t in range(s, e):
+            i, j = edge[t], edge[t + 1]
+            h = net.step(a[i - first:j - first], h[:j - i] * laid.keep[i:j])[0]
+            states[i - first:j - first] = h
+        found, _ = net.log_likelihood(states, laid.y[first:last])
+        out += np.bincount(laid.doc[first:last], weights=found, minlength=len(coded))
+        s = e
     return out
 
 
-def train(net: Network, coded: list[np.ndarray], end: int, rate: float = 0.01,
-          lanes: int = 16, window: int = 16) -> Network:
-    """One pass of truncated backpropagation with Adam; the state is carried over windows."""
+def window_gradient(net: Network, laid: Lanes, s: int, e: int, h: np.ndarray, grad: Network):
+    """Backpropagation through the steps from ``s`` to ``e``, from the states ``h``.
+
+    Adds to all of ``grad`` but ``x``; returns the sum of log-likelihoods, the states after, the inputs that
+    occur, and the gradients of their rows of ``x``.
+    """
+    edge, first = laid.edge.tolist(), int(laid.edge[s])
+    last, kind = edge[e], net.flat.dtype
+    n, keep = last - first, laid.keep[first:last]
+    x = laid.x[first:last]
+    a = net.x[x]
+    before, states, new, un = (np.empty((n, HIDDEN), dtype=kind) for _ in range(4))
+    gate = np.empty((n, 2 * HIDDEN), dtype=kind)
+    for t in range(s, e):
+        at = slice(edge[t] - first, edge[t + 1] - first)
+        before[at] = h[:at.stop - at.start] * keep[at]
+        h, gate[at], new[at], un[at] = net.step(a[at], before[at])
+        states[at] = h
+    found, dh = net.log_likelihood(states, laid.y[first:last], grad)
+    z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
+    by_new = (1 - z) * (1 - new * new)
+    by_gate = np.concatenate([(before - new) * z * (1 - z), by_new * un * r * (1 - r)], axis=1)
+    da, db = np.empty_like(a), np.empty_like(a)
+    later = np.zeros((0, HIDDEN), dtype=kind)
+    for t in reversed(range(s, e)):
+        at = slice(edge[t] - first, edge[t + 1] - first)
+        d = dh[at]
+        d[:len(later)] += later
+        da[at, :HIDDEN] = d * by_gate[at, :HIDDEN]
+        da[at, HIDDEN:2 * HIDDEN] = d * by_gate[at, HIDDEN:]
+        da[at, 2 * HIDDEN:] = d * by_new[at]
+        db[at] = da[at]
+        db[at, 2 * HIDDEN:] *= r[at]
+        later = (d * z[at] + db[at] @ net.u.T) * keep[at]
+    grad.u += before.T @ db
+    order = np.argsort(x, kind="stable")
+    found_at = np.flatnonzero(np.diff(x[order], prepend=-1))
+    return found.sum(), h, x[order[found_at]], np.add.reduceat(da[order], found_at, axis=0)
+
+
+class Adam:
+    """Moments of some weights; of inputs, only the rows that occur move."""
+
+    def __init__(self, like: np.ndarray, rate: float):
+        self.first, self.second = np.zeros_like(like), np.zeros_like(like)
+        self.rate = rate
+
+    def move(self, weights: np.ndarray, rows, g: np.ndarray, update: int) -> None:
+        kind = weights.dtype.type
+        first = self.first[rows] * kind(0.9) + kind(0.1) * g
+        second = self.second[rows] * kind(0.999) + kind(0.001) * (g * g)
+        self.first[rows], self.second[rows] = first, second
+        size = np.sqrt(second / kind(1 - 0.999 ** update)) + kind(1e-8)
+        weights[rows] -= kind(self.rate / (1 - 0.9 ** update)) * first / size
+
+
+def train(net: Network, coded: list[np.ndarray], end: int, rate: float = RATE,
+          lanes: int = TRAIN_LANES, window: int = TRAIN_WINDOW) -> Network:
+    """One pass of truncated backpropagation with Adam; the state is carried over windows.
+
+    Every token is learned from; a text of more than ``PIECE`` tokens fills several lanes, piece by piece.
+    """
+    coded = [c[i:i + PIECE] for c in coded for i in range(0, len(c), PIECE)]
     if not coded:
         return net
-    ys, _, fresh, active = laid_out(coded, lanes)
-    first, second = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    h = np.zeros((ys.shape[1], HIDDEN), dtype=np.float32)
-    update = 0
-    for s in range(0, len(ys), window):
-        grad = Network(net.starts)
-        trace, states, wanted = [], [], []
-        for t in range(s, min(s + window, len(ys))):
-            k = active[t]
-            start = fresh[t, :k]
-            x = np.where(start, end, ys[t - 1, :k] if t else end)
-            before = np.where(start[:, None], np.float32(0), h[:k])
-            h, parts = net.step(x, before)
-            trace.append((x, before, start, parts))
-            states.append(h)
-            wanted.append(ys[t, :k])
-        sizes = [len(v) for v in wanted]
-        _, dh = net.log_likelihood(np.concatenate(states), np.concatenate(wanted), grad)
-        edge = np.cumsum([0, *sizes])
-        later = np.zeros((0, HIDDEN), dtype=np.float32)
-        for i in reversed(range(len(trace))):
-            x, before, start, (z, r, new, un) = trace[i]
-            d = dh[edge[i]:edge[i + 1]].copy()
-            d[:len(later)] += later
-            dnew = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = dnew * un * r * (1 - r)
-            da = np.concatenate([dz, dr, dnew], axis=1)
-            db = np.concatenate([dz, dr, dnew * r], axis=1)
-            np.add.at(grad.x, x, da)
-            grad.u += before.T @ db
-            later = np.where(start[:, None], np.float32(0), d * z + db @ net.u.T)
-        update += 1
-        g = grad.flat / max(1, edge[-1])
-        first += 0.1 * (g - first)
-        second += 0.001 * (g * g - second)
-        step = first / (1 - 0.9 ** update) / (np.sqrt(second / (1 - 0.999 ** update)) + 1e-8)
-        net.flat -= np.float32(rate) * step
+    laid = Lanes.of(coded, lanes, end)
+    inputs, rest = net.x.size, net.flat[net.x.size:]
+    by_input, others = Adam(net.x, rate), Adam(rest, rate)
+    grad = Network(net.starts)
+    h = np.zeros((laid.width, HIDDEN), dtype=net.flat.dtype)
+    for update, s in enumerate(range(0, laid.steps, window), 1):
+        e = min(s + window, laid.steps)
+        grad.flat[inputs:] = 0
+        _, h, rows, g = window_gradient(net, laid, s, e, h, grad)
+        n = net.flat.dtype.type(laid.edge[e] - laid.edge[s])
+        by_input.move(net.x, rows, g / n, update)
+        others.move(rest, slice(None), grad.flat[inputs:] / n, update)
     return net
 
 
@@ -351,38 +438,57 @@ def learn(docs: DataFrame, words: Vocabulary) -> Network:
     end = words.index(END)
     given = spark.sparkContext.broadcast(words)
     size = len(net.flat)
-    for n in [*range(rounds)] * PASSES:
+    for n in range(rounds):
         sent = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v = given.value
-            own, coded, held, seen = Network(v.starts, sent.value.copy()), [], 0, 0
+            code, own, coded, held, seen = Codes(v), Network(v.starts, sent.value.copy()), [], 0, 0
             for batch in batches:
                 for text in batch.column(0):
-                    coded.append(np.array([v.index(t) for t in tokens(text.as_py())]))
+                    coded.append(code.all(tokens(text.as_py())))
                     held += len(coded[-1])
                     if held >= TASK_TOKENS:
                         own, seen = train(own, coded, end), seen + held
                         coded, held = [], 0
             own, seen = train(own, coded, end), seen + held
             if seen:
-                for s in range(0, size, 50_000):
-                    part = own.flat[s:s + 50_000].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(s, s + len(part))), pa.array(part),
-                         pa.array(np.full(len(part), seen))], ["i", "w", "n"])
+                for s in range(0, size, PART):
+                    yield _part(s, own.flat[s:s + PART], seen)
 
         mean = (dealt.where(F.col("round") == n).select("text")
-                .mapInArrow(run, "i bigint, w double, n bigint")
-                .groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).toArrow())
+                .mapInArrow(run, "at int, w binary, n bigint")
+                .repartition(math.ceil(size / PART), "at")
+                .mapInArrow(_mean, "at int, w binary, n bigint").toArrow())
         sent.unpersist()
         if mean.num_rows:
             flat = np.zeros(size, dtype=np.float32)
-            flat[mean["i"].to_numpy()] = mean["w"].to_numpy()
+            for at, w in zip(mean["at"].to_pylist(), mean["w"].to_pylist(), strict=True):
+                flat[at:at + PART] = np.frombuffer(w, np.float32)
             net = Network(words.starts, flat)
+    given.unpersist()
     return net
 
 
+def _part(at: int, weights: np.ndarray, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([at], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()),
+         pa.array([n], pa.int64())], ["at", "w", "n"])
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of each part over the tasks by their tokens, summed row by row: memory for the parts alone."""
+    total: dict[int, tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        for at, w, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+            at, n = at.as_py(), n.as_py()
+            own = np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n
+            held, seen = total.get(at, (0.0, 0))
+            total[at] = held + own, seen + n
+    for at, (held, seen) in total.items():
+        yield _part(at, held / seen, seen)
+
+
 def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, folder: str,
           block_tokens: int = 400_000) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
@@ -398,8 +504,10 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, f
         v = given.value
         model = Network(v.starts, sent.value)
         end, outputs = v.index(END), v.outputs
-        # word -> (output or tail class, known, log10(c + 1)); words outside the head are looked up later
-        table = {w: (v.index(w), 1, float(np.log10(c + 1))) for w, c in v.count.items()}
+        # place of each head word, and what its place gives; words outside the head are looked up later
+        place = {w: i for i, w in enumerate(v.count)}
+        code = np.array([v.index(w) for w in v.count] or [0])
+        log = np.log10(np.array([*v.count.values()] or [0], dtype=np.float64) + 1)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -407,17 +515,16 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, f
                 first = at
                 while at < batch.num_rows and (not coded or size < block_tokens):
                     own = tokens(batch.column(1)[at].as_py())
-                    found = [table.get(t) for t in own]
-                    rare = Counter(t for t, f in zip(own, found, strict=True) if f is None)
-                    if rare:
-                        new = {t: (outputs + tail_class(t), 0, 0.0) for t in rare}
-                        found = [f or new[t] for t, f in zip(own, found, strict=True)]
-                    index, known, logs = zip(*found, strict=True)
-                    index, logs = np.array(index), np.array(logs)
+                    found = np.array([place.get(t, -1) for t in own])
+                    index, logs = code[found], log[found]
+                    late = np.flatnonzero(found < 0).tolist()
+                    index[late] = [outputs + tail_class(own[i]) for i in late]
+                    logs[late] = 0
+                    rare = Counter(own[i] for i in late)
                     tail = index >= outputs
                     local = logs[tail].sum() - v.tail_log[index[tail] - outputs].sum()
                     coded.append(index)
-                    rows.append((len(own), sum(known), logs.sum(), local, list(rare), list(rare.values())))
+                    rows.append((len(own), len(own) - len(late), logs.sum(), local, list(rare), list(rare.values())))
                     size += len(own)
                     at += 1
                 likely = score_documents(model, coded, end) / np.log(10)
