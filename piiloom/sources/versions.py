@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -119,14 +120,16 @@ def read(spark: SparkSession, path: str, table: str) -> DataFrame | None:
         own = spark.read.parquet(folder_of(e, "_keys")).withColumn("_until", F.lit(e["version"]))
         rows = own if rows is None else rows.unionByName(own)
     hidden = rows.groupBy(*names).agg(F.max("_until").alias("_until"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    # Nothing hides the rows of the last run that replaces, nor those after it: they take no join.
+    last = max(e["version"] for e in later)
+    older = [part for e, part in zip(found, parts, strict=True) if e["version"] < last]
+    newer = [part for e, part in zip(found, parts, strict=True) if e["version"] >= last]
+    every = reduce(DataFrame.unionByName, older)
     same = [every[n].eqNullSafe(hidden[n]) for n in names]
     condition = (every["_version"] < hidden["_until"])
     for s in same:
         condition = condition & s
-    return every.join(hidden, condition, "left_anti").drop("_version")
+    return reduce(DataFrame.unionByName, newer, every.join(hidden, condition, "left_anti")).drop("_version")
 
 
 def compact(spark: SparkSession, path: str, tables: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> None:
