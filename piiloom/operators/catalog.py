@@ -23,18 +23,17 @@ def _only(df: DataFrame, doc_id: str | None) -> DataFrame:
 def document_status(jobs: DataFrame, entities: DataFrame, doc_id: str | None = None) -> DataFrame:
     """Job row with one row per entity and the document's count of that type.
 
-    Counts are joined to jobs first (one row per document and type).  Entities
-    then meet them in an inner join, which adaptive execution may split on
-    either side, and documents without entities are added as they are.
+    Entities are counted beside their own rows, so they are read and exchanged once; the window's
+    rows spill, none is collected.  Documents without entities keep one row.
     """
     jobs, entities = _only(jobs, doc_id), _only(entities, doc_id)
     head = jobs.select("doc_id", "filename", "status", "risk_score", "risk_band",
                        "entity_fqn", "redacted_fqn", "error", "created_at", "updated_at")
-    counted = head.join(pii_summary(entities), "doc_id", "left")
-    spans = entities.select("doc_id", "entity_type", "subtype", "start_offset", "end_offset",
-                            "confidence")
-    return spans.join(counted, ["doc_id", "entity_type"]).unionByName(
-        counted.filter("entity_type is null"), allowMissingColumns=True)
+    spans = entities.select("doc_id", "entity_type", "subtype", "start_offset", "end_offset", "confidence")
+    # by document first: one exchange serves the counts and the join
+    same_type = W.partitionBy("doc_id", "entity_type")
+    counted = spans.repartition("doc_id").withColumn("n", F.count(F.lit(1)).over(same_type))
+    return head.join(counted, "doc_id", "left").select(*spans.columns, *head.columns[1:], "n")
 
 
 def pii_summary(entities: DataFrame, doc_id: str | None = None) -> DataFrame:
