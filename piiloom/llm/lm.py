@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,17 @@ RATE = 0.03
 PIECE = 1_024
 #: A task holds about so many tokens at a time.
 TASK_TOKENS = 400_000
+#: Bytes of text, and tokens, that are coded at a time.
+CODED_BYTES = 4_000_000
+BLOCK_TOKENS = 800_000
+#: Sums of exponentials of logits below this size, up or down, are in range.
+SAFE = 80
 #: Weights that are averaged in one row.
 PART = 25_000
 _FLUSH = 200_000
 _SUFFIX = 3
+#: The table of crc32 by letters.
+_CRC = np.array([zlib.crc32(bytes([255 - i])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -154,22 +162,55 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         np.log10(tail.sum(axis=1) + 1))
 
 
-class Codes(dict):
-    """The place of each head word by count; all others by their tail class, of whom some are kept."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__((w, i if i < words.outputs else words.outputs + tail_class(w))
-                         for i, w in enumerate(words.count))
-        self.outputs, self.most = words.outputs, len(self) + _FLUSH
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.outputs + tail_class(word)
-        if len(self) < self.most:
-            self[word] = found
-        return found
-
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def text_blocks(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``CODED_BYTES`` each; a longer text is alone."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    return [*ranges(size, CODED_BYTES)]
+
+
+def ranges(size: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of as many items as reach ``limit`` in ``size`` at most; a larger item is alone."""
+    total, start = np.concatenate([[0], np.cumsum(size)]), 0
+    while start < len(size):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + limit, side="right")) - 1)
+        yield start, end
+        start = end
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of binary texts as `tokens` has them, text after text, and how many each text has."""
+    plain = pc.fill_null(texts, b"").view(pa.string())
+    # a blank behind each text leaves an empty word there, which is the end token
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(plain, "", " ")))
+    words, edge = pieces.flatten().view(pa.binary()), pieces.value_lengths().to_numpy().cumsum()
+    keep = pc.binary_length(words).to_numpy() > 0
+    keep[edge - 1] = True
+    if not keep.all():  # blanks before the first word
+        words = words.filter(pa.array(keep))
+        edge = np.cumsum(keep)[edge - 1]
+    return words, np.diff(edge, prepend=0)
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """`tail_class` of each word."""
+    _, at, data = words.buffers()
+    edge = np.frombuffer(at, np.int32)[words.offset:words.offset + len(words) + 1]
+    end, size = edge[1:], np.minimum(np.diff(edge), _SUFFIX)
+    letters = np.frombuffer(data, np.uint8) if edge[-1] > edge[0] else np.zeros(1, np.uint8)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in range(_SUFFIX, 0, -1):
+        letter = letters[np.where(size >= k, end - k, 0)]
+        crc = np.where(size >= k, _CRC[(crc ^ letter) & np.uint32(255)] ^ (crc >> np.uint32(8)), crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % np.uint32(TAILS)).astype(np.int16)
+
+
+def codes_of(words: pa.Array, outputs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """`Vocabulary.index` of each word, and the places of the words that have no output of their own."""
+    found = pc.fill_null(pc.index_in(words, value_set=outputs), -1).to_numpy().astype(np.int16)
+    other = np.flatnonzero(found < 0)
+    if len(other):
+        found[other] = len(outputs) + tail_classes(words.take(pa.array(other)))
+    return found, other
 
 
 class Network:
@@ -179,10 +220,11 @@ class Network:
         self.starts = starts
         self.classes, self.outputs = len(starts) - 1, int(starts[-1])
         self.class_of = np.concatenate([
-            np.repeat(np.arange(self.classes), np.diff(starts)), self.classes + np.arange(TAILS)])
+            np.repeat(np.arange(self.classes), np.diff(starts)), self.classes + np.arange(TAILS)]).astype(np.int16)
         inputs = self.outputs + TAILS
-        shapes = {"x": (inputs, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, self.classes + TAILS),
-                  "cb": (self.classes + TAILS,), "w": (self.outputs, HIDDEN), "wb": (self.outputs,)}
+        # of c and w the last row or column is for an input that is always one
+        shapes = {"x": (inputs, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN + 1, self.classes + TAILS),
+                  "w": (self.outputs, HIDDEN + 1)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.flat = np.zeros(size, dtype=np.float32) if flat is None else flat
         at = 0
@@ -192,6 +234,7 @@ class Network:
             self.at[name] = (at, n, shape)
             setattr(self, name, self.flat[at:at + n].reshape(shape))
             at += n
+        self.cb, self.wb = self.c[HIDDEN], self.w[:, HIDDEN]
 
     @classmethod
     def unigram(cls, words: Vocabulary) -> Network:
@@ -204,54 +247,90 @@ class Network:
         net.wb[:] = np.log(np.maximum(words.output_mass, 1))
         return net
 
+    def given(self, x: np.ndarray) -> np.ndarray:
+        """What the inputs ``x`` give, a column for each."""
+        return np.ascontiguousarray(self.x.take(x, axis=0).T)
+
     def step(self, a: np.ndarray, h: np.ndarray):
-        """The next state for what the inputs give, ``a``, and the state before; with the gates' values."""
-        b = h @ self.u
-        gate = 1 / (1 + np.exp(-(a[:, :2 * HIDDEN] + b[:, :2 * HIDDEN])))
-        z, r, un = gate[:, :HIDDEN], gate[:, HIDDEN:], b[:, 2 * HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN:] + r * un)
-        return new + z * (h - new), gate, new, un
+        """The next state for what the inputs give, ``a``, and the state before; with the gates' values.
+
+        States, gates and ``a`` have a column for each lane, so that their parts are whole rows.
+        """
+        b = self.u.T @ h
+        gate = a[:2 * HIDDEN] + b[:2 * HIDDEN]
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.divide(1, gate, out=gate)
+        z, r, un = gate[:HIDDEN], gate[HIDDEN:], b[2 * HIDDEN:]
+        new = r * un
+        new += a[2 * HIDDEN:]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, gate, new, un
+
+    def bounded(self) -> bool:
+        """Whether no logit can pass ``SAFE``, as no state passes one."""
+        return bool(np.abs(self.c).sum(axis=0).max() < SAFE
+                    and np.abs(self.w).sum(axis=1).max(initial=0) < SAFE)
 
     def log_likelihood(self, h: np.ndarray, y: np.ndarray, grad: Network | None = None):
-        """Natural logarithm of P(y) for each state; with ``grad``, the gradients as well."""
-        n = len(y)
+        """Natural logarithm of P(y) for each column of states; with ``grad``, the gradients as well.
+
+        The logits of the words in a class stand in one array, class after class, so that
+        exponentials and choices are taken for all classes at once.
+        """
+        n, starts, safe = len(y), self.starts, self.bounded()
         at = np.arange(n)
         kind = self.class_of[y]
         order = np.argsort(kind, kind="stable")
-        h, y, kind = h[order], y[order], kind[order]
-        out, share = _log_share(h @ self.c + self.cb, kind, at)
-        dh = None
-        if grad is not None:
-            share[at, kind] -= 1
-            grad.c += h.T @ share
-            grad.cb += share.sum(axis=0)
-            dh = share @ self.c.T
+        y, kind = y[order], kind[order]
+        one = np.ones((HIDDEN + 1, n), dtype=h.dtype)
+        one[:HIDDEN] = h.take(order, axis=1)
+        share = self.c.T @ one
+        if not safe:
+            share -= share.max(axis=0)
+        out = share[kind, at]
+        np.exp(share, out=share)
+        whole = share.sum(axis=0)
+        out -= np.log(whole)
         edge = np.searchsorted(kind, np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            a, b, s, e = edge[k], edge[k + 1], self.starts[k], self.starts[k + 1]
-            if e - s == 1:
-                continue
-            own, word, row = h[a:b], y[a:b] - s, at[:b - a]
-            found, share = _log_share(own @ self.w[s:e].T + self.wb[s:e], word, row)
-            out[a:b] += found
-            if grad is not None:
-                share[row, word] -= 1
-                grad.w[s:e] += share.T @ own
-                grad.wb[s:e] += share.sum(axis=0)
-                dh[a:b] += share @ self.w[s:e]
+        inside, members, width = int(edge[-1]), np.diff(edge), np.diff(starts)
+        begin = np.concatenate([[0], np.cumsum(members * width)])
+        logits = np.empty(int(begin[-1]), dtype=h.dtype)
+        used = []
+        for k in np.flatnonzero(members).tolist():
+            a, b, s, e = int(edge[k]), int(edge[k + 1]), int(starts[k]), int(starts[k + 1])
+            part = logits[begin[k]:begin[k + 1]].reshape(e - s, b - a)
+            np.matmul(self.w[s:e], one[:, a:b], out=part)
+            if not safe:
+                part -= part.max(axis=0)
+            used.append((a, b, s, e, part))
+        own = kind[:inside]
+        chosen = begin[own] + (y[:inside] - starts[own]) * members[own] + at[:inside] - edge[own]
+        out[:inside] += logits[chosen]
+        np.exp(logits, out=logits)
+        in_class = np.empty(inside, dtype=h.dtype)
+        for a, b, _, _, part in used:
+            part.sum(axis=0, out=in_class[a:b])
+        out[:inside] -= np.log(in_class)
         back = np.empty(n, np.int64)
         back[order] = at
-        return out[back], None if dh is None else dh[back]
-
-
-def _log_share(logits: np.ndarray, chosen: np.ndarray, row: np.ndarray):
-    """Logarithm of the chosen column's share in each row, and all shares."""
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[row, chosen]
-    share = np.exp(logits, out=logits)
-    whole = share.sum(axis=1)
-    share /= whole[:, None]
-    return own - np.log(whole), share
+        if grad is None:
+            return out[back], None
+        share /= whole
+        share[kind, at] -= 1
+        grad.c += one @ share.T
+        dh = self.c[:HIDDEN] @ share
+        for a, b, _, _, part in used:
+            part /= in_class[a:b]
+        logits[chosen] -= 1
+        for a, b, s, e, part in used:
+            grad.w[s:e] += part @ one[:, a:b].T
+            dh[:, a:b] += self.w[s:e, :HIDDEN].T @ part
+        return out[back], dh.take(back, axis=1)
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -289,7 +368,7 @@ class Lanes:
         doc = np.repeat(docs, lengths[docs])
         size = np.array([lengths[ds].sum() for ds in placed])
         start = np.cumsum(lengths[docs]) - lengths[docs]
-        x = np.concatenate([[end], y[:-1]])
+        x = np.concatenate([y[:1], y[:-1]])
         x[start] = end
         keep = np.ones(len(y), np.float32)
         keep[start] = 0
@@ -312,19 +391,18 @@ def score_documents(net: Network, coded: list[np.ndarray], end: int) -> np.ndarr
     laid = Lanes.of(coded, LANES, end)
     edge = laid.edge.tolist()
     out = np.zeros(len(coded))
-    h = np.zeros((laid.width, HIDDEN), dtype=net.flat.dtype)
+    h = np.zeros((HIDDEN, laid.width), dtype=net.flat.dtype)
     s = 0
     while s < laid.steps:
         e = s + 1
         while e < laid.steps and edge[e] - edge[s] < LANES * WINDOW:
             e += 1
         first, last = edge[s], edge[e]
-        a = net.x[laid.x[first:last]]
-        states = np.empty((last - first, HIDDEN), dtype=h.dtype)
+        states = np.empty((HIDDEN, last - first), dtype=h.dtype)
         for t in range(s, e):
             i, j = edge[t], edge[t + 1]
-            h = net.step(a[i - first:j - first], h[:j - i] * laid.keep[i:j])[0]
-            states[i - first:j - first] = h
+            h = net.step(net.given(laid.x[i:j]), h[:, :j - i] * laid.keep[i:j, 0])[0]
+            states[:, i - first:j - first] = h
         found, _ = net.log_likelihood(states, laid.y[first:last])
         out += np.bincount(laid.doc[first:last], weights=found, minlength=len(coded))
         s = e
@@ -339,36 +417,47 @@ def window_gradient(net: Network, laid: Lanes, s: int, e: int, h: np.ndarray, gr
     """
     edge, first = laid.edge.tolist(), int(laid.edge[s])
     last, kind = edge[e], net.flat.dtype
-    n, keep = last - first, laid.keep[first:last]
+    n, keep = last - first, laid.keep[first:last, 0]
     x = laid.x[first:last]
-    a = net.x[x]
-    before, states, new, un = (np.empty((n, HIDDEN), dtype=kind) for _ in range(4))
-    gate = np.empty((n, 2 * HIDDEN), dtype=kind)
+    states = np.empty((HIDDEN, n), dtype=kind)
+    h = np.ascontiguousarray(h.T)
+    steps = []
     for t in range(s, e):
         at = slice(edge[t] - first, edge[t + 1] - first)
-        before[at] = h[:at.stop - at.start] * keep[at]
-        h, gate[at], new[at], un[at] = net.step(a[at], before[at])
-        states[at] = h
+        before = h[:, :at.stop - at.start] * keep[at]
+        h, gate, new, un = net.step(net.given(x[at]), before)
+        states[:, at] = h
+        steps.append((at, before, gate, new, un))
     found, dh = net.log_likelihood(states, laid.y[first:last], grad)
-    z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
-    by_new = (1 - z) * (1 - new * new)
-    by_gate = np.concatenate([(before - new) * z * (1 - z), by_new * un * r * (1 - r)], axis=1)
-    da, db = np.empty_like(a), np.empty_like(a)
-    later = np.zeros((0, HIDDEN), dtype=kind)
-    for t in reversed(range(s, e)):
-        at = slice(edge[t] - first, edge[t + 1] - first)
-        d = dh[at]
-        d[:len(later)] += later
-        da[at, :HIDDEN] = d * by_gate[at, :HIDDEN]
-        da[at, HIDDEN:2 * HIDDEN] = d * by_gate[at, HIDDEN:]
-        da[at, 2 * HIDDEN:] = d * by_new[at]
-        db[at] = da[at]
-        db[at, 2 * HIDDEN:] *= r[at]
-        later = (d * z[at] + db[at] @ net.u.T) * keep[at]
-    grad.u += before.T @ db
+    da = np.empty((n, 3 * HIDDEN), dtype=kind)
+    later = np.zeros((HIDDEN, 0), dtype=kind)
+    for at, before, gate, new, un in reversed(steps):
+        z, r = gate[:HIDDEN], gate[HIDDEN:]
+        d = dh[:, at]
+        d[:, :later.shape[1]] += later
+        now = np.empty((3 * HIDDEN, d.shape[1]), dtype=kind)
+        by_z, by_r, by_new = now[:HIDDEN], now[HIDDEN:2 * HIDDEN], now[2 * HIDDEN:]
+        rest = 1 - z
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        by_new *= d
+        np.subtract(before, new, out=by_z)
+        by_z *= rest
+        later = d * z
+        by_z *= later
+        np.subtract(1, r, out=by_r)
+        by_r *= r
+        by_r *= un
+        by_r *= by_new
+        da[at] = now.T
+        by_new *= r
+        grad.u += before @ now.T
+        later += net.u @ now
+        later *= keep[at]
     order = np.argsort(x, kind="stable")
     found_at = np.flatnonzero(np.diff(x[order], prepend=-1))
-    return found.sum(), h, x[order[found_at]], np.add.reduceat(da[order], found_at, axis=0)
+    return found.sum(), h.T, x[order[found_at]], np.add.reduceat(da[order], found_at, axis=0)
 
 
 class Adam:
@@ -379,12 +468,22 @@ class Adam:
         self.rate = rate
 
     def move(self, weights: np.ndarray, rows, g: np.ndarray, update: int) -> None:
+        """``g`` is used up."""
         kind = weights.dtype.type
-        first = self.first[rows] * kind(0.9) + kind(0.1) * g
-        second = self.second[rows] * kind(0.999) + kind(0.001) * (g * g)
-        self.first[rows], self.second[rows] = first, second
-        size = np.sqrt(second / kind(1 - 0.999 ** update)) + kind(1e-8)
-        weights[rows] -= kind(self.rate / (1 - 0.9 ** update)) * first / size
+        first, second = self.first[rows], self.second[rows]  # copies, unless all rows move
+        first *= kind(0.9)
+        first += kind(0.1) * g
+        second *= kind(0.999)
+        g *= g
+        g *= kind(0.001)
+        second += g
+        if not isinstance(rows, slice):
+            self.first[rows], self.second[rows] = first, second
+        size = np.sqrt(second / kind(1 - 0.999 ** update))
+        size += kind(1e-8)
+        np.divide(first, size, out=size)
+        size *= kind(self.rate / (1 - 0.9 ** update))
+        weights[rows] -= size
 
 
 def train(net: Network, coded: list[np.ndarray], end: int, rate: float = RATE,
@@ -443,14 +542,16 @@ def learn(docs: DataFrame, words: Vocabulary) -> Network:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v = given.value
-            code, own, coded, held, seen = Codes(v), Network(v.starts, sent.value.copy()), [], 0, 0
+            outputs, own, coded, held, seen = pa.array(list(v.output), pa.binary()), Network(v.starts, sent.value.copy()), [], 0, 0
             for batch in batches:
-                for text in batch.column(0):
-                    coded.append(code.all(tokens(text.as_py())))
-                    held += len(coded[-1])
-                    if held >= TASK_TOKENS:
-                        own, seen = train(own, coded, end), seen + held
-                        coded, held = [], 0
+                for first, last in text_blocks(batch.column(0)):
+                    found, lengths = words_of(batch.column(0).slice(first, last - first))
+                    for codes in np.split(codes_of(found, outputs)[0], np.cumsum(lengths)[:-1]):
+                        coded.append(codes)
+                        held += len(codes)
+                        if held >= TASK_TOKENS:
+                            own, seen = train(own, coded, end), seen + held
+                            coded, held = [], 0
             own, seen = train(own, coded, end), seen + held
             if seen:
                 for s in range(0, size, PART):
@@ -490,7 +591,7 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, folder: str,
-          block_tokens: int = 400_000) -> DataFrame:
+          block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark = docs.sparkSession
     given, sent = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(net.flat)
@@ -503,38 +604,37 @@ def score(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = given.value
         model = Network(v.starts, sent.value)
-        end, outputs = v.index(END), v.outputs
-        # place of each head word, and what its place gives; words outside the head are looked up later
-        place = {w: i for i, w in enumerate(v.count)}
-        code = np.array([v.index(w) for w in v.count] or [0])
-        log = np.log10(np.array([*v.count.values()] or [0], dtype=np.float64) + 1)
+        end, outputs, head = v.index(END), pa.array(list(v.output), pa.binary()), list(v.count)
+        others = pa.array(head[v.outputs:], pa.binary())
+        # what each output, and each other word of the head, gives; words outside the head are looked up later
+        log = np.log10(np.array([*v.count.values()], dtype=np.float64) + 1)
+        log, other_log = log[:v.outputs], np.append(log[v.outputs:], 0)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                coded, rows, size = [], [], 0
-                first = at
-                while at < batch.num_rows and (not coded or size < block_tokens):
-                    own = tokens(batch.column(1)[at].as_py())
-                    found = np.array([place.get(t, -1) for t in own])
-                    index, logs = code[found], log[found]
-                    late = np.flatnonzero(found < 0).tolist()
-                    index[late] = [outputs + tail_class(own[i]) for i in late]
-                    logs[late] = 0
-                    rare = Counter(own[i] for i in late)
-                    tail = index >= outputs
-                    local = logs[tail].sum() - v.tail_log[index[tail] - outputs].sum()
-                    coded.append(index)
-                    rows.append((len(own), len(own) - len(late), logs.sum(), local, list(rare), list(rare.values())))
-                    size += len(own)
-                    at += 1
-                likely = score_documents(model, coded, end) / np.log(10)
-                columns = list(zip(*rows, strict=True))
+            for first, last in text_blocks(batch.column(1)):
+                words, size = words_of(batch.column(1).slice(first, last - first))
+                index, other = codes_of(words, outputs)
+                place = pc.fill_null(pc.index_in(words.take(pa.array(other)), value_set=others), len(others)).to_numpy()
+                logs = np.zeros(len(words))
+                mine = index < v.outputs
+                logs[mine] = log[index[mine]]
+                logs[other] = other_log[place]
+                local = np.zeros(len(words))
+                local[other] = logs[other] - v.tail_log[index[other] - v.outputs]
+                late = other[place == len(others)]
+                edge = np.cumsum(size)
+                start = edge - size
+                rare = words.take(pa.array(late)).to_pylist()
+                late_edge = np.searchsorted(late, np.concatenate([[0], edge])).tolist()
+                counted = [Counter(rare[a:b]) for a, b in zip(late_edge[:-1], late_edge[1:], strict=True)]
+                coded = np.split(index, edge[:-1])
+                likely = np.concatenate([score_documents(model, coded[a:b], end)
+                                         for a, b in ranges(size, block_tokens)]) / np.log(10)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(rows)), pa.array(columns[0], pa.int64()),
-                     pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-                     pa.array(np.array(columns[3]) + likely),
-                     pa.array(columns[4], pa.list_(pa.binary())),
-                     pa.array(columns[5], pa.list_(pa.int32()))],
+                    [batch.column(0).slice(first, last - first), pa.array(size, pa.int64()),
+                     pa.array(size - np.diff(late_edge), pa.int64()), pa.array(np.add.reduceat(logs, start)),
+                     pa.array(np.add.reduceat(local, start) + likely),
+                     pa.array([list(c) for c in counted], pa.list_(pa.binary())),
+                     pa.array([list(c.values()) for c in counted], pa.list_(pa.int32()))],
                     ["id", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
     rows = stored(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()),

@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from piiloom.llm import lm
 
@@ -126,3 +127,42 @@ def test_empty_tables_long_texts_repeated_rows_and_other_columns(spark):
     assert all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     unseen = lm.score_texts(docs, none).collect()
     assert all(r["base_score"] == 0 and r["train_tokens"] == 0 for r in unseen)
+
+
+def test_words_are_coded_in_columns_as_one_by_one():
+    texts = [b" \t lead B\x0b\x0cc\r\n", b"", None, b"one", b"   ", b"\xff\xfeA \xc3\x84b x\x1cy\xc2\xa0z xyz", b"B one wxyz " * 9]
+    outputs = [b"b", b"one", lm.END]
+    starts = np.array([0, 1, 3])
+    words = lm.Vocabulary(9, 4, {w: 1 for w in outputs}, {w: i for i, w in enumerate(outputs)}, starts,
+                          np.ones(2 + lm.TAILS), np.ones(3), np.zeros(lm.TAILS))
+    column = pa.array([b"cut", *texts], pa.binary()).slice(1)
+    found, size = lm.words_of(column)
+    plain = [lm.tokens(t) for t in texts]
+    assert size.tolist() == [len(t) for t in plain] and found.to_pylist() == [w for t in plain for w in t]
+    codes, other = lm.codes_of(found, pa.array(outputs, pa.binary()))
+    assert codes.tolist() == [words.index(w) for t in plain for w in t]
+    assert other.tolist() == np.flatnonzero(codes >= len(outputs)).tolist()
+    assert lm.codes_of(found, pa.array([], pa.binary()))[0].tolist() == [lm.tail_class(w) for t in plain for w in t]
+
+
+def test_blocks_of_texts_hold_each_once_and_long_ones_alone():
+    size = np.array([3, 3, 50, 1, 0, 9, 2])
+    found = [*lm.ranges(size, 10)]
+    assert [i for a, b in found for i in range(a, b)] == [*range(7)]
+    assert all(b == a + 1 or size[a:b].sum() <= 10 for a, b in found) and [*lm.ranges(size[:0], 10)] == []
+
+
+def test_large_logits_are_scored_without_overflow():
+    net, rng = small_model()
+    net.wb[:] += 400
+    net.cb[:] -= 900
+    text = rng.integers(0, net.outputs + lm.TAILS, 40)
+    assert not net.bounded() and np.allclose(lm.score_documents(net, [text], 5), plain_score_shifted(net, text), atol=1e-8)
+
+
+def plain_score_shifted(net: lm.Network, text) -> float:
+    """The same shares, as a constant added to all logits changes none."""
+    other = lm.Network(net.starts, net.flat.copy())
+    other.wb[:] -= 400
+    other.cb[:] += 900
+    return plain_score(other, text, 5)
