@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ FINE = 1 << 16
 BLOCK = 1 << 17
 #: From so many registers on, the estimate narrows what the bound by lost shingles leaves.
 _MANY = 4096
+#: Blocks are compared in so many jobs, one after the other: the sets that are exchanged lie on disk for one of them.
+JOBS = 2
 #: Cells of a matrix made at a time.
 _CELLS = 1 << 20
 #: Size classes are three such steps wide; similar sets are at most one step apart.
@@ -230,14 +233,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 class Matcher:
     """Confirms candidate pairs of classes and keeps the components found so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, folder: str, words: int,
+    def __init__(self, docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, words: int,
                  percent: int):
-        self.docs, self.classes, self.folder = docs, classes, folder
+        self.docs, self.rows, self.classes, self.folder = docs, rows, classes, folder
         self.words, self.percent, self.round = words, percent, 0
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs of fitting sizes whose registers make the similarity possible."""
-        side = self.classes.select("node", "n", "regs", "digest", "doc_id")
+        side = self.rows.select(F.col("row").alias("node"), "n", "regs")
         a = side.select(*[F.col(c).alias(f"{c}_a") for c in side.columns])
         b = side.select(*[F.col(c).alias(f"{c}_b") for c in side.columns])
         joined = (pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
@@ -355,15 +358,12 @@ def used_by_either(value: np.ndarray, size: np.ndarray, row: int) -> np.ndarray:
     return size[row] + size - np.add.reduceat(taken[place], first)
 
 
-def matches_in_blocks(members: DataFrame, percent: int, best: int | None = None) -> DataFrame:
-    """Pairs ``a, b`` of a bucket's members of other components that may be similar.
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """The blocks in which each member of a bucket is met: ``key, i, j, mains, own, node, component, n``.
 
-    ``members``: ``key, node, component, n, set``, the last being fine registers.  The largest
-    component of a bucket is met by the other members only, and these by one another.  Both are
-    dealt over blocks of about ``BLOCK`` registers and a task holds two at a time, however large
-    the bucket is.  A shingle that two sets share and their registers do not show is lost in one
-    of them, which bounds what they share; large sets must pass the estimate as well.
-    ``best``: of each of the others only so many pairs in a task, those that may share most.
+    ``members``: ``key, node, component, n``.  The largest component of a bucket is met by the
+    other members only, and these by one another.  Both are dealt over blocks of about ``BLOCK``
+    registers and a task holds two at a time, however large the bucket is.
     """
     held = F.sum(F.least("n", F.lit(FINE))).alias("held")
     parts = (members.groupBy("key", "component").agg(held).groupBy("key")
@@ -384,14 +384,23 @@ def matches_in_blocks(members: DataFrame, percent: int, best: int | None = None)
         F.transform(each("mains"), lambda j: task(own, j)),
         F.transform(F.filter(each("others"), lambda o: o != own),
                     lambda o: task(F.least(o, own), F.col("mains") + F.greatest(o, own)))))
-    dealt = (members.join(parts.where("others > 0"), "key")
-             .withColumn("own", F.pmod(F.xxhash64("node"), F.when(other, F.col("others")).otherwise(
-                 F.col("mains"))).cast("int"))
-             .withColumn("task", F.explode(tasks))
-             .select("key", "task.i", "task.j", "mains", F.when(other, own).otherwise(-1).alias("own"),
-                     "node", "component", "n", "set")
-             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    return (members.join(parts.where("others > 0"), "key")
+            .withColumn("own", F.pmod(F.xxhash64("node"), F.when(other, F.col("others")).otherwise(
+                F.col("mains"))).cast("int"))
+            .withColumn("task", F.explode(tasks))
+            .select("key", "task.i", "task.j", "mains", F.when(other, own).otherwise(-1).alias("own"),
+                    "node", "component", "n"))
 
+
+def matches_in_blocks(dealt: DataFrame, sets: DataFrame, folder: str, percent: int,
+                      best: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of a bucket's members of other components that may be similar.
+
+    ``dealt`` as `deal_blocks` gives it, stored; ``sets``: ``node, set``, the latter being fine registers,
+    which come to the members when these are dealt.  A shingle that two sets share and their registers do not
+    show is lost in one of them, which bounds what they share; large sets must pass the estimate as well.
+    ``best``: of each of the others only so many pairs in a task, those that may share most.
+    """
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, component, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n", "own"))
         i, j, mains = (t.column(c)[0].as_py() for c in ("i", "j", "mains"))
@@ -448,14 +457,20 @@ def matches_in_blocks(members: DataFrame, percent: int, best: int | None = None)
         if rest is not None:
             yield done(rest, np.array([0, rest.num_rows]))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    job = F.pmod(F.xxhash64("key", "i", "j"), F.lit(JOBS))
+    made = [stored(dealt.where(job == k).join(sets, "node")
+                   .select("key", "i", "j", "mains", "own", "node", "component", "n", "set")
+                   .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                   .mapInArrow(run, "a bigint, b bigint"), f"{folder}/job{k}") for k in range(JOBS)]
+    return reduce(DataFrame.unionByName, made)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, folder: str, words: int,
+def link_classes(docs: DataFrame, rows: DataFrame, classes: DataFrame, folder: str, words: int,
                  percent: int) -> DataFrame:
-    """``node, component`` of all classes that are linked with another."""
-    matcher = Matcher(docs, classes, folder, words, percent)
-    keyed = classes.select("node", F.explode("keys").alias("key"))
+    """``node, component`` of all classes that are linked with another; ``rows`` have their registers and keys."""
+    matcher = Matcher(docs, rows, classes, folder, words, percent)
+    keyed = (rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
+             .select(F.col("row").alias("node"), F.explode("keys").alias("key")))
     groups = (keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
               .where("size > 1"))
     bucket = stored(keyed.join(groups, "key"), f"{folder}/buckets")
@@ -485,9 +500,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, folder: str, words: int,
     fine = matcher.sets(bucket.select("node"), f"{folder}/fine", fine=True)
 
     def in_blocks(bucket: DataFrame, best: int | None) -> DataFrame:
-        members = (bucket.select("key", "node", "component").join(classes.select("node", "n"), "node")
-                   .join(fine, "node"))
-        return matcher.confirm(matches_in_blocks(members, percent, best).distinct())
+        members = bucket.select("key", "node", "component").join(classes.select("node", "n"), "node")
+        blocks = f"{folder}/blocks-{best or 'all'}"
+        dealt = stored(deal_blocks(members), f"{blocks}/dealt")
+        return matcher.confirm(matches_in_blocks(dealt, fine, blocks, percent, best).distinct())
 
     # the likeliest links of each member first: most components close, and few pairs are left to all
     links = links.unionByName(in_blocks(bucket, 2))
@@ -512,10 +528,10 @@ def find_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
         classes = stored(
             rows.where("n > 0").groupBy("digest").agg(
                 F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
-                F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
-            .select("digest", "n", "regs", "keys", F.col("least.row").alias("node"),
-                    F.col("least.doc_id").alias("doc_id")), f"{folder}/classes")
-        linked = link_classes(docs, classes, folder, words, percent)
+                F.first("n").alias("n"))
+            .select("digest", "n", F.col("least.row").alias("node"), F.col("least.doc_id").alias("doc_id")),
+            f"{folder}/classes")
+        linked = link_classes(docs, rows, classes, folder, words, percent)
         named = (classes.select("digest", "node", "doc_id").join(linked, "node", "left")
                  .withColumn("component", F.coalesce("component", "node")))
         least = named.groupBy("component").agg(

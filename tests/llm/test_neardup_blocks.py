@@ -48,3 +48,41 @@ def test_small_similar_sets_share_a_key(n):
                 a, b = np.unique(u[:n]), np.unique(u[cut:])
                 if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
                     assert set(neardup.band_keys(a).tolist()) & set(neardup.band_keys(b).tolist())
+
+
+def test_sets_come_to_blocks_once_and_no_link_is_lost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 256)  # several blocks a bucket
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k % 3 * 100:][:90 + k % 7], rng.integers(0, 2**64, k % 5, dtype=np.uint64)]))
+            for k in range(60)]
+    component = [k if k % 4 else 0 for k in range(60)]
+    members = spark.createDataFrame([(key, k, component[k], len(s)) for key in (1, 2) for k, s in enumerate(sets)],
+                                    "key long, node long, component long, n long")
+    fine = spark.createDataFrame([(k, neardup.fine_registers(s).tobytes()) for k, s in enumerate(sets)],
+                                 "node long, set binary")
+    dealt = neardup.stored(neardup.deal_blocks(members), str(tmp_path / "dealt"))
+    assert dealt.columns == ["key", "i", "j", "mains", "own", "node", "component", "n"]
+    assert dealt.select("i", "j").distinct().count() > 3
+    got = {(r["a"], r["b"]) for r in neardup.matches_in_blocks(dealt, fine, str(tmp_path), 80).collect()}
+    for a in range(60):
+        for b in range(a + 1, 60):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if component[a] != component[b] and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                assert (a, b) in got
+
+
+def test_registers_and_keys_are_stored_once(spark, monkeypatch):
+    seen = {}
+    plain = neardup.stored
+
+    def watch(df, folder):
+        seen[folder.rsplit("/", 1)[1]] = set(df.columns)
+        return plain(df, folder)
+
+    monkeypatch.setattr(neardup, "stored", watch)
+    docs = spark.createDataFrame([(k, f"aa bb cc {k % 3} dd ee ff gg hh ii jj kk") for k in range(9)],
+                                 "doc_id long, text string")
+    rows = neardup.find_near_copies(docs, words=2).collect()
+    assert len({r["class_id"] for r in rows}) == 3
+    assert {"regs", "keys"} <= seen["signatures"] and not {"regs", "keys"} & seen["classes"]
